@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, sharding, toxicity, url_filter
+from tessera.llm import bpe, decontaminate, sharding, toxicity, url_filter, vector_search, warc
 from tessera.llm.common import read_table as table
 
 
@@ -30,9 +30,17 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_level_bpe, op2_benchmark_decontamination, op3_toxicity, op5_sharding, op7_url_filters)}
-ORACLES = {"op2_benchmark_decontamination": decontaminate.ORACLE, "op7_url_filters": url_filter.ORACLE}
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_scores(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_level_bpe, op2_benchmark_decontamination, op3_toxicity, op5_sharding, op6_warc, op7_url_filters, op8_exact_top_k)}
+ORACLES = {"op2_benchmark_decontamination": decontaminate.ORACLE, "op6_warc": warc.ORACLE, "op7_url_filters": url_filter.ORACLE, "op8_exact_top_k": vector_search.ORACLE}
