@@ -2,8 +2,8 @@
 
 A batch's distinct words become token-position rows.  A recursive query joins them to the merge table and contracts each word's leftmost
 pair of least rank until no pair is left; an ordered aggregation gathers the ids.  Decoding joins ids to their bytes and aggregates in
-order of position.  Where no pair that a merge makes new can rank below it (checked in the rank file), all its places in a word are
-contracted in one step, so long repetitive words take few rounds; the result is the same.
+order of position.  In words of over `LONG` bytes, where no pair that a merge makes new can rank below it (checked in the rank file), all
+its places are contracted in one step, so long repetitive words take few rounds; the result is the same.
 
 The rank file is read on the driver and broadcast: its size is fixed by the vocabulary and checked against `MOST_RANKS`.  Memory: texts are
 taken in slices of `SLICE_CHARS`, words in slices of `SLICE_BYTES`, and a worker remembers up to `REMEMBERED` encoded words (a hot word is
@@ -27,16 +27,38 @@ from tessera.llm.common import slices
 
 MOST_RANKS = 1_000_000
 SLICE_CHARS = 4_000_000
-SLICE_BYTES = 250_000
-REMEMBERED = 600_000
+SLICE_BYTES = 400_000
+SLICE_IDS = 1_000_000
+REMEMBERED = 800_000
+LONG = 200
 
-#: Rows of `start` (w, pos, id) to rows (w, ids).  r: twice the rank that the pair at pos merges into, one more if that merge isn't safe
-#: to repeat within a step; m: the least r of the word, null at the fixpoint.
+#: Rows of `start` (w, pos, id) to rows (w, ids), for words of under 65,536 bytes.  r: the rank that the pair at pos merges into; m: the
+#: word's least r and its leftmost pos in one number, null at the fixpoint.
 CONTRACT = """
 with recursive step as (
-  select w, pos, id, r, min(r) over (partition by w) m
+  select w, pos, id, r, min(r * 65536 + pos) over (partition by w) m
   from (select p.w, p.pos, p.id, g.r from (select *, lead(id) over (partition by w order by pos) nxt from start) p left join merges g on g.a = p.id and g.b = p.nxt)
   union all
+  select w, pos, id, r, min(r * 65536 + pos) over (partition by w) m
+  from (
+    select c.w, c.pos, c.id, g.r
+    from (
+      select w, pos, case when pos = mp then mr else id end id, case when pos = mp then i2 when p1 = mp then mr else i1 end nxt
+      from (
+        select w, pos, id, m & 65535 mp, (m >> 16)::int mr, lag(pos) over q p0, lead(pos) over q p1, lead(id) over q i1, lead(id, 2) over q i2
+        from step where m is not null window q as (partition by w order by pos))
+      where p0 is distinct from mp) c
+    left join merges g on g.a = c.id and g.b = c.nxt))
+select w, list(id order by pos) ids from step where m is null group by w
+"""
+
+#: The same for long words: every place of a safe merge in a step.  r: twice the rank that the pair at pos merges into, one more if that merge isn't safe
+#: to repeat within a step; m: the least r of the word, null at the fixpoint.
+CONTRACT_LONG = """
+with recursive step as (
+  select w, pos, id, r, min(r) over (partition by w) m
+  from (select p.w, p.pos, p.id, g.r from (select *, lead(id) over (partition by w order by pos) nxt from start) p left join long_merges g on g.a = p.id and g.b = p.nxt)
+  union all
   select w, pos, id, r, min(r) over (partition by w) m
   from (
     select p.w, p.pos, p.id, g.r
@@ -52,7 +74,7 @@ with recursive step as (
               else (n - coalesce(max(case when r is distinct from m then n end) over (partition by w order by n), 0)) % 2 = 1 end hit
             from (select *, row_number() over (partition by w order by pos) n from step where m is not null)))
         where not eaten)) p
-    left join merges g on g.a = p.id and g.b = p.nxt))
+    left join long_merges g on g.a = p.id and g.b = p.nxt))
 select w, list(id order by pos) ids from step where m is null group by w
 """
 
@@ -86,20 +108,21 @@ class Codec:
         np.minimum.at(least, made[:, 0], made[:, 2])
         np.minimum.at(least, made[:, 1], made[:, 2])
         code = made[:, 2] * 2 + (least[made[:, 2]] < made[:, 2])
-        merges = pa.table({"a": made[:, 0].astype(np.int32), "b": made[:, 1].astype(np.int32), "r": code.astype(np.int32)})
+        merges = pa.table({"a": made[:, 0].astype(np.int32), "b": made[:, 1].astype(np.int32), "r": made[:, 2]})
+        long_merges = merges.set_column(2, "r", pa.array(code.astype(np.int32)))
         vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": [t.hex() for t in ranks]})
-        for name, table in (("merges", merges), ("vocab", vocab)):
+        for name, table in (("merges", merges), ("long_merges", long_merges), ("vocab", vocab)):
             self.db.register("given", table)
             self.db.execute(f"create table {name} as select * from given")
             self.db.unregister("given")
 
-    def _contract(self, words: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    def _contract(self, words: list[bytes], query: str) -> Iterator[tuple[int, bytes]]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         total = int(lengths.sum())
         pos = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         start = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "pos": pos.astype(np.int32), "id": self.bytes_of[np.frombuffer(b"".join(words), np.uint8)]})
         self.db.register("start", start)
-        out = self.db.sql(CONTRACT).to_arrow_table().combine_chunks()
+        out = self.db.sql(query).to_arrow_table().combine_chunks()
         self.db.unregister("start")
         if not out.num_rows:
             return
@@ -124,15 +147,17 @@ class Codec:
                 self.known[word] = rank.to_bytes(4, "little")
             else:
                 todo.append((word, raw))
-        at = 0
-        while at < len(todo):
-            end, size = at, 0
-            while end < len(todo) and (end == at or size + len(todo[end][1]) <= SLICE_BYTES):
-                size += len(todo[end][1])
-                end += 1
-            for w, ids in self._contract([raw for _, raw in todo[at:end]]):
-                self.known[todo[at + w][0]] = ids
-            at = end
+        short, long = ([x for x in todo if (len(x[1]) > LONG) is kind] for kind in (False, True))
+        for words_, query in ((short, CONTRACT), (long, CONTRACT_LONG)):
+            at = 0
+            while at < len(words_):
+                end, size = at, 0
+                while end < len(words_) and (end == at or size + len(words_[end][1]) <= SLICE_BYTES):
+                    size += len(words_[end][1])
+                    end += 1
+                for w, ids in self._contract([raw for _, raw in words_[at:end]], query):
+                    self.known[words_[at + w][0]] = ids
+                at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -141,16 +166,19 @@ class Codec:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
+        """Each sequence's bytes; ids are taken in slices of `SLICE_IDS`, which may cut a sequence."""
         lengths = np.array([len(x) // 4 for x in ids], np.int64)
         flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.db.register("tokens", pa.table({"d": np.repeat(np.arange(len(ids), dtype=np.int32), lengths), "pos": pos.astype(np.int32), "id": flat}))
-        out = self.db.sql(GATHER).to_arrow_table()
-        self.db.unregister("tokens")
-        whole = [b""] * len(ids)
-        for d, b in zip(out["d"].to_pylist(), out["bytes"].to_pylist(), strict=True):
-            whole[d] = b
-        return whole
+        of = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+        whole: list[list[bytes]] = [[] for _ in ids]
+        for at in range(0, len(flat), SLICE_IDS):
+            part = slice(at, at + SLICE_IDS)
+            self.db.register("tokens", pa.table({"d": of[part], "pos": np.arange(len(flat[part]), dtype=np.int32), "id": flat[part]}))
+            out = self.db.sql(GATHER).to_arrow_table()
+            self.db.unregister("tokens")
+            for d, b in zip(out["d"].to_pylist(), out["bytes"].to_pylist(), strict=True):
+                whole[d].append(b)
+        return list(map(b"".join, whole))
 
 
 _CODECS: dict[tuple[int, str], Codec] = {}
