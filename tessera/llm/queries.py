@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontaminate, ngram_join, paragraphs, sharding, toxicity, url_filter, vector_search, warc
+from tessera.llm import bpe, decontaminate, ngram_join, paragraphs, sharding, suffix_dedup, toxicity, url_filter, vector_search, warc
 from tessera.llm.common import read_table as table
 
 
@@ -26,6 +26,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_level_bpe, op2_benchmark_decontamination, op3_toxicity, op5_sharding, op6_warc, op7_url_filters, op8_exact_top_k, op9_paragraph_dedup, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_byte_level_bpe, op2_benchmark_decontamination, op3_toxicity, op4_suffix_array_dedup, op5_sharding, op6_warc, op7_url_filters, op8_exact_top_k, op9_paragraph_dedup, op10_ngram_jaccard_join)}
 ORACLES = {"op2_benchmark_decontamination": decontaminate.ORACLE, "op6_warc": warc.ORACLE, "op7_url_filters": url_filter.ORACLE, "op8_exact_top_k": vector_search.ORACLE, "op10_ngram_jaccard_join": ngram_join.ORACLE}
