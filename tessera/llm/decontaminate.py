@@ -236,7 +236,7 @@ def clean_text(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(kept).decode()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, most_words: int = 40, most_coverage: float = 0.3) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, most_words: int = 9, most_coverage: float = 0.1) -> DataFrame:
     """docs with contaminated spans cut out of `text` (and n_chars set anew).  A document that holds a span of over most_words words, or has
     over most_coverage of its words in spans, loses them; shorter and rarer matches stay.  Every document stays; one that is cut whole has an
     empty text.  One pass over texts per part."""
