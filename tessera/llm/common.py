@@ -65,7 +65,7 @@ class WordHashes(dict):
         return value
 
 
-_WORDS = WordHashes()
+WORDS = WordHashes()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -78,14 +78,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
+def shingles(text: str | bytes | None, width: int = 5) -> np.ndarray:
     """Distinct hashes of `width`-word shingles: A-Z lower-cased, words split at ASCII white space; shorter texts are one shingle, none without words."""
     if not text:
         return np.empty(0, np.uint64)
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+    words = (text.encode() if isinstance(text, str) else text).translate(LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
     n = len(w)
     if n < width:
         h = np.array([n], np.uint64)
@@ -110,8 +110,40 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def pack_columns(columns: list[np.ndarray]) -> bytes:
+    """Equally long columns in one compressed binary, byte plane by byte plane."""
+    import zstandard
+
+    head = np.array([len(columns[0])], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.frombuffer(c.tobytes(), np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns))
+
+
+def unpack_columns(blob: bytes, kinds: list) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, at, out = int(np.frombuffer(raw[:8], np.int64)[0]), 8, []
+    for kind in map(np.dtype, kinds):
+        size = n * kind.itemsize
+        out.append(np.frombuffer(np.frombuffer(raw[at : at + size], np.uint8).reshape(kind.itemsize, n).T.tobytes(), kind))
+        at += size
+    return out
+
+
+def zipped(rows: DataFrame, text: str, packed: str = "packed") -> DataFrame:
+    """rows with a column of texts (string or binary; null: empty) replaced by a compressed one, for a shuffle."""
+    others = [n for n in rows.columns if n != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3).compress
+        for b in slices(batches):
+            made = [press(t.encode() if isinstance(t, str) else t or b"") for t in b.column(len(others)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(others))), pa.array(made, pa.binary())], names=[*others, packed])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*others, text).mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in others), f"{packed} binary"]))
 
 
 def slices(batches: Iterator[pa.RecordBatch], chars: int = 16_000_000) -> Iterator[pa.RecordBatch]:

@@ -27,36 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CHAIN, input_partitions, materialise, mix, slices
+from tessera.llm.common import CHAIN, input_partitions, materialise, mix, pack_columns, slices, unpack_columns, zipped
 
 SPAN, GRAM = 50, 16
 REACH = SPAN - GRAM  # an anchor lies at most so far after its window's start
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 3_000_000
 BUCKET_BYTES = 6 << 20
 _TABLE = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: An occurrence: anchor hash, context hash, doc_id, text's number in its slice, first window's start, windows - 1, anchor's offset in the first.
 OCCURRENCE = [("key", np.uint64), ("context", np.uint64), ("doc", np.int64), ("text", np.int32), ("start", np.int32), ("more", np.uint8), ("offset", np.uint8)]
 
 
-def _packed(columns: list[np.ndarray]) -> bytes:
-    import zstandard
-
-    head = np.array([len(columns[0])], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.frombuffer(c.tobytes(), np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns))
-
-
-def _unpacked(blob: bytes, kinds: list) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(blob, max_output_size=1 << 31)
-    n, at, out = int(np.frombuffer(raw[:8], np.int64)[0]), 8, []
-    for kind in map(np.dtype, kinds):
-        size = n * kind.itemsize
-        out.append(np.frombuffer(np.frombuffer(raw[at : at + size], np.uint8).reshape(kind.itemsize, n).T.tobytes(), kind))
-        at += size
-    return out
-
-
 def _gram_hashes(x: np.ndarray, k: int) -> np.ndarray:
     """Polynomial hashes of the k bytes from each place (of a byte array's hashes); meaningless in the last k - 1."""
     n, out, length, power, size = len(x), None, 0, x, 1
@@ -191,11 +172,11 @@ def removed_spans(docs: DataFrame) -> DataFrame:
                 bucket, columns = bucket[by], [c[by] for c in columns]
                 edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
                 for a, e in zip(edges, np.append(edges[1:], len(bucket)), strict=True):
-                    yield row_batch(int(bucket[a]), name, _packed([c[a:e] for c in columns]))
+                    yield row_batch(int(bucket[a]), name, pack_columns([c[a:e] for c in columns]))
             spans = np.concatenate(local)
             table = [np.array(rows, np.int64)]
-            yield row_batch(buckets + name % buckets, name, _packed(table))
-            yield row_batch(buckets + name % buckets, name, b"i" + _packed([spans[:, 0], spans[:, 1], spans[:, 2]]))
+            yield row_batch(buckets + name % buckets, name, pack_columns(table))
+            yield row_batch(buckets + name % buckets, name, b"i" + pack_columns([spans[:, 0], spans[:, 1], spans[:, 2]]))
 
     def row_batch(bucket: int, name: int, blob: bytes) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([name], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "slice", "blob"])
@@ -208,7 +189,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         if table["bucket"][0].as_py() >= buckets:
             out = [(n, x if x[:1] == b"i" else b"t" + x) for n, x in zip(names, blobs, strict=True)]
         else:
-            parts = [_unpacked(x, kinds) for x in blobs]
+            parts = [unpack_columns(x, kinds) for x in blobs]
             of = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
             key, context, doc, text, start, more, offset = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.argsort(key, kind="stable")
@@ -230,7 +211,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
                 for kind, rows in ((b"r", gone), (b"q", asked)):
                     for n, (r,) in _by_text(of[rows], rows):
                         columns = [text[r], start[r], more[r]] + ([offset[r], key[r]] if kind == b"q" else [])
-                        out.append((names[n], kind + _packed(columns)))
+                        out.append((names[n], kind + pack_columns(columns)))
         return pa.table({"slice": pa.array([n for n, _ in out], pa.int64()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     def per_text(table: pa.Table) -> pa.Table:
@@ -239,21 +220,21 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         for blob in table["blob"].to_pylist():
             kind, blob = blob[:1], blob[1:]
             if kind == b"t":
-                rows = _unpacked(blob, [np.int64])[0]
+                rows = unpack_columns(blob, [np.int64])[0]
             elif kind == b"i":
-                spans.append(np.stack(_unpacked(blob, [np.int32] * 3), axis=1))
+                spans.append(np.stack(unpack_columns(blob, [np.int32] * 3), axis=1))
             elif kind == b"r":
-                text, start, more = _unpacked(blob, [np.int32, np.int32, np.uint8])
+                text, start, more = unpack_columns(blob, [np.int32, np.int32, np.uint8])
                 spans.append(np.stack([text, start, start + more.astype(np.int32) + SPAN], axis=1))
             else:
-                asked.append(_unpacked(blob, [np.int32, np.int32, np.uint8, np.uint8, np.uint64]))
+                asked.append(unpack_columns(blob, [np.int32, np.int32, np.uint8, np.uint8, np.uint64]))
         found: dict[int, list] = {}
         every = np.concatenate(spans)
         for t, (a, e) in _by_text(every[:, 0], every[:, 1], every[:, 2]):
             found.setdefault(t, [None, None])[0] = merged(np.stack([a, e], axis=1)).astype(np.int32).tobytes()
         if asked:
             for t, columns in _by_text(*(np.concatenate(c) for c in zip(*asked, strict=True))):
-                found.setdefault(t, [None, None])[1] = _packed(columns)
+                found.setdefault(t, [None, None])[1] = pack_columns(columns)
         return pa.table({"row": pa.array([int(rows[t]) for t in found], pa.int64()), "spans": pa.array([x[0] for x in found.values()], pa.binary()), "asked": pa.array([x[1] for x in found.values()], pa.binary())})
 
     sent = docs.where("doc_id is not null").select("row", "doc_id", "text").mapInArrow(dealt, "bucket int, slice long, blob binary")
@@ -267,7 +248,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         for b in slices(batches, SLICE_BYTES):
             parts: list[list[np.ndarray]] = []
             for row, doc, packed, asked in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                start, more, offset, key = _unpacked(asked, [np.int32, np.uint8, np.uint8, np.uint64])
+                start, more, offset, key = unpack_columns(asked, [np.int32, np.uint8, np.uint8, np.uint64])
                 raw = unzip(packed)
                 text = np.concatenate([np.zeros(REACH, np.uint8), np.frombuffer(raw, np.uint8), np.zeros(SPAN, np.uint8)])
                 anchor = start.astype(np.int64) + offset
@@ -276,10 +257,10 @@ def removed_spans(docs: DataFrame) -> DataFrame:
                 columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
                 bucket = (mix(columns[0]) % np.uint64(buckets)).astype(np.int32)
                 for n, (r,) in _by_text(bucket, np.arange(len(bucket))):
-                    yield row_batch(n, 0, _packed([c[r] if c.ndim == 1 else np.ascontiguousarray(c[r]).view(f"V{REACH + SPAN}").ravel() for c in columns]))
+                    yield row_batch(n, 0, pack_columns([c[r] if c.ndim == 1 else np.ascontiguousarray(c[r]).view(f"V{REACH + SPAN}").ravel() for c in columns]))
 
     def decided(table: pa.Table) -> pa.Table:
-        parts = [_unpacked(x, [np.uint64, np.int64, np.int64, np.int32, np.uint8, np.uint8, f"V{REACH + SPAN}"]) for x in table["blob"].to_pylist()]
+        parts = [unpack_columns(x, [np.uint64, np.int64, np.int64, np.int32, np.uint8, np.uint8, f"V{REACH + SPAN}"]) for x in table["blob"].to_pylist()]
         key, doc, row, start, more, offset, text = (np.concatenate(c) for c in zip(*parts, strict=True))
         text = np.frombuffer(text.tobytes(), np.uint8).reshape(len(key), REACH + SPAN)
         order = np.argsort(key, kind="stable")
@@ -304,7 +285,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         found = [(int(r), merged(np.stack([a, e], axis=1)).astype(np.int32).tobytes()) for r, (a, e) in _by_key(rows_, spans_)]
         return pa.table({"row": pa.array([r for r, _ in found], pa.int64()), "spans": pa.array([s for _, s in found], pa.binary())})
 
-    texts = zipped(docs.where("doc_id is not null"))
+    texts = zipped(docs.where("doc_id is not null").select("row", "doc_id", "text"), "text")
     asking = texts.join(whole.where("asked is not null").select("row", "asked").hint("shuffle_hash"), "row").select("row", "doc_id", "packed", "asked")
     more = asking.mapInArrow(contexts, "bucket int, slice long, blob binary").groupBy("bucket").applyInArrow(decided, "row long, spans binary")
     return whole.where("spans is not null").select("row", "spans").unionAll(more).groupBy("row").agg(F.collect_list("spans").alias("spans"))
@@ -320,19 +301,6 @@ def hash_of(rows: list[int]) -> int:
     return xxhash.xxh3_64_intdigest(np.array(rows, np.int64).tobytes())
 
 
-def zipped(docs: DataFrame) -> DataFrame:
-    """row, doc_id, packed: the text compressed, for a shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=3).compress
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press(t or b"") for t in b.column(2).to_pylist()], pa.binary())], names=["row", "doc_id", "packed"])
-
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, packed binary")
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """row (a hash of doc_id and text), doc_id, text in bytes."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -343,7 +311,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, kept (binary), n_bytes, n_removed, n_spans."""
     rows = keyed(docs)
     spans = removed_spans(rows)
-    joined = zipped(rows).join(spans.hint("shuffle_hash"), "row", "left").select("doc_id", "packed", "spans")
+    joined = zipped(rows, "text").join(spans.hint("shuffle_hash"), "row", "left").select("doc_id", "packed", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
