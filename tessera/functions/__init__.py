@@ -1,0 +1 @@
+"""Column builders: alphabets, matrices, scalar and set functions."""

@@ -1,0 +1 @@
+"""Operators on sequence tables."""

@@ -1,0 +1 @@
+"""Readers and writers of sequence, vocabulary, ranking, domain and distribution files."""
