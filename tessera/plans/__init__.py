@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.plans import tiling
+from tessera.plans import ranking, tiling
 
-_MODULES = (tiling,)
+_MODULES = (tiling, ranking)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
+
+
+def flagship(spark, sf_dir):
+    """The ten texts nearest to each benchmark item."""
+    return ranking.rank_texts(spark, sf_dir)
