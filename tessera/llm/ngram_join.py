@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import input_partitions, jaccard_at_least, materialise, mix, shingles, slices
-from tessera.llm.pairs import PACKED, SETS, linked, pack, parity_sketch
+from tessera.llm.common import input_partitions, materialise, mix, shingles, slices, zipped
+from tessera.llm.pairs import PACKED, TEXTS, linked, pack, parity_sketch
 
 PERCENT = 75
 HOT = 1 << 17
@@ -53,19 +53,17 @@ def segment_keys(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
     out = []
     for k in bands:
         m = 2 * 4**k
-        seg = (s & np.uint64(m - 1)).astype(np.int64)
-        order = np.argsort(seg, kind="stable")
-        seg, h, f = seg[order], s[order], frequent[order]
+        seg = s >> np.uint64(64 - (m - 1).bit_length())  # in order, as the hashes are
         at = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
-        xor = np.bitwise_xor.reduceat(h, at)
-        size = np.diff(np.append(at, n))
-        cold = ~np.logical_and.reduceat(f, at)
-        key = mix(xor ^ (seg[at].astype(np.uint64) << np.uint64(40)) ^ np.uint64(k << 56))
-        rank = np.lexsort((key, -size, ~cold))[:need]
-        key = key[rank]
-        if len(key) < need:  # too few segments hold anything: empty ones, the most frequent of all, have to serve
-            empty = np.setdiff1d(np.arange(m), seg[at])[: need - len(key)].astype(np.uint64)
-            key = np.append(key, mix((empty << np.uint64(8)) ^ np.uint64((k << 56) | 0xFF)))
+        size = np.minimum(np.diff(np.append(at, n)), 63).astype(np.uint64)
+        hash_ = mix(np.bitwise_xor.reduceat(s, at) ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        # the key's own value is the order: frequent segments last, of the others those with more shingles first
+        key = (np.logical_and.reduceat(frequent, at).astype(np.uint64) << np.uint64(62)) | ((np.uint64(63) - size) << np.uint64(56)) | (hash_ >> np.uint64(8))
+        if len(key) > need:
+            key = np.partition(key, need - 1)[:need]
+        elif len(key) < need:  # too few segments hold anything: empty ones, the most frequent of all, have to serve
+            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), seg[at])[: need - len(key)]
+            key = np.append(key, (np.uint64(1) << np.uint64(63)) | (np.uint64(k) << np.uint64(56)) | empty)
         out.append(key)
     return np.concatenate(out)
 
@@ -74,7 +72,7 @@ def document_sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """doc_id, n, item of every document with words; and the most frequent shingles, sorted.  One pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 32_000_000):
+        for b in slices(batches, 12_000_000):
             seen: dict[int, np.ndarray] = {}
             n, item = [], []
             for text in b.column(1).to_pylist():
@@ -106,7 +104,7 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
-        for b in slices(batches, 32_000_000):
+        for b in slices(batches, 12_000_000):
             done: set[int] = set()
             keys, items, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for text in b.column(0).to_pylist():
@@ -119,25 +117,29 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 keys.append(k)
                 items.append(np.full(len(k), item))
                 sizes.append(np.full(len(k), len(s), np.int32))
-            for row in pack(np.concatenate(keys), np.concatenate(items), np.concatenate(sizes), buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["bucket", "keys", "items", "sizes"])
+            yield from pack(np.concatenate(keys), np.concatenate(items), np.concatenate(sizes), buckets)
 
     packed = docs.where("doc_id is not null").select("text").mapInArrow(keyed, PACKED)
 
-    def sets_of(items: DataFrame) -> DataFrame:
-        """Each item's set, from the first document that has it."""
+    def texts_of(items: DataFrame) -> DataFrame:
+        """Each item's text, from the first document that has it."""
         first = rows.where("doc_id is not null").groupBy("item").agg(F.min("doc_id").alias("doc_id"))
         wanted = first.join(items, "item").select("doc_id", F.col("item").alias("wanted"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
-                made = [shingles(t) for t in b.column(0).to_pylist()]
+            import zstandard
+
+            unzip = zstandard.ZstdDecompressor().decompress
+            for b in slices(batches, 4_000_000):
+                made = [shingles(unzip(x)) for x in b.column(0).to_pylist()]
                 good = pa.array([item_of(s) == w for s, w in zip(made, b.column(1).to_pylist(), strict=True)])
-                yield pa.RecordBatch.from_pydict({"item": b.column(1), "hashes": pa.array([s.tobytes() for s in made], pa.binary()), "sketch": pa.array(list(map(parity_sketch, made)), pa.binary())}).filter(good)
+                yield pa.RecordBatch.from_pydict({
+                    "item": b.column(1), "size": pa.array(list(map(len, made)), pa.int32()), "sketch": pa.array(list(map(parity_sketch, made)), pa.binary()), "packed": b.column(0),
+                }).filter(good)
 
-        return docs.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "wanted").mapInArrow(run, SETS).dropDuplicates(["item"])
+        return zipped(docs, "text").join(wanted.hint("shuffle_hash"), "doc_id").select("packed", "wanted").mapInArrow(run, TEXTS)
 
-    labels = linked(packed, sets_of, PERCENT, lambda x, y: jaccard_at_least(x, y, PERCENT), "ngram")
+    labels = linked(packed, texts_of, PERCENT, "ngram")
     least = rows.where("n > 0 and doc_id is not null").groupBy("item").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     classes = least.join(labels, least["item"] == labels["node"], "left").select("item", "doc_id", "copies", F.coalesce("component", "item").alias("class"))
     smallest = classes.groupBy("class").agg(F.min("doc_id").alias("component"), F.sum("copies").alias("members")).where("members > 1")

@@ -4,10 +4,9 @@ A worker turns a slice of texts into (key, item) pairs, each distinct pair once,
 packed arrays in one row.  So millions of pairs move as a few rows, equal items of a slice (copies) count once, and a bucket's size is
 bounded by the number of buckets, which follows the input.
 
-Within a bucket, items that share a key are candidates.  Up to `SMALL` items give all pairs; a larger group gives a star and a chain, a
-number of pairs linear in it.  After those are verified and joined into components, only groups that still span several components are
-looked at again: first against a few members chosen by hash, then, for what is still apart, item by item across components, in blocks.  So
-no link is lost and a large group of copies never becomes all pairs.
+Within a bucket, items that share a key are candidates: a group gives stars, a number of pairs linear in it.  After those are verified and joined into components, only what still spans several components is looked at
+again, at first against a few members chosen by hash, then by sketches (see `linked`).  So no link is lost and a large group of copies never
+becomes all pairs.
 """
 
 from __future__ import annotations
@@ -19,31 +18,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, materialise
+from tessera.llm.common import components, jaccard_at_least, materialise, mix, pack_columns, shingles, slices, unpack_columns
 
-#: What sets_of returns.
-SETS = "item long, hashes binary, sketch binary"
+#: What texts_of returns: an item's size, its sketch, and its compressed text, from which the set can be made again.
+TEXTS = "item long, size int, sketch binary, packed binary"
 
-SMALL = 6
-PACKED = "bucket int, keys binary, items binary, sizes binary"
+FAMILY = 16_384
+PACKED = "bucket int, pairs binary"
 
 
-def pack(keys: np.ndarray, items: np.ndarray, sizes: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """Rows of one slice: pairs (key, item) with the items' sizes, by bucket."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int32)
+def pack(keys: np.ndarray, items: np.ndarray, sizes: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (PACKED) of one slice: pairs (key, item) with the items' sizes, by bucket."""
+    bucket = (mix(keys) % np.uint64(buckets)).astype(np.int32)
     order = np.lexsort((keys, bucket))
     keys, items, sizes, bucket = keys[order], items[order], sizes[order], bucket[order]
     if not len(keys):
         return
     edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield int(bucket[a]), keys[a:b].tobytes(), items[a:b].tobytes(), sizes[a:b].astype(np.int32).tobytes()
+        blob = pack_columns([keys[a:b], items[a:b], sizes[a:b].astype(np.int32)])
+        yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "pairs"])
 
 
 def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (key, item) pairs of a bucket whose key has two items or more, in order of key, size and item; and where keys begin."""
-    join = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-    keys, items, sizes = join("keys", np.uint64), join("items", np.int64), join("sizes", np.int32)
+    parts = [unpack_columns(x, [np.uint64, np.int64, np.int32]) for x in table["pairs"].to_pylist()]
+    keys, items, sizes = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.argsort(keys, kind="stable")
     k = keys[order]
     again = np.zeros(len(k), bool)
@@ -60,42 +60,41 @@ def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return keys, items, sizes, starts
 
 
-def candidates(packed: DataFrame, fits: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str) -> DataFrame:
-    """One table of two kinds of rows: pairs to verify (a, b, null) and members of larger groups (item, null, key).  fits(sizes, sizes) tells
-    which pairs are worth it, by size."""
+def candidates(packed: DataFrame, percent: int, name: str) -> DataFrame:
+    """One table of two kinds of rows: pairs (a, b, null), and for each bucket the groups of three items or more (null, null, groups: packed
+    keys and items).
+
+    A group's items, in order of size, fall into stretches where neighbours' sizes fit; each stretch gives a star around its least item.  So
+    stars of a family's many groups have few centres, and pairs are few."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, items, sizes, starts = _groups(table)
         counts = np.diff(np.append(starts, len(keys)))
-        left, right = [], []
-
-        def emit(i: np.ndarray, j: np.ndarray) -> None:
-            good = fits(sizes[i], sizes[j])
-            left.append(items[i[good]])
-            right.append(items[j[good]])
-
-        for c in range(2, SMALL + 1):
-            s = starts[counts == c]
-            for x in range(c):
-                for y in range(x + 1, c):
-                    emit(s + x, s + y)
-        big = counts > SMALL
-        member = np.repeat(big, counts)
-        at = np.flatnonzero(member)
-        first = np.repeat(starts[big], counts[big])
-        emit(first[at > first], at[at > first])
-        emit(at[at > first] - 1, at[at > first])
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        if len(a):
-            a, b = np.unique(np.stack([a, b]), axis=1)
-        none = pa.nulls(len(at), pa.int64())
-        return pa.concat_tables([
-            pa.table({"a": pa.array(a), "b": pa.array(b), "key": pa.nulls(len(a), pa.int64()), "size": pa.nulls(len(a), pa.int32())}),
-            pa.table({"a": pa.array(items[at]), "b": none, "key": pa.array(keys[at].view(np.int64)), "size": pa.array(sizes[at])}),
-        ])
-
-    return materialise(packed.groupBy("bucket").applyInArrow(run, "a long, b long, key long, size int"), name)
+        left = right = np.empty(0, np.int64)
+        if len(keys):
+            cut = np.ones(len(keys), bool)
+            cut[1:] = (keys[1:] != keys[:-1]) | (100 * sizes[:-1].astype(np.int64) < percent * sizes[1:].astype(np.int64))
+            heads = np.flatnonzero(cut)
+            centre = np.minimum.reduceat(items, heads)[np.cumsum(cut) - 1]
+            apart = items != centre
+            left, right = np.unique(np.stack([centre[apart], items[apart]]), axis=1)
+        several = np.repeat(counts > 2, counts)
+        blob = pack_columns([keys[several], items[several]])
+        return pa.table({"a": pa.array([*left.tolist(), None], pa.int64()), "b": pa.array([*right.tolist(), None], pa.int64()), "groups": pa.array([None] * len(left) + [blob], pa.binary())})
+
+    return materialise(packed.groupBy("bucket").applyInArrow(run, "a long, b long, groups binary"), name)
+
+
+def unpacked_groups(found: DataFrame) -> DataFrame:
+    """The groups of `candidates` as rows: key, a."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                keys, items = unpack_columns(blob, [np.uint64, np.int64])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(items)], names=["key", "a"])
+
+    return found.where("groups is not null").select("groups").mapInArrow(run, "key long, a long")
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
@@ -143,35 +142,8 @@ def cross_pairs(members: DataFrame, percent: int, block: int = 1024) -> DataFram
     return dealt.select("key", "a", "size", "label", "sketch", "own", "pair.p", "pair.q").groupBy("key", "p", "q").applyInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similar: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
-    """The pairs (a, b) whose sets (item, hashes, sketch) are similar.  Each item has one row in sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = b.column(2), b.column(3)
-            good = [similar(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) for i in range(b.num_rows)]
-            yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    one = sets.select(F.col("item").alias("a"), F.col("hashes").alias("x"))
-    two = sets.select(F.col("item").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def spanning(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members (a, key, size, label, sketch) of the groups that still span several components."""
-    at = members.join(labels, members["a"] == labels["node"], "left").select("key", "a", "size", F.coalesce("component", "a").alias("label"))
-    spread = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return at.join(spread, "key", "left_semi").join(sets.select(F.col("item").alias("a"), "sketch"), "a")
-
-
-def centre_pairs(members: DataFrame, salt: int, percent: int, centres: int = 6) -> DataFrame:
-    """members (a, key, size, label, sketch) -> each member with a few of its group, chosen by hash, of other components and with a near
-    sketch: linear in the group."""
-    who = F.struct("a", "label", "size", "sketch")
-    chosen = members.groupBy("key").agg(*[F.min_by(who, F.xxhash64("a", F.lit(salt * centres + i))).alias(f"c{i}") for i in range(centres)])
-    chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(centres)]))).alias("c"))
-    met = members.join(chosen, "key").where(F.col("label") != F.col("c.label"))
-    met = met.select("a", F.col("c.a").alias("b"), "size", F.col("c.size").alias("other_size"), "sketch", F.col("c.sketch").alias("other_sketch"))
+def near_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,38 +155,83 @@ def centre_pairs(members: DataFrame, salt: int, percent: int, centres: int = 6)
                 good[i] = near(f[0], f[1], int(sizes[i, 0]), sizes[i, 1:], percent)[0]
             yield batch.select([0, 1]).filter(pa.array(good))
 
-    return met.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = texts.select(F.col("item").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x"))
+    two = texts.select(F.col("item").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of percent or more: sketches first, then the sets themselves."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unzip = zstandard.ZstdDecompressor().decompress
+        for b in slices(batches):
+            made: dict[int, np.ndarray] = {}
+            good = []
+            for i, j, x, y in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                for item, packed in ((i, x), (j, y)):
+                    if item not in made:
+                        made[item] = shingles(unzip(packed))
+                good.append(jaccard_at_least(made[i], made[j], percent))
+            yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-def linked(packed: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, similar, name: str, rounds: int = 2) -> DataFrame:
-    """(node, component) of every item that is similar to another.  sets_of(items) gives item, hashes and sketch of the items (item) asked for; similar items'
-    sizes differ by `percent` at most.
+    one = texts.select(F.col("item").alias("a"), F.col("packed").alias("x"))
+    two = texts.select(F.col("item").alias("b"), F.col("packed").alias("y"))
+    left = near_pairs(pairs, texts, percent)
+    return left.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
-    The pairs of small groups, stars and chains come first.  Groups that then span components are tried against a few of their members, in
-    rounds, which joins groups of near copies at linear cost; what is still apart is compared pair by pair, so no link is lost."""
 
-    def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return 100 * np.minimum(a, b).astype(np.int64) >= percent * np.maximum(a, b).astype(np.int64)
+def spanning(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """members (a, key) -> (a, key, size, label, sketch) of the groups that still span several components."""
+    at = members.join(labels, members["a"] == labels["node"], "left").select("key", "a", F.coalesce("component", "a").alias("label"))
+    spread = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    sketches = texts.select(F.col("item").alias("a"), "size", "sketch").dropDuplicates(["a"])
+    return at.join(spread, "key", "left_semi").join(sketches, "a")
+
 
-    found = candidates(packed, fits, name)
-    pairs = materialise(found.where("key is null").select("a", "b").distinct(), name)
-    members = found.where("key is not null").select("a", "key", "size")
-    items = pairs.select(F.explode(F.array("a", "b")).alias("item")).unionAll(members.select(F.col("a").alias("item"))).distinct()
-    sets = materialise(sets_of(items), name)
-    links = materialise(verified(pairs, sets, similar), name)
+def centre_pairs(members: DataFrame, salt: int, percent: int, centres: int = 6) -> DataFrame:
+    """members (a, key, size, label) -> each member with a few of its group, chosen by hash, of other components: linear in the group."""
+    who = F.struct("a", "label", "size")
+    chosen = members.groupBy("key").agg(*[F.min_by(who, F.xxhash64("a", F.lit(salt * centres + i))).alias(f"c{i}") for i in range(centres)])
+    chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(centres)]))).alias("c"))
+    met = members.select("key", "a", "label", "size").join(chosen, "key").where(F.col("label") != F.col("c.label"))
+    met = met.where(100 * F.least("size", "c.size") >= percent * F.greatest("size", "c.size"))
+    return met.select(F.least("a", "c.a").alias("a"), F.greatest("a", "c.a").alias("b")).distinct()
+
+
+def linked(packed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, name: str, rounds: int = 1) -> DataFrame:
+    """(node, component) of every item that is similar to another.  texts_of(items) gives TEXTS of the items (item) asked for; two rows of
+    an item are alike.
+
+    Stars of the groups come first; over them, similar or not, items fall into families, and no link leaves a family.  Families that span
+    several components of verified links are tried against a few of their members, which joins near copies at linear cost.  What is still
+    apart is compared by sketches, block by block: within a family of up to `FAMILY` items each pair once, in a larger one only where a key is
+    shared."""
+    found = candidates(packed, percent, name)
+    pairs = materialise(found.where("groups is null").select("a", "b").distinct(), name)
+    families = components(pairs).select(F.col("node").alias("a"), F.col("component").alias("key"))
+    texts = materialise(texts_of(families.select(F.col("a").alias("item"))), name)
+    links = materialise(verified(pairs, texts, percent), name)
     labels = components(links)
+    large = families.groupBy("key").count().where(F.col("count") > FAMILY).select("key")
     for k in range(rounds + 1):
-        apart = materialise(spanning(members, labels, sets), name)
+        apart = materialise(spanning(families, labels, texts), name)
         if apart.isEmpty():
             break
-        more = centre_pairs(apart, k, percent) if k < rounds else cross_pairs(apart, percent)
-        more = materialise(more.join(pairs, ["a", "b"], "left_anti"), name)
-        new = materialise(verified(more, sets, similar), name)
-        if new.isEmpty():
-            if k == rounds:
-                break
-            pairs = pairs.unionAll(more)
-            continue
-        pairs, links = pairs.unionAll(more), links.unionAll(new)
-        labels = components(links)
+        if k < rounds:
+            more = centre_pairs(apart, k, percent)
+        else:
+            more = cross_pairs(apart.join(large, "key", "left_anti"), percent)
+            if not large.isEmpty():
+                inside = families.join(large, "key", "left_semi").select("a")
+                by_key = unpacked_groups(found).join(inside, "a", "left_semi")
+                more = more.unionAll(cross_pairs(spanning(by_key, labels, texts), percent))
+        more = materialise(more.distinct().join(pairs, ["a", "b"], "left_anti"), name)
+        new = materialise(verified(more, texts, percent), name)
+        pairs = pairs.unionAll(more)
+        if not new.isEmpty():
+            links = links.unionAll(new)
+            labels = components(links)
     return labels

@@ -5,26 +5,27 @@ MinHash (14 bands of 4 rows: a pair at 0.75 collides with probability 0.995, one
 exact Jaccard similarity of 0.75 or more, and similar sets are joined into components.  Of each component the first paragraph, by doc_id and
 line, stays; all later ones are cut from their texts.
 
-Equal sets are one item, so a line that a third of all documents share costs one item per slice; groups of near copies are joined at linear
+Equal paragraphs are one item, so a line that a third of all documents share costs one item per slice; groups of near copies are joined at linear
 cost (see `pairs`).  Occurrences meet their component's first by a join that adaptive execution may split.
 
 Nulls: a null text has no paragraphs; rows with a null doc_id are returned uncut.  Texts of rows that repeat a doc_id are each cut where line
-and set agree.  Short lines always stay.  Empty tables give no rows.  `cut` keeps all columns of docs, `report` reads doc_id and text.
+and words agree.  Short lines always stay.  Empty tables give no rows.  `cut` keeps all columns of docs, `report` reads doc_id and text.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import input_partitions, jaccard_at_least, materialise, mix, shingles, slices
-from tessera.llm.ngram_join import item_of
-from tessera.llm.pairs import PACKED, SETS, linked, pack, parity_sketch
+from tessera.llm.common import CHAIN, LOWER, WORDS, input_partitions, materialise, mix, shingles, slices, zipped
+from tessera.llm.pairs import PACKED, TEXTS, linked, pack, parity_sketch
 
 LEAST_WORDS, PERCENT = 10, 75
 BANDS, ROWS = 14, 4
@@ -35,25 +36,45 @@ MULTIPLY = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
 OFFSET = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
-def paragraph_sets(text: str | None) -> Iterator[tuple[int, np.ndarray]]:
-    """(line number, set) of each paragraph."""
-    for line, words in enumerate((text or "").split("\n")):
-        if words.count(" ") + words.count("\t") >= LEAST_WORDS - 1 and len(words.split()) >= LEAST_WORDS:
-            yield line, shingles(words)
-
-
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, BANDS) keys; the sets aren't empty."""
-    h = np.concatenate(sets)
-    starts = np.cumsum([0, *map(len, sets)])[:-1]
-    keys = np.empty((len(sets), BANDS), np.uint64)
+def paragraphs_of(text: str | bytes | None) -> Iterator[tuple[int, list[bytes], int]]:
+    """(line number, words with A-Z lower-cased, item) of each paragraph; item: a signed 64-bit hash of the words."""
+    for line, raw in enumerate((text.encode() if isinstance(text, str) else text or b"").translate(LOWER).split(b"\n")):
+        if len(raw) >= 2 * LEAST_WORDS - 1 and len(words := raw.split()) >= LEAST_WORDS:
+            h = xxhash.xxh3_64_intdigest(b" ".join(words))
+            yield line, words, h - (h >> 63 << 64)
+
+
+def hashed(paragraphs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle hashes of many paragraphs end to end, where each begins, and how many distinct ones each has."""
+    lengths = np.fromiter(map(len, paragraphs), np.int64, len(paragraphs))
+    w = np.fromiter(map(WORDS.__getitem__, chain.from_iterable(paragraphs)), np.uint64, int(lengths.sum()))
+    h = w[: len(w) - 4].copy()
+    for j in range(1, 5):
+        h *= CHAIN
+        h += w[j : len(w) - 4 + j]
+    inside = np.ones(len(w), bool)
+    ends = np.cumsum(lengths)
+    for j in range(1, 5):
+        inside[ends - j] = False
+    h = mix(h[inside[: len(h)]])
+    counts = lengths - 4
+    starts = np.cumsum(counts) - counts
+    which = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    marked = np.sort((which << np.uint64(42)) | (h >> np.uint64(22)))
+    new = np.concatenate(([True], marked[1:] != marked[:-1]))
+    return h, starts, np.add.reduceat(new.astype(np.int32), starts)
+
+
+def band_keys(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(paragraphs, BANDS) keys of `hashed` paragraphs."""
+    keys = np.empty((len(starts), BANDS), np.uint64)
     for b in range(BANDS):
-        chain = np.full(len(sets), b + 1, np.uint64)
+        key = np.full(len(starts), b + 1, np.uint64)
         for r in range(b * ROWS, (b + 1) * ROWS):
             v = h * MULTIPLY[r]
             v += OFFSET[r]
-            chain = chain * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(v >> np.uint64(24), starts)
-        keys[:, b] = mix(chain)
+            key = key * CHAIN + (np.minimum.reduceat(v, starts) >> np.uint64(24))
+        keys[:, b] = mix(key)
     return keys
 
 
@@ -64,10 +85,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for b in slices(batches):
             doc, line, item = [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for n, s in paragraph_sets(text):
+                for n, _, i in paragraphs_of(text):
                     doc.append(doc_id)
                     line.append(n)
-                    item.append(item_of(s))
+                    item.append(i)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "line": pa.array(line, pa.int32()), "item": pa.array(item, pa.int64())})
 
     return materialise(docs.mapInArrow(run, "doc_id long, line int, item long"), "paragraphs")
@@ -79,37 +100,39 @@ def components_of(docs: DataFrame, seen: DataFrame) -> DataFrame:
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found: dict[int, np.ndarray] = {}
-            for text in b.column(0).to_pylist():
-                for _, s in paragraph_sets(text):
-                    found.setdefault(item_of(s), s)
+            found = {i: words for text in b.column(0).to_pylist() for _, words, i in paragraphs_of(text)}
             if not found:
                 continue
-            keys = band_keys(list(found.values())).ravel()
+            h, starts, distinct = hashed(list(found.values()))
+            keys = band_keys(h, starts).ravel()
             items = np.repeat(np.fromiter(found, np.int64, len(found)), BANDS)
-            sizes = np.repeat(np.fromiter(map(len, found.values()), np.int32, len(found)), BANDS)
-            for row in pack(keys, items, sizes, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), *(pa.array([x], pa.binary()) for x in row[1:])], names=["bucket", "keys", "items", "sizes"])
+            sizes = np.repeat(distinct, BANDS)
+            yield from pack(keys, items, sizes, buckets)
 
     packed = docs.select("text").mapInArrow(banded, PACKED)
 
-    def sets_of(items: DataFrame) -> DataFrame:
+    def texts_of(items: DataFrame) -> DataFrame:
+        """Each item's words, from the first document that has it."""
         first = seen.groupBy("item").agg(F.min(F.struct("doc_id", "line")).alias("at"))
         wanted = first.join(items, "item").groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_set("item").alias("wanted"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
-                found: dict[int, np.ndarray] = {}
-                for text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            import zstandard
+
+            unzip, press = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+            for b in slices(batches, 4_000_000):
+                found: dict[int, bytes] = {}
+                for x, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     want = set(want)
-                    found |= {i: s for _, s in paragraph_sets(text) if (i := item_of(s)) in want}
+                    found |= {i: b" ".join(words) for _, words, i in paragraphs_of(unzip(x)) if i in want}
+                made = list(map(shingles, found.values()))
                 yield pa.RecordBatch.from_pydict({
-                    "item": pa.array(found, pa.int64()), "hashes": pa.array([s.tobytes() for s in found.values()], pa.binary()), "sketch": pa.array(list(map(parity_sketch, found.values())), pa.binary()),
+                    "item": pa.array(found, pa.int64()), "size": pa.array(list(map(len, made)), pa.int32()), "sketch": pa.array(list(map(parity_sketch, made)), pa.binary()), "packed": pa.array(list(map(press, found.values())), pa.binary()),
                 })
 
-        return docs.join(wanted.hint("shuffle_hash"), "doc_id").select("text", "wanted").mapInArrow(run, SETS).dropDuplicates(["item"])
+        return zipped(docs, "text").join(wanted.hint("shuffle_hash"), "doc_id").select("packed", "wanted").mapInArrow(run, TEXTS)
 
-    return linked(packed, sets_of, PERCENT, lambda x, y: jaccard_at_least(x, y, PERCENT), "paragraph")
+    return linked(packed, texts_of, PERCENT, "paragraph")
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
@@ -128,14 +151,14 @@ def later_copies(docs: DataFrame) -> DataFrame:
 def without(text: str, cuts: list[dict]) -> tuple[str, int, int]:
     """The text without the paragraphs to cut; how many went, and their words."""
     gone, lines, words = {(c["line"], c["item"]) for c in cuts}, text.split("\n"), 0
-    drop = {n for n, s in paragraph_sets(text) if (n, item_of(s)) in gone}
+    drop = {n for n, _, i in paragraphs_of(text) if (n, i) in gone}
     for n in drop:
         words += len(lines[n].split())
     return "\n".join(x for n, x in enumerate(lines) if n not in drop), len(drop), words
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_paragraphs, n_removed, removed_words, kept_sha256 (of the text that stays; null texts count as empty)."""
+    """Per document: doc_id, n_removed, removed_words, kept_sha256 (of the text that stays; null texts count as empty)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.join(later_copies(docs), "doc_id", "left").select("doc_id", "text", "cuts")
 
@@ -144,13 +167,12 @@ def report(docs: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for text, cuts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 text = text or ""
-                n = sum(len(x.split()) >= LEAST_WORDS for x in text.split("\n"))
                 kept, gone, words = without(text, cuts) if cuts else (text, 0, 0)
-                out.append((n, gone, words, hashlib.sha256(kept.encode()).hexdigest()))
-            n, gone, words, sha = zip(*out, strict=True)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_paragraphs": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "removed_words": pa.array(words, pa.int64()), "kept_sha256": sha})
+                out.append((gone, words, hashlib.sha256(kept.encode()).hexdigest()))
+            gone, words, sha = zip(*out, strict=True)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_removed": pa.array(gone, pa.int64()), "removed_words": pa.array(words, pa.int64()), "kept_sha256": sha})
 
-    return rows.mapInArrow(run, "doc_id long, n_paragraphs long, n_removed long, removed_words long, kept_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_removed long, removed_words long, kept_sha256 string")
 
 
 def cut(docs: DataFrame) -> DataFrame:
