@@ -38,8 +38,11 @@ def with_cdf(pmf: DataFrame) -> DataFrame:
 
 
 def ecdf(df: DataFrame, x: str) -> DataFrame:
-    """x, F of a sample: its histogram comes first, so the running sum is over distinct values."""
-    return with_cdf(normalise(histogram(df, x))).select("x", "F")
+    """x, F of a sample: its histogram comes first, so the running sum is over distinct values; counts are summed before they are divided."""
+    h = histogram(df, x)
+    total = h.agg(F.sum("n").alias("_t"))
+    run = F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    return h.select("x", run.alias("_n")).join(F.broadcast(total)).select("x", (F.col("_n") / F.col("_t")).alias("F"))
 
 
 def moments(pmf: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import ranking, tiling
+from tessera.plans import models, ranking, tiling
 
-_MODULES = (tiling, ranking)
+_MODULES = (tiling, ranking, models)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
 

@@ -101,7 +101,8 @@ def read_codebook(blocks: DataFrame) -> DataFrame:
     body = F.filter(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda r: F.trim(r) != "")
     fields = split_nonempty(F.substring_index(head, ",", -1), ";")
     meta = F.map_from_entries(F.transform(F.slice(fields, 2, F.greatest(F.size(fields), F.lit(1))), lambda f: F.struct(F.substring_index(f, ":", 1), F.substring_index(f, ":", -1))))
-    out = blocks.where("trim(value) <> ''").select(F.substring_index(F.get(fields, F.lit(0)), ":", 1).alias("proto_id"), meta.alias("metadata"), F.posexplode(body).alias("member", "line"))
+    out = blocks.where("trim(value) <> ''").select(F.substring_index(F.get(fields, F.lit(0)), ":", 1).alias("proto_id"), meta.alias("metadata"), body.alias("lines"))
+    out = out.select("proto_id", "metadata", F.posexplode("lines").alias("member", "line"))
     parts = split_nonempty(F.col("line"), ";")
     inst = F.transform(F.filter(parts, lambda p: ~p.startswith("distance:")), lambda p: F.struct(F.substring_index(p, ":", 1).alias("seq_id"), F.substring_index(p, ":", -1).cast("int").alias("pos")))
     return out.select("proto_id", "metadata", "member", F.regexp_extract("line", r"distance:(-?\d+)", 1).cast("int").alias("distance"), inst.alias("instances"))
@@ -185,7 +186,8 @@ def read_swisspfam(blocks: DataFrame) -> DataFrame:
     """blocks (value: '>' head with the length last but one, then a line for each domain 'name n (m) id descr b-e b-e'); 1-origin in the file."""
     rows = F.split(F.trim("value"), "\n")
     head = words(F.regexp_replace(F.get(rows, F.lit(0)), "^>", ""))
-    out = blocks.where("trim(value) <> ''").select(F.get(head, F.lit(0)).alias("seq_id"), F.element_at(head, -2).cast("int").alias("seq_len"), F.explode(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1)))).alias("line"))
+    out = blocks.where("trim(value) <> ''").select(F.get(head, F.lit(0)).alias("seq_id"), F.element_at(head, -2).cast("int").alias("seq_len"), F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))).alias("lines"))
+    out = out.select("seq_id", "seq_len", F.explode("lines").alias("line"))
     pfam = F.regexp_extract("line", r"\b(PF\d+)\b", 1)
     spans = F.transform(F.regexp_extract_all("line", F.lit(r"(?<=\s)(\d+-\d+)(?=\s|$)"), F.lit(1)), lambda s: F.struct((F.substring_index(s, "-", 1).cast("int") - 1).alias("begin"), (F.substring_index(s, "-", -1).cast("int") - 1).alias("end")))
     descr = F.trim(F.regexp_extract("line", r"PF\d+(?:\.\d+)?\s+(.*?)(?:\s+\d+-\d+)*\s*$", 1))
@@ -203,7 +205,8 @@ def read_domains(blocks: DataFrame) -> DataFrame:
     """blocks: a domain each, as `domain_lines` makes them."""
     rows = F.split("value", "\n")
     head = words(F.get(rows, F.lit(0)))
-    out = blocks.where("trim(value) <> ''").select(F.get(head, F.lit(0)).alias("pfam_id"), F.regexp_replace(F.get(head, F.lit(1)), "~", " ").alias("descr"), F.explode(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1)))).alias("line")).where("trim(line) <> ''")
+    out = blocks.where("trim(value) <> ''").select(F.get(head, F.lit(0)).alias("pfam_id"), F.regexp_replace(F.get(head, F.lit(1)), "~", " ").alias("descr"), F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))).alias("lines"))
+    out = out.select("pfam_id", "descr", F.explode("lines").alias("line")).where("trim(line) <> ''")
     w = words("line")
     n = F.get(w, F.lit(2)).cast("int")
     spans = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.get(w, 3 + 2 * i).cast("int").alias("begin"), F.get(w, 4 + 2 * i).cast("int").alias("end")))
