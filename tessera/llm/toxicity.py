@@ -24,7 +24,8 @@ from tessera.llm.common import slices
 
 MOST_ROWS = 20_000
 FEATURES = 256
-LEAST_DOCS = 4
+#: A word counts as a feature in so many of the fitted texts at least, by so many standard errors.
+LEAST_DOCS, LEAST_SHARE, LEAST_Z = 4, 0.0005, 4.0
 THRESHOLD = 0.7
 #: ASCII marks end a word, as do blanks.
 BREAK = {c: 32 for c in range(128) if not chr(c).isalnum()}
@@ -50,8 +51,8 @@ class Model:
 NEVER = Model({}, -60.0)
 
 
-def nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bis of the logistic loss's non-negative PU risk.  x: rows by features (unlabelled set: all rows); positive: its confirmed rows."""
+def nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 800, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias of the logistic loss's non-negative PU risk.  x: rows by features (unlabelled set: all rows); positive: its confirmed rows."""
     n, d = x.shape
     w, b = np.zeros(d, np.float32), np.float32(np.log(prior / (1 - prior)))
     m, v = np.zeros(d + 1), np.zeros(d + 1)
@@ -67,8 +68,8 @@ def nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, ra
         else:  # the corrected part has gone below zero: step back along it
             slope_p, slope_u = gp, -gu
         g = np.append(xp.T @ slope_p + x.T @ slope_u + decay * w, slope_p.sum() + slope_u.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = (w - step[:-1]).astype(np.float32), np.float32(b - step[-1])
     return w, float(b)
 
@@ -94,10 +95,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, features
         return NEVER
     # words that are the most surely commoner (or rarer) among confirmed texts; counted by Spark, the best `features` reach the driver
     pairs = bags.select(F.explode(F.split("words", "\n")).alias("word"), (F.col("toxic") == 1).cast("long").alias("p")).where("word <> ''")
-    counts = pairs.groupBy("word").agg(F.count("*").alias("n"), F.sum("p").alias("p")).where(F.col("n") >= LEAST_DOCS)
+    counts = pairs.groupBy("word").agg(F.count("*").alias("n"), F.sum("p").alias("p")).where(F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * total))
     prior = confirmed / total
     z = (F.col("p") - F.col("n") * prior) / F.sqrt(F.col("n") * prior * (1 - prior))
-    best = [r["word"] for r in counts.orderBy(F.abs(z).desc(), "word").limit(features).collect()]
+    best = [r["word"] for r in counts.where(F.abs(z) >= LEAST_Z).orderBy(F.abs(z).desc(), "word").limit(features).collect()]
+    if not best:
+        return Model({}, float(np.log(prior / (1 - prior))))
     index = {w: i for i, w in enumerate(best)}
     shared = spark.sparkContext.broadcast(index)
 
