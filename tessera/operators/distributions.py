@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import at_least_one_of
+from tessera.operators.storage import running_sum
 
 
 def histogram(df: DataFrame, x: str, weight: str | None = None) -> DataFrame:
@@ -38,11 +39,12 @@ def with_cdf(pmf: DataFrame) -> DataFrame:
 
 
 def ecdf(df: DataFrame, x: str) -> DataFrame:
-    """x, F of a sample: its histogram comes first, so the running sum is over distinct values; counts are summed before they are divided."""
+    """x, F of a sample: its histogram comes first; the running sum over distinct values is dealt by range (there may be very many), and
+    counts are summed before they are divided."""
     h = histogram(df, x)
+    summed = running_sum(h, "x", "n", "_n")
     total = h.agg(F.sum("n").alias("_t"))
-    run = F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    return h.select("x", run.alias("_n")).join(F.broadcast(total)).select("x", (F.col("_n") / F.col("_t")).alias("F"))
+    return summed.select("x", "_n").join(F.broadcast(total)).select("x", (F.col("_n") / F.col("_t")).alias("F"))
 
 
 def moments(pmf: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,21 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.matrices import Matrix
 from tessera.operators.kernels import block_distances, numbered, within
 from tessera.operators.sampling import order_of
-
-
-def _saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage with a table in the folder of spark.checkpoint.dir; set here only where it is unset."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isEmpty():
-            spark.sparkContext.setCheckpointDir("/tmp/tessera-shared")
-            found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get()
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tessera.operators.storage import saved
 
 
 def greedy_clusters(words: DataFrame, threshold: int, matrix: Matrix, kind: str = "blosum", increment: int = 1000, seed: int = 0, most_rounds: int = 10_000, stop_share: float = 1.0, first: DataFrame | None = None) -> DataFrame:
@@ -39,7 +23,7 @@ def greedy_clusters(words: DataFrame, threshold: int, matrix: Matrix, kind: str
     diag = np.diag(matrix.distances(kind))
     table = F.create_map(*[v for c, d in zip(matrix.symbols, diag, strict=True) for v in (F.lit(c), F.lit(int(d)))])
     own = F.aggregate(F.split("word", ""), F.lit(0), lambda s, c: s + F.coalesce(F.element_at(table, c), F.lit(int(diag[-1]))))
-    left = _saved(words.select("word").distinct().where(own <= threshold), "words")
+    left = saved(words.select("word").distinct().where(own <= threshold), "words")
     total = left.count()
     spark, taken, made = words.sparkSession, 0, 0
     out: DataFrame | None = None
@@ -53,9 +37,9 @@ def greedy_clusters(words: DataFrame, threshold: int, matrix: Matrix, kind: str
         self_rows = protos.select("proto_id", "proto_no", "word", F.lit(0).alias("distance"))
         rest = left.join(F.broadcast(protos.select("word")), "word", "left_anti")
         reached = first_within(rest, protos, threshold, matrix, kind)
-        got = _saved(self_rows.unionByName(reached.select("proto_id", "proto_no", "word", "distance")), "clusters")
+        got = saved(self_rows.unionByName(reached.select("proto_id", "proto_no", "word", "distance")), "clusters")
         out = got if out is None else out.unionAll(got)
-        left = _saved(left.join(got.select("word"), "word", "left_anti"), "words")
+        left = saved(left.join(got.select("word"), "word", "left_anti"), "words")
         taken = total - left.count()
         if taken >= total:
             break
