@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words whose hash a Python worker remembers; beyond it they are hashed again.
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000
 #: Odd multiplier that chains word hashes into shingle hashes.
 CHAIN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,7 +146,7 @@ def zipped(rows: DataFrame, text: str, packed: str = "packed") -> DataFrame:
     return rows.select(*others, text).mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in others), f"{packed} binary"]))
 
 
-def slices(batches: Iterator[pa.RecordBatch], chars: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `chars` bytes at most (or one row)."""
     for batch in batches:
         n = batch.num_rows

@@ -72,7 +72,7 @@ def document_sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """doc_id, n, item of every document with words; and the most frequent shingles, sorted.  One pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 12_000_000):
+        for b in slices(batches, 6_000_000):
             seen: dict[int, np.ndarray] = {}
             n, item = [], []
             for text in b.column(1).to_pylist():
@@ -104,7 +104,7 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
-        for b in slices(batches, 12_000_000):
+        for b in slices(batches, 6_000_000):
             done: set[int] = set()
             keys, items, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for text in b.column(0).to_pylist():
@@ -157,7 +157,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with only the smallest doc_id of each component; of rows that repeat a doc_id all stay."""
     gone = join_documents(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{n}`" for n in docs.columns])
 
 
 ORACLE = r"""

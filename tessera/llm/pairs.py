@@ -11,6 +11,7 @@ becomes all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -167,7 +168,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         import zstandard
 
         unzip = zstandard.ZstdDecompressor().decompress
-        for b in slices(batches):
+        for b in slices(batches, 2_000_000):
             made: dict[int, np.ndarray] = {}
             good = []
             for i, j, x, y in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
@@ -205,19 +206,23 @@ def linked(packed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percen
     """(node, component) of every item that is similar to another.  texts_of(items) gives TEXTS of the items (item) asked for; two rows of
     an item are alike.
 
-    Stars of the groups come first; over them, similar or not, items fall into families, and no link leaves a family.  Families that span
-    several components of verified links are tried against a few of their members, which joins near copies at linear cost.  What is still
-    apart is compared by sketches, block by block: within a family of up to `FAMILY` items each pair once, in a larger one only where a key is
-    shared."""
+    Stars of the groups come first; over them, similar or not, items fall into families, and no link leaves a family.  A family is cut in
+    bands of size, each with the next, so that all pairs whose sizes fit meet in one; bands that span several components of verified links are
+    tried against a few of their members, which joins near copies at linear cost.  What is still apart is compared by sketches, block by block:
+    within a band of up to `FAMILY` items each pair, in a larger one only pairs that share a key."""
     found = candidates(packed, percent, name)
     pairs = materialise(found.where("groups is null").select("a", "b").distinct(), name)
-    families = components(pairs).select(F.col("node").alias("a"), F.col("component").alias("key"))
-    texts = materialise(texts_of(families.select(F.col("a").alias("item"))), name)
+    families = components(pairs)
+    texts = materialise(texts_of(families.select(F.col("node").alias("item"))), name)
     links = materialise(verified(pairs, texts, percent), name)
     labels = components(links)
-    large = families.groupBy("key").count().where(F.col("count") > FAMILY).select("key")
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent)).cast("int")
+    sized = families.join(texts.select("item", "size").dropDuplicates(["item"]), families["node"] == F.col("item"))
+    bands = sized.select(F.col("node").alias("a"), F.explode(F.array(F.xxhash64("component", band), F.xxhash64("component", band - 1))).alias("key"))
+    bands = materialise(bands, name)
+    large = bands.groupBy("key").count().where(F.col("count") > FAMILY).select("key")
     for k in range(rounds + 1):
-        apart = materialise(spanning(families, labels, texts), name)
+        apart = materialise(spanning(bands, labels, texts), name)
         if apart.isEmpty():
             break
         if k < rounds:
@@ -225,7 +230,7 @@ def linked(packed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percen
         else:
             more = cross_pairs(apart.join(large, "key", "left_anti"), percent)
             if not large.isEmpty():
-                inside = families.join(large, "key", "left_semi").select("a")
+                inside = bands.join(large, "key", "left_semi").select("a").distinct()
                 by_key = unpacked_groups(found).join(inside, "a", "left_semi")
                 more = more.unionAll(cross_pairs(spanning(by_key, labels, texts), percent))
         more = materialise(more.distinct().join(pairs, ["a", "b"], "left_anti"), name)
