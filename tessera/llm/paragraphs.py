@@ -99,7 +99,7 @@ def components_of(docs: DataFrame, seen: DataFrame) -> DataFrame:
     buckets = input_partitions(docs, BUCKET_BYTES)
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, 6_000_000):
             found = {i: words for text in b.column(0).to_pylist() for _, words, i in paragraphs_of(text)}
             if not found:
                 continue
@@ -178,8 +178,9 @@ def report(docs: DataFrame) -> DataFrame:
 def cut(docs: DataFrame) -> DataFrame:
     """docs with later copies cut out of `text` (and n_chars set anew); every row stays."""
     names = docs.columns
-    cuts = later_copies(docs).select(F.col("doc_id").alias("_cut_doc"), "cuts")
-    rows = docs.join(cuts, docs["doc_id"] == cuts["_cut_doc"], "left").select(*[docs[n] for n in names], "cuts")
+    key, made = (next(n for n in (base + "_" * k for k in range(len(names) + 1)) if n not in names) for base in ("cut_doc", "cuts_made"))
+    cuts = later_copies(docs).select(F.col("doc_id").alias(key), F.col("cuts").alias(made))
+    rows = docs.join(cuts, F.col("doc_id") == F.col(key), "left").select(*[f"`{n}`" for n in names], made)
     at, sized = names.index("text"), "n_chars" in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
