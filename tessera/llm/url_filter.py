@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower
+from tessera.llm.common import ascii_lower, materialise
 
 #: (verdict, host, path); fixed values of the contract.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -63,6 +63,7 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     """outcomes (host, bad 0/1) -> host, n, rate, lower, upper: posterior mean and bounds of its bad rate."""
     hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", public_suffix(F.col("host")))
+    hosts = materialise(hosts, "hosts")  # the levels and their priors read these counts, not the pages
     counts = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = hosts.groupBy("domain", "suffix").agg(*counts)
     suffixes = domains.groupBy("suffix").agg(*counts)
