@@ -55,6 +55,13 @@ def rank_exact(queries: DataFrame, subjects: DataFrame, k: int, matrix: Matrix,
     return top_k(pairwise.distances(queries, subjects, k, matrix, mode, kind, threshold, default), top)
 
 
+def rank_fragments(fragments: DataFrame, k: int) -> DataFrame:
+    """fragments (query_id, subject_id, qfrag, sfrag, similarity): each pair by its best fragments, then the k best subjects of a query:
+    query_id, subject_id, qfrag, sfrag, distance (minus the similarity), rank."""
+    best = fragments.groupBy("query_id", "subject_id").agg(F.max_by(F.struct("qfrag", "sfrag"), F.struct("similarity", -F.col("qfrag"), -F.col("sfrag"))).alias("b"), (-F.max("similarity")).alias("distance"))
+    return top_k(best, k).select("query_id", "subject_id", "b.qfrag", "b.sfrag", "distance", "rank")
+
+
 def candidates(queries: DataFrame, subjects: DataFrame) -> DataFrame:
     """Pairs of signatures (seq_id, features) that share any feature."""
     return shared_features(queries, subjects).select("query_id", "subject_id")

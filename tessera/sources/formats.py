@@ -55,6 +55,12 @@ def dataset_lines(records: DataFrame, tag: str, metadata: dict[str, str]) -> lis
     return [f"{tag},{records.count()}", *(f"meta,{k},{v}" for k, v in metadata.items())]
 
 
+def read_dataset(lines: DataFrame, tag: str) -> tuple[DataFrame, dict[str, str]]:
+    """Records (value) and metadata of a tagged dataset; metadata lines are few and come to the driver."""
+    meta = {k: v for _, k, v in (r["value"].split(",", 2) for r in lines.where(F.col("value").startswith("meta,")).collect())}
+    return lines.where(~F.col("value").startswith("meta,") & ~F.col("value").rlike(f"^{tag},[0-9]+$") & (F.trim("value") != "")), meta
+
+
 # signatures and feature vectors
 
 

@@ -233,3 +233,8 @@ def test_missing_terms(spark):
     x, y = 1 - 2 / 16, -2 / 16
     got = bags.missing_terms(q, s, p).first()["missing"]
     assert got == pytest.approx(-2 * x * y / (x * x + y * y) ** 0.5)
+
+
+def test_best_fragments(spark):
+    f = spark.createDataFrame([("q", "a", 0, 1, 0.5), ("q", "a", 1, 0, 0.9), ("q", "a", 2, 2, 0.9), ("q", "b", 0, 0, 0.7)], "query_id string, subject_id string, qfrag int, sfrag int, similarity double")
+    assert rows(ranking.rank_fragments(f, 1)) == [("q", "a", 1, 0, -0.9, 1)]

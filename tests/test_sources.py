@@ -72,7 +72,10 @@ def test_small_texts(spark, tmp_path):
     path = os.path.join(tmp_path, "ids")
     formats.write_ids(ids, path)
     assert {r["seq_id"] for r in formats.read_ids(spark, path).collect()} == {"a", "b"}
-    assert formats.dataset_lines(ids, "ids", {"k": "3"}) == ["ids,2", "meta,k,3"]
+    head = formats.dataset_lines(ids, "ids", {"k": "3"})
+    assert head == ["ids,2", "meta,k,3"]
+    records, meta = formats.read_dataset(lines(spark, *head, "a,1", "b,2"), "ids")
+    assert {r["value"] for r in records.collect()} == {"a,1", "b,2"} and meta == {"k": "3"}
 
 
 def test_csv_quotes(spark, tmp_path):
