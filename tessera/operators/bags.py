@@ -48,7 +48,7 @@ def fragment_distances(queries: DataFrame, subjects: DataFrame, mode: str = "d2"
         queries, subjects = normalised(queries), normalised(subjects)
     q = queries.select("word", F.col("seq_id").alias("q_id"), F.col("frag").alias("q_frag"), F.col("tf").alias("a"))
     s = subjects.select("word", F.col("seq_id").alias("s_id"), F.col("frag").alias("s_frag"), F.col("tf").alias("b"))
-    met, keys = q.join(s, "word"), ["q_id", "q_frag", "s_id", "s_frag"]
+    met, keys = q.join(s.hint("merge"), "word"), ["q_id", "q_frag", "s_id", "s_frag"]  # term vectors: no broadcast by a guessed size
     sums = {"dot": F.sum(F.col("a") * F.col("b")), "least": F.sum(F.least("a", "b")), "shared": F.count("*")}
     standard = mode.startswith("d2s")
     tq, ts = _totals(queries, "q"), _totals(subjects, "s")

@@ -21,11 +21,13 @@ def top_k(pairs: DataFrame, k: int, query: str = "query_id", subject: str = "sub
 
 
 def shared_features(queries: DataFrame, subjects: DataFrame) -> DataFrame:
-    """(seq_id, features) tables -> query_id, subject_id, shared, query_n, subject_n, for pairs that share a feature: a posting-list join."""
+    """(seq_id, features) tables -> query_id, subject_id, shared, query_n, subject_n, for pairs that share a feature: a posting-list join.
+
+    Exploded sides are larger than the optimizer thinks, so this join is never a broadcast one; adaptive execution splits common features."""
     def long(df: DataFrame, p: str) -> DataFrame:
         return df.select(F.col("seq_id").alias(f"{p}_id"), F.size("features").alias(f"{p}_n"), F.explode("features").alias("feature"))
 
-    met = long(queries, "query").join(long(subjects, "subject"), "feature")
+    met = long(queries, "query").join(long(subjects, "subject").hint("merge"), "feature")
     return met.groupBy("query_id", "subject_id").agg(F.count("*").alias("shared"), F.max("query_n").alias("query_n"), F.max("subject_n").alias("subject_n"))
 
 
@@ -40,7 +42,7 @@ def rank_feature_vectors(queries: DataFrame, subjects: DataFrame, k: int = 1000)
     """(seq_id, key, weight) tables -> distance = minus the dot product."""
     q = queries.select(F.col("seq_id").alias("query_id"), "key", F.col("weight").alias("a"))
     s = subjects.select(F.col("seq_id").alias("subject_id"), "key", F.col("weight").alias("b"))
-    met = q.join(s, "key").groupBy("query_id", "subject_id").agg((-F.sum(F.col("a") * F.col("b"))).alias("distance"))
+    met = q.join(s.hint("merge"), "key").groupBy("query_id", "subject_id").agg((-F.sum(F.col("a") * F.col("b"))).alias("distance"))
     return top_k(met, k)
 
 

@@ -324,9 +324,9 @@ from m join qn on qn.seq_id = query_id join dn on dn.seq_id = subject_id qualify
 @query(f"with {FLAG}")
 def rank_texts(spark, sf_dir):
     """The ten texts nearest to each item by their shared words of ten symbols."""
-    q, s = (tiling.kmers(x, 10).select("seq_id", "word").distinct() for x in (items(spark, sf_dir), texts(spark, sf_dir)))
+    q, s = (tiling.kmers(x, 10).where("word is not null and seq_id is not null").select("seq_id", "word").distinct() for x in (items(spark, sf_dir), texts(spark, sf_dir)))
     qn, sn = q.groupBy("seq_id").agg(F.count("*").alias("qn")), s.groupBy("seq_id").agg(F.count("*").alias("sn"))
-    met = q.withColumnRenamed("seq_id", "query_id").join(s.withColumnRenamed("seq_id", "subject_id"), "word").groupBy("query_id", "subject_id").agg(F.count("*").alias("shared"))
+    met = q.withColumnRenamed("seq_id", "query_id").join(s.withColumnRenamed("seq_id", "subject_id").hint("merge"), "word").groupBy("query_id", "subject_id").agg(F.count("*").alias("shared"))
     met = met.join(qn.withColumnRenamed("seq_id", "query_id"), "query_id").join(sn.withColumnRenamed("seq_id", "subject_id"), "subject_id")
     return ranking.top_k(met.select("query_id", "subject_id", (1 - F.col("shared") / (F.col("qn") + F.col("sn") - F.col("shared"))).alias("distance")), 10)
 
