@@ -17,19 +17,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import threading
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import slices
+from tessera.llm.common import slices, trim
 
 MOST_RANKS = 1_000_000
 SLICE_CHARS = 4_000_000
-SLICE_BYTES = 400_000
-SLICE_IDS = 1_000_000
-REMEMBERED = 800_000
+SLICE_BYTES = 250_000
+SLICE_IDS = 500_000
+REMEMBERED = 400_000
 LONG = 200
 
 #: Rows of `start` (w, pos, id) to rows (w, ids), for words of under 65,536 bytes.  r: the rank that the pair at pos merges into; m: the
@@ -182,6 +183,24 @@ class Codec:
 
 
 _CODECS: dict[tuple[int, str], Codec] = {}
+#: A worker that has had no texts to encode for so many seconds gives its codec back: later stages need the memory.
+IDLE_S = 4
+_TIMERS: list[threading.Timer] = []
+
+
+def _forget() -> None:
+    _CODECS.clear()
+    trim()
+
+
+def _rest(idle: bool) -> None:
+    """Start or stop the wait for the next partition."""
+    while _TIMERS:
+        _TIMERS.pop().cancel()
+    if idle:
+        _TIMERS.append(threading.Timer(IDLE_S, _forget))
+        _TIMERS[-1].daemon = True
+        _TIMERS[-1].start()
 
 
 def _codec(shared, pattern: str) -> Codec:
@@ -197,10 +216,12 @@ def _mapped(docs: DataFrame, column: str, ranks_path: str, pattern: str, schema:
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _rest(False)
         codec = _codec(shared, pattern)
         for b in slices(batches, SLICE_CHARS):
             columns = work(codec, [x or type(x or "")() for x in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0)} | columns)
+        _rest(True)
 
     return docs.select("doc_id", column).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {schema}")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -146,6 +148,13 @@ def zipped(rows: DataFrame, text: str, packed: str = "packed") -> DataFrame:
     return rows.select(*others, text).mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in others), f"{packed} binary"]))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `chars` bytes at most (or one row)."""
     for batch in batches:
@@ -155,6 +164,7 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterato
         step = max(1, int(n * min(1.0, chars / max(1, batch.nbytes))))
         for at in range(0, n, step):
             yield batch.slice(at, step)
+    trim()
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
