@@ -41,6 +41,9 @@ def over_pairs(queries: DataFrame, subjects: DataFrame, work, columns: str, code
     kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}.get(c.split()[1]) or pa.list_(pa.int32()) for c in schema.split(", ")]
     spark = subjects.sparkSession
     rows = subjects.select(F.col("seq_id").cast("string").alias("seq_id"), "residues")
+    # pairs cost far more than moving their subjects: deal these evenly, over all cores at least
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    rows = rows.repartition(max(2 * spark.sparkContext.defaultParallelism, min(100_000, size >> 23)))
     for part in _query_parts(queries):
         shared = spark.sparkContext.broadcast([(i, code(t)) for i, t in part])
 
