@@ -5,6 +5,11 @@ MinHash (14 bands of 4 rows: a pair at 0.75 collides with probability 0.995, one
 exact Jaccard similarity of 0.75 or more, and similar sets are joined into components.  Of each component the first paragraph, by doc_id and
 line, stays; all later ones are cut from their texts.
 
+Of the lines that stay, passages inside are cut too: a run of `RUN` words or more that is also at an earlier place, by doc_id, line and
+word, of another line that stays (or of its own, without overlap), whatever is around it.  Every window of `RUN` words has an anchor, the `GRAM`-word
+string of least hash in it, so equal windows share one.  Only anchors that are in two places bring their windows together, by hash; of
+equal windows all but the first are cut, with every word they cover.  A run of a single word over and over is no passage.
+
 Equal paragraphs are one item, so a line that a third of all documents share costs one item per slice; groups of near copies are joined at linear
 cost (see `pairs`).  Occurrences meet their component's first by a join that adaptive execution may split.
 
@@ -15,8 +20,9 @@ and words agree.  Short lines always stay.  Empty tables give no rows.  `cut` ke
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CHAIN, LOWER, WORDS, input_partitions, materialise, mix, shingles, slices, zipped
-from tessera.llm.pairs import PACKED, TEXTS, linked, pack, parity_sketch
+from tessera.llm.common import CHAIN, LOWER, WORDS, input_partitions, materialise, mix, pack_columns, shingles, slices, unpack_columns, zipped
+from tessera.llm.pairs import PACKED, TEXTS, _groups, linked, pack, parity_sketch
+from tessera.llm.suffix_dedup import _gram_hashes, merged
 
 LEAST_WORDS, PERCENT = 10, 75
 BANDS, ROWS = 14, 4
 BUCKET_BYTES = 6 << 20
+RUN, GRAM = 50, 8
 _RNG = np.random.default_rng(20)
 #: Multipliers and offsets of the MinHash permutations.
 MULTIPLY = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -135,26 +143,191 @@ def components_of(docs: DataFrame, seen: DataFrame) -> DataFrame:
     return linked(packed, texts_of, PERCENT, "paragraph")
 
 
-def later_copies(docs: DataFrame) -> DataFrame:
-    """doc_id and cuts (array of line, item): the paragraphs that have a similar or equal one before."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+def later_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, line, item of the paragraphs that have a similar or equal one before; a table in the shared folder."""
     seen = occurrences(docs)
     labels = components_of(docs, seen)
     by_item = seen.groupBy("item").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"))
     by_item = by_item.join(labels, by_item["item"] == labels["node"], "left").select("item", "at", "n", F.coalesce("component", "item").alias("class"))
     firsts = by_item.groupBy("class").agg(F.min("at").alias("first"), F.sum("n").alias("members")).where("members > 1")
     known = by_item.join(firsts, "class").select("item", "first")
-    later = seen.join(known, "item").where(F.struct("doc_id", "line") != F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("line", "item")).alias("cuts"))
+    return materialise(seen.join(known, "item").where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line", "item"), "later-lines")
+
+
+def windows(lines: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+    """Of lines of RUN words or more: each window's line number, first word, anchor's hash, anchor's place, and own hash."""
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    w = np.fromiter(map(WORDS.__getitem__, chain.from_iterable(lines)), np.uint64, int(lengths.sum()))
+    n, ends = len(w), np.cumsum(lengths)
+    gram = mix(_gram_hashes(w, GRAM))
+    places = np.uint64((1 << 28) - 1)
+    least = (gram & ~places) | np.arange(n, dtype=np.uint64)  # ties: the leftmost
+    width, reach = 1, RUN - GRAM + 1
+    while width * 2 <= reach:
+        least[: n - width] = np.minimum(least[: n - width], least[width:])
+        width *= 2
+    if (left := reach - width) > 0:
+        least[: n - left] = np.minimum(least[: n - left], least[left:])
+    changes = np.concatenate(([0], np.cumsum(w[1:] != w[:-1])))
+    good = np.ones(n, bool)
+    for j in ends:
+        good[j - RUN + 1 : j] = False
+    at = np.flatnonzero(good)
+    at = at[changes[at + RUN - 1] > changes[at]]
+    anchor = (least[at] & places).astype(np.int64)
+    line = np.searchsorted(ends, at, side="right")
+    return line, at - (ends - lengths)[line], gram[anchor], anchor, mix(_gram_hashes(w, RUN))[at]
+
+
+def later_windows(key: np.ndarray, doc: np.ndarray, line: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key and place; and, in it, which have an earlier place of their key, apart from the first by RUN words or in another line."""
+    order = np.lexsort((pos, line, doc, key))
+    key, doc, line, pos = key[order], doc[order], line[order], pos[order]
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(key)), 0)) if len(key) else order
+    return order, (doc != doc[first]) | (line != line[first]) | (pos >= pos[first] + RUN)
+
+
+WINDOW = [np.uint64, np.int64, np.int64, np.int32, np.int32]
+
+
+def later_passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """doc_id, line, item, a, b: word spans [a, b) of lines that stay, to cut.  lines: what `later_lines` found."""
+    buckets = input_partitions(docs, BUCKET_BYTES)
+
+    def staying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unzip, press = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+        for b in slices(batches, 4_000_000):
+            out: list[tuple] = []
+            for doc, gone, x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                gone = {(c["line"], c["item"]) for c in gone or ()}
+                kept = [(n, i, b" ".join(words)) for n, words, i in paragraphs_of(unzip(x)) if len(words) >= RUN and (n, i) not in gone]
+                if kept:
+                    n, i, texts = zip(*kept, strict=True)
+                    out.append((doc, list(n), list(i), press(b"\n".join(texts))))
+            if out:
+                doc, n, i, texts = zip(*out, strict=True)
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "line": pa.array(n, pa.list_(pa.int32())), "item": pa.array(i, pa.list_(pa.int64())), "packed": pa.array(texts, pa.binary())})
+
+    gone = lines.groupBy("doc_id").agg(F.collect_set(F.struct("line", "item")).alias("gone"))
+    rest = zipped(docs, "text").join(gone, "doc_id", "left").select("doc_id", "gone", "packed").mapInArrow(staying, "doc_id long, line array<int>, item array<long>, packed binary")
+    rest = materialise(rest.withColumn("row", F.monotonically_increasing_id()), "rest")
+
+    def of_slice(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+        """b: row, line, packed.  Each line's place in the batch, number and words."""
+        import zstandard
+
+        unzip = zstandard.ZstdDecompressor().decompress
+        numbers = b.column(1).to_pylist()
+        texts = [t.split(b" ") for x in b.column(2).to_pylist() for t in unzip(x).split(b"\n")]
+        return np.repeat(np.arange(len(numbers)), list(map(len, numbers))), np.array(list(chain.from_iterable(numbers)), np.int32), texts
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1_000_000):
+            of, _, texts = of_slice(b)
+            line, _, key, anchor, _ = windows(texts)
+            _, one = np.unique(anchor, return_index=True)
+            row, key = b.column(0).to_numpy()[of[line[one]]], key[one]
+            order = np.lexsort((key, row))
+            row, key = row[order], key[order]
+            again = np.flatnonzero((row[1:] == row[:-1]) & (key[1:] == key[:-1]))  # twice in a text: counts as in another
+            row, key = np.append(row, ~row[again]), np.append(key, key[again])
+            yield from pack(key, row, np.zeros(len(key), np.int32), buckets)
+
+    def shared(table: pa.Table) -> pa.Table:
+        key, row, _, _ = _groups(table)
+        return pa.table({"row": pa.array(row[row >= 0]), "key": pa.array(key[row >= 0].view(np.int64))})
+
+    keys = rest.select("row", "line", "packed").mapInArrow(anchored, PACKED).groupBy("bucket").applyInArrow(shared, "row long, key long")
+    keys = materialise(keys.groupBy("row").agg(F.collect_set("key").alias("keys")), "anchors")
+    found = "bucket int, pairs binary, row long, line int, pos int"
+
+    def rows_of(row: np.ndarray, line: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        n = len(row)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(row, pa.int64()), pa.array(line, pa.int32()), pa.array(pos, pa.int32())], names=["bucket", "pairs", "row", "line", "pos"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1_000_000):
+            of, number, texts = of_slice(b)
+            line, pos, key, _, own = windows(texts)
+            wanted = b.column(4).to_pylist()
+            place = of[line]
+            good = np.zeros(len(key), bool)
+            edges = np.searchsorted(place, np.arange(len(wanted) + 1))
+            for k, want in enumerate(wanted):
+                part = np.s_[edges[k] : edges[k + 1]]
+                good[part] = np.isin(key[part], np.array(want, np.int64).view(np.uint64))
+            row, doc, n, pos, own = b.column(0).to_numpy()[place[good]], b.column(3).to_numpy()[place[good]], number[line[good]], pos[good].astype(np.int32), own[good]
+            # of a slice's equal windows only the first goes on
+            order, later = later_windows(own, doc, n, pos)
+            row, doc, n, pos, own = row[order], doc[order], n[order], pos[order], own[order]
+            yield rows_of(row[later], n[later], pos[later])
+            row, doc, n, pos, own = row[~later], doc[~later], n[~later], pos[~later], own[~later]
+            bucket = (own % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                if len(part):
+                    blob = pack_columns([own[part], row[part], doc[part], n[part], pos[part]])
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket[part[0]]], pa.int32()), pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32())], names=["bucket", "pairs", "row", "line", "pos"])
+
+    def decided(table: pa.Table) -> pa.Table:
+        own, row, doc, n, pos = (np.concatenate(c) for c in zip(*(unpack_columns(x, WINDOW) for x in table["pairs"].to_pylist()), strict=True))
+        order, later = later_windows(own, doc, n, pos)
+        at = order[later]
+        return pa.table({"row": pa.array(row[at]), "line": pa.array(n[at]), "pos": pa.array(pos[at])})
+
+    pairs = materialise(rest.select("row", "line", "packed", "doc_id").join(keys, "row").select("row", "line", "packed", "doc_id", "keys").mapInArrow(met, found), "windows")
+    cut = pairs.where("bucket is null").select("row", "line", "pos").unionAll(pairs.where("bucket is not null").select("bucket", "pairs").groupBy("bucket").applyInArrow(decided, "row long, line int, pos int"))
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for doc, numbers, items, line, pos in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                starts = np.array(pos, np.int64)
+                item = dict(zip(numbers, items, strict=True))[line]
+                out += [(doc, line, item, x, y) for x, y in merged(np.stack([starts, starts + RUN], axis=1)).tolist()]
+            if out:
+                c = list(zip(*out, strict=True))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["doc_id", "line", "item", "a", "b"])
+
+    by_line = cut.groupBy("row", F.col("line").alias("at")).agg(F.collect_list("pos").alias("pos"))
+    return rest.select("row", "doc_id", "line", "item").join(by_line, "row").select("doc_id", "line", "item", "at", "pos").mapInArrow(spans, "doc_id long, line int, item long, a int, b int")
+
+
+def later_copies(docs: DataFrame) -> DataFrame:
+    """doc_id and cuts (array of line, item, a, b): the paragraphs that have a similar or equal one before (a and b null), and the word spans of
+    passages inside the others."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    lines = later_lines(docs)
+    cuts = lines.select("*", F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b")).unionByName(later_passages(docs, lines))
+    return cuts.groupBy("doc_id").agg(F.collect_set(F.struct("line", "item", "a", "b")).alias("cuts"))
 
 
 def without(text: str, cuts: list[dict]) -> tuple[str, int, int]:
-    """The text without the paragraphs to cut; how many went, and their words."""
-    gone, lines, words = {(c["line"], c["item"]) for c in cuts}, text.split("\n"), 0
-    drop = {n for n, _, i in paragraphs_of(text) if (n, i) in gone}
-    for n in drop:
-        words += len(lines[n].split())
-    return "\n".join(x for n, x in enumerate(lines) if n not in drop), len(drop), words
+    """The text without the paragraphs and passages to cut; how many went, and their words."""
+    gone: dict[tuple[int, int], list[tuple[int, int] | None]] = {}
+    for c in cuts:
+        gone.setdefault((c["line"], c["item"]), []).append(None if c["a"] is None else (c["a"], c["b"]))
+    lines, removed, words = text.split("\n"), 0, 0
+    drop = set()
+    for n, own, i in paragraphs_of(text):
+        spans = gone.get((n, i), ())
+        if None in spans or sum(b - a for a, b in spans) == len(own):
+            drop.add(n)
+            removed += 1
+            words += len(own)
+        elif spans:
+            raw = lines[n].encode()
+            at = [m.start() for m in re.finditer(rb"[^ \t\r\f\v]+", raw)] + [len(raw)]
+            kept = [raw[: at[0]]]
+            for (_, x), (y, _) in pairwise([(0, 0), *sorted(spans), (len(own), len(own))]):
+                kept.append(raw[at[x] : at[y]])
+            lines[n] = b"".join(kept).decode()
+            removed += len(spans)
+            words += sum(b - a for a, b in spans)
+    return "\n".join(x for n, x in enumerate(lines) if n not in drop), removed, words
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -176,7 +349,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """docs with later copies cut out of `text` (and n_chars set anew); every row stays."""
+    """docs with later copies of paragraphs and passages cut out of `text` (and n_chars set anew); every row stays."""
     names = docs.columns
     key, made = (next(n for n in (base + "_" * k for k in range(len(names) + 1)) if n not in names) for base in ("cut_doc", "cuts_made"))
     cuts = later_copies(docs).select(F.col("doc_id").alias(key), F.col("cuts").alias(made))

@@ -156,3 +156,15 @@ def test_passages_of_fifty_words_are_found(spark, documents):
     rows = [(i, f"{word()} {word()}\n{passage}\n" + " ".join(word() for _ in range(30))) for i in range(40)]
     got = {r["doc_id"]: (r["n_removed"], r["removed_words"]) for r in paragraphs.report(documents(rows)).collect()}
     assert got == {i: (1, 55) if i else (0, 0) for i in range(40)}
+
+
+def test_passages_inside_longer_lines_are_cut(spark, documents):
+    rng = random.Random(6)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, loop = prose(60), " ".join(["x y"] * 60)
+    parts = {i: (prose(20 + 31 * i), prose(200 - 17 * i)) for i in range(1, 9)}
+    rows = [(i, f"{a} {passage} {b}") for i, (a, b) in parts.items()] + [(20, prose(70) + "\n" + passage.upper()), (21, f"{prose(90)} {' '.join(passage.split()[:49])} {prose(9)}"), (22, loop), (23, "as " * 300), (24, "as " * 300 + "end")]
+    found = {r["doc_id"]: (r["n_removed"], r["removed_words"]) for r in paragraphs.report(documents(rows).repartition(3)).collect()}
+    assert found == {1: (0, 0), **{i: (1, 60) for i in range(2, 9)}, 20: (1, 60), 21: (0, 0), 22: (1, 70), 23: (0, 0), 24: (0, 0)}
+    texts = {r["doc_id"]: r["text"] for r in paragraphs.cut(documents(rows)).collect()}
+    assert all(texts[i] == f"{a} {b}" for i, (a, b) in parts.items() if i > 1) and texts[1] == rows[0][1] and texts[22] == ("x y " * 25)
