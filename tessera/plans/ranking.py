@@ -125,9 +125,10 @@ def rank_indexed(spark, sf_dir):
 
 @query()
 def rank_codebook(spark, sf_dir):
-    """Through a codebook of the items' own words."""
+    """Through a codebook of clusters of all the items' words, so that every word reaches a prototype."""
     rows = items(spark, sf_dir)
-    protos = tiling.kmers(rows, 6).where(F.col("pos") % 40 == 0).select("word").distinct().select(F.concat(F.lit("p_"), "word").alias("proto_id"), "word")
+    w = tiling.kmers(rows, 6)
+    protos = vocabulary.prototypes_of(vocabulary.greedy_clusters(w, 2, LETTERS, "edit"), w)
     return ranking.rank_codebook(rows, rows, protos, 6, LETTERS, 2, 6, 50, "edit", 5)
 
 

@@ -42,3 +42,16 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
 def test_query_without_sql_gives_rows(spark, sf_dir, name):
     assert plans.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_every_word_reaches_the_codebook(spark, sf_dir, monkeypatch):
+    from tessera.operators import ranking, tiling
+    from tessera.operators.kernels import within
+    from tessera.plans.common import items
+    from tessera.plans.ranking import LETTERS
+
+    monkeypatch.setattr(ranking, "rank_codebook", lambda queries, subjects, protos, *_: protos)
+    protos = plans.QUERIES["rank_codebook"](spark, sf_dir)
+    words = tiling.kmers(items(spark, sf_dir), 6).select("word").distinct()
+    reached = within(words, protos, 2, LETTERS, "edit").select("word").distinct()
+    assert words.join(reached, "word", "left_anti").count() == 0
