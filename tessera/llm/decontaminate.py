@@ -20,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tessera.llm.common import slices
+from tessera.llm.suffix_dedup import merged
 
 WINDOW = 10
 PART_WORDS = 300_000
@@ -236,37 +238,48 @@ def clean_text(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join(kept).decode()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, most_words: int = 9, most_coverage: float = 0.1) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, most_words: int = 9, most_coverage: float = 0.1, part_words: int = PART_WORDS) -> DataFrame:
     """docs with contaminated spans cut out of `text` (and n_chars set anew).  A document that holds a span of over most_words words, or has
     over most_coverage of its words in spans, loses them; shorter and rarer matches stay.  Every document stays; one that is cut whole has an
-    empty text.  One pass over texts per part."""
+    empty text.  With several parts the spans travel beside the uncut text; after the last part they are merged, judged and cut once."""
     names, at = docs.columns, docs.columns.index("text")
     sized = "n_chars" in names
-    arrow_schema = docs.schema
+    beside = next(n for n in ("spans" + "_" * k for k in range(len(names) + 1)) if n not in names)
+    span_type = pa.list_(pa.list_(pa.int32()))
 
-    def cut(automaton):
+    def passed(source: DataFrame, automaton: Automaton, last: bool) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for b in slices(batches):
-                texts = b.column(at).to_pylist()
+                texts, every = b.column(at).to_pylist(), []
+                before = b.column(len(names)).to_pylist() if b.num_columns > len(names) else [[]] * b.num_rows
                 for k, text in enumerate(texts):
                     words = words_of(text)
                     spans = own.match(words)[0] if words else []
-                    if spans and (max(y - x for x, y in spans) > most_words or sum(y - x for x, y in spans) > most_coverage * len(words)):
+                    if before[k]:
+                        spans = [tuple(s) for s in merged(np.array([*before[k], *spans], np.int64)).tolist()]
+                    every.append(spans)
+                    if last and spans and (max(y - x for x, y in spans) > most_words or sum(y - x for x, y in spans) > most_coverage * len(words)):
                         texts[k] = clean_text(text, spans)
                 columns = {n: b.column(i) for i, n in enumerate(names)}
-                columns["text"] = pa.array(texts, pa.string())
-                if sized:
-                    columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(b.column(names.index("n_chars")).type)
-                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
-
-        return run
-
-    out = docs
-    for automaton in automata(benchmark):
-        out = out.mapInArrow(cut(automaton), arrow_schema)
+                if not last:
+                    columns[beside] = pa.array([list(map(list, s)) for s in every], span_type)
+                else:
+                    columns["text"] = pa.array(texts, pa.string())
+                    if sized:
+                        columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(b.column(names.index("n_chars")).type)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        return source.mapInArrow(run, docs.schema if last else StructType([*docs.schema.fields, StructField(beside, ArrayType(ArrayType(IntegerType())))]))
+
+    out, parts = docs, automata(benchmark, part_words=part_words)
+    automaton = next(parts, None)
+    while automaton is not None:
+        following = next(parts, None)
+        out = passed(out, automaton, following is None)
+        automaton = following
     return out
 
 

@@ -76,3 +76,13 @@ def test_empty_tables(spark, documents):
     assert d.report(documents([(1, "x")]).limit(0), items).count() == 0
     assert d.report(documents([(1, "a b c")]), items.limit(0)).first()["contaminated"] is False
     assert d.clean(documents([(1, "a b c")]), items.limit(0)).first()["text"] == "a b c"
+
+
+def test_clean_in_parts_equals_one_part(spark, documents):
+    long, fill = "the quick brown fox jumps over the lazy dog and then runs", lambda n: " ".join(f"w{i}" for i in range(n))
+    items = spark.createDataFrame([(1, "p q r s t u"), (2, "a b c d e f"), (3, long), (4, "dog and then runs far away from here to there at once")], "item_id long, text string")
+    rows = [(1, f"p q r s t u {fill(88)} a b c d e f"), (2, f"x {long} far away from here to there at once y"), (3, f"{fill(94)} p q r s t u"), (4, None), (5, "clean text"), (6, f"{fill(40)} p q r s t u a b c d e f {fill(400)}")]
+    one, several = ({r["doc_id"]: (r["text"], r["n_chars"]) for r in d.clean(documents(rows), items, part_words=n).collect()} for n in (d.PART_WORDS, 12))
+    assert one == several and several[1][0] == f" {fill(88)} " and several[2][0] == "x  y" and several[3][0] == rows[2][1] and several[6][0] == f"{fill(40)}  {fill(400)}"
+    by_item = {r["doc_id"]: r["text"] for r in d.clean(documents(rows), items, part_words=6).collect()}
+    assert by_item == {i: t for i, (t, _) in one.items()}
