@@ -202,23 +202,27 @@ def centre_pairs(members: DataFrame, salt: int, percent: int, centres: int = 6)
     return met.select(F.least("a", "c.a").alias("a"), F.greatest("a", "c.a").alias("b")).distinct()
 
 
-def linked(packed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, name: str, rounds: int = 1) -> DataFrame:
+def linked(packed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, name: str, rounds: int = 1, colliding: bool = False) -> DataFrame:
     """(node, component) of every item that is similar to another.  texts_of(items) gives TEXTS of the items (item) asked for; two rows of
     an item are alike.
 
     Stars of the groups come first; over them, similar or not, items fall into families, and no link leaves a family.  A family is cut in
     bands of size, each with the next, so that all pairs whose sizes fit meet in one; bands that span several components of verified links are
     tried against a few of their members, which joins near copies at linear cost.  What is still apart is compared by sketches, block by block:
-    within a band of up to `FAMILY` items each pair, in a larger one only pairs that share a key."""
+    within a band of up to `FAMILY` items each pair, in a larger one only pairs that share a key.  With colliding only pairs that share a key are
+    compared, whatever the size of their family: for keys that don't promise to bring all similar pairs together."""
     found = candidates(packed, percent, name)
     pairs = materialise(found.where("groups is null").select("a", "b").distinct(), name)
     families = components(pairs)
     texts = materialise(texts_of(families.select(F.col("node").alias("item"))), name)
     links = materialise(verified(pairs, texts, percent), name)
     labels = components(links)
-    band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent)).cast("int")
-    sized = families.join(texts.select("item", "size").dropDuplicates(["item"]), families["node"] == F.col("item"))
-    bands = sized.select(F.col("node").alias("a"), F.explode(F.array(F.xxhash64("component", band), F.xxhash64("component", band - 1))).alias("key"))
+    if colliding:
+        bands = unpacked_groups(found)
+    else:
+        band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent)).cast("int")
+        sized = families.join(texts.select("item", "size").dropDuplicates(["item"]), families["node"] == F.col("item"))
+        bands = sized.select(F.col("node").alias("a"), F.explode(F.array(F.xxhash64("component", band), F.xxhash64("component", band - 1))).alias("key"))
     bands = materialise(bands, name)
     large = bands.groupBy("key").count().where(F.col("count") > FAMILY).select("key")
     for k in range(rounds + 1):
@@ -228,8 +232,8 @@ def linked(packed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percen
         if k < rounds:
             more = centre_pairs(apart, k, percent)
         else:
-            more = cross_pairs(apart.join(large, "key", "left_anti"), percent)
-            if not large.isEmpty():
+            more = cross_pairs(apart if colliding else apart.join(large, "key", "left_anti"), percent)
+            if not colliding and not large.isEmpty():
                 inside = bands.join(large, "key", "left_semi").select("a").distinct()
                 by_key = unpacked_groups(found).join(inside, "a", "left_semi")
                 more = more.unionAll(cross_pairs(spanning(by_key, labels, texts), percent))

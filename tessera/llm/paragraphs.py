@@ -1,7 +1,7 @@
 """Substring dedup by paragraphs: MinHash banding, exact verification, removal by components.
 
 A paragraph is a line of a text with at least `LEAST_WORDS` words; its set is its distinct five-word shingles.  Distinct sets are banded by
-MinHash (14 bands of 4 rows: a pair at 0.75 collides with probability 0.995, one at 0.85 with 0.99996), colliding pairs are verified by their
+MinHash (20 bands of 4 rows: a pair at 0.75 collides with probability 0.9995, one at 0.85 with 0.9999996), colliding pairs are verified by their
 exact Jaccard similarity of 0.75 or more, and similar sets are joined into components.  Of each component the first paragraph, by doc_id and
 line, stays; all later ones are cut from their texts.
 
@@ -35,7 +35,7 @@ from tessera.llm.pairs import PACKED, TEXTS, _groups, linked, pack, parity_sketc
 from tessera.llm.suffix_dedup import _gram_hashes, merged
 
 LEAST_WORDS, PERCENT = 10, 75
-BANDS, ROWS = 14, 4
+BANDS, ROWS = 20, 4
 BUCKET_BYTES = 6 << 20
 RUN, GRAM = 50, 8
 _RNG = np.random.default_rng(20)
@@ -140,7 +140,7 @@ def components_of(docs: DataFrame, seen: DataFrame) -> DataFrame:
 
         return zipped(docs, "text").join(wanted.hint("shuffle_hash"), "doc_id").select("packed", "wanted").mapInArrow(run, TEXTS)
 
-    return linked(packed, texts_of, PERCENT, "paragraph")
+    return linked(packed, texts_of, PERCENT, "paragraph", colliding=True)
 
 
 def later_lines(docs: DataFrame) -> DataFrame:

@@ -168,3 +168,21 @@ def test_passages_inside_longer_lines_are_cut(spark, documents):
     assert found == {1: (0, 0), **{i: (1, 60) for i in range(2, 9)}, 20: (1, 60), 21: (0, 0), 22: (1, 70), 23: (0, 0), 24: (0, 0)}
     texts = {r["doc_id"]: r["text"] for r in paragraphs.cut(documents(rows)).collect()}
     assert all(texts[i] == f"{a} {b}" for i, (a, b) in parts.items() if i > 1) and texts[1] == rows[0][1] and texts[22] == ("x y " * 25)
+
+
+@pytest.mark.parametrize("family", [pairs.FAMILY, 1])
+def test_colliding_pairs_are_linked_at_every_family_size(spark, monkeypatch, family):
+    import zstandard
+
+    monkeypatch.setattr(pairs, "FAMILY", family)
+    w = [f"w{i}" for i in range(300)]
+    # 1, 2 and 4 are near each other; 3 is of their size, but not near.  4 shares a key with 3 alone, 1 and 2 share one with 3.
+    texts = {1: w[:60], 2: w[1:61], 3: w[100:160], 4: w[2:62]}
+    made = {i: shingles(" ".join(t)) for i, t in texts.items()}
+    keyed = [(7, 3), (7, 1), (7, 2), (8, 3), (8, 4)]
+    batches = list(pairs.pack(np.array([k for k, _ in keyed], np.uint64), np.array([i for _, i in keyed]), np.array([len(made[i]) for _, i in keyed]), 4))
+    packed = spark.createDataFrame([(r["bucket"], bytearray(r["pairs"])) for b in batches for r in b.to_pylist()], pairs.PACKED)
+    rows = [(i, len(made[i]), bytearray(pairs.parity_sketch(made[i])), bytearray(zstandard.compress(" ".join(t).encode()))) for i, t in texts.items()]
+    table = spark.createDataFrame(rows, pairs.TEXTS)
+    found = pairs.linked(packed, lambda items: table.join(items, "item", "left_semi"), 75, "colliding", colliding=True)
+    assert {r["node"]: r["component"] for r in found.collect()} == {1: 1, 2: 1}
