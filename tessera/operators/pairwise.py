@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.matrices import Matrix
 from tessera.operators.kernels import align, pair_matrix, pair_minima
+from tessera.operators.storage import input_bytes
 
 QUERY_BYTES = 16 << 20
 REDUCERS = {"min": np.min, "max": np.max, "mean": np.mean}
@@ -42,8 +43,7 @@ def over_pairs(queries: DataFrame, subjects: DataFrame, work, columns: str, code
     spark = subjects.sparkSession
     rows = subjects.select(F.col("seq_id").cast("string").alias("seq_id"), "residues")
     # pairs cost far more than moving their subjects: deal these evenly, over all cores at least
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    rows = rows.repartition(max(2 * spark.sparkContext.defaultParallelism, min(100_000, size >> 23)))
+    rows = rows.repartition(max(2 * spark.sparkContext.defaultParallelism, input_bytes(rows) >> 23))
     for part in _query_parts(queries):
         shared = spark.sparkContext.broadcast([(i, code(t)) for i, t in part])
 

@@ -2,25 +2,60 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Spark gives a leaf whose size it doesn't know spark.sql.defaultSizeInBytes: the greatest long.
+UNKNOWN = 1 << 60
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage with a table in the folder of spark.checkpoint.dir; set here only where it is unset."""
-    spark = df.sparkSession
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or what the context was given; set here only in local mode, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        found = context._jsc.sc().getCheckpointDir()
         if found.isEmpty():
-            spark.sparkContext.setCheckpointDir("/tmp/tessera-shared")
-            found = spark.sparkContext._jsc.sc().getCheckpointDir()
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+            found = context._jsc.sc().getCheckpointDir()
         root = found.get()
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage with a table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def superseded(*tables: DataFrame) -> None:
+    """Delete tables of `saved` that nothing reads any more."""
+    for table in tables:
+        if path := _PATHS.pop(table, None):
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df reads: of files by their sizes, whatever joins and filters above them are thought to make of them; where a
+    leaf's size is unknown (rows from the driver), df's own rows are measured."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if sum(sizes) < UNKNOWN:
+        return sum(sizes)
+    return df.agg(F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(df.columns)]))))).first()[0] or 0
 
 
 def running_sum(df: DataFrame, x: str, n: str, out: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import alphabets as A
 from tessera.functions import scalars as S
 from tessera.operators import sampling, sequences, tiling
+from tessera.operators.storage import shared_root
 from tessera.plans.common import ITEMS, NATIONS, PARTS, TEXTS, items, nations, parts, table, texts, words
 from tessera.sources import fasta, formats
 
@@ -26,8 +27,7 @@ def query(sql: str | None = None):
 
 
 def scratch(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-shared"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(f"with {PARTS} select seq_id, regexp_replace(regexp_replace(residues, '[-\\s]', '', 'g'), '[^arndcqeghilkmfpstwyvbzx*]', '*', 'g') residues, [class] classes from parts")
