@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.storage import input_bytes
+
 #: Words whose hash a Python worker remembers; beyond it they are hashed again.
 WORD_CACHE = 100_000
 #: Odd multiplier that chains word hashes into shingle hashes.
@@ -20,14 +24,18 @@ CHAIN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset, as in tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what the context was given; set here only in local mode, as in
+    tests, for a folder of one machine is of no use to a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    context = spark.sparkContext
+    own = context._jsc.sc().getCheckpointDir()
     if own.isEmpty():
-        spark.sparkContext.setCheckpointDir("/tmp/tessera-shared")
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+        own = context._jsc.sc().getCheckpointDir()
     return own.get().rstrip("/")
 
 
@@ -35,12 +43,42 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """The tables of one run, in a folder of their own in the shared one.
+
+    A table cuts lineage: a lost executor costs nothing before it.  What a later table has superseded is dropped, and with it, as soon as the
+    driver's garbage is collected, the shuffle files of the jobs that made it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.tables = spark, fresh_path(spark, name), {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{len(self.tables)}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[path] = table
+        return table
+
+    def drop(self, *gone: DataFrame | None) -> None:
+        for path, table in self.tables.items():
+            if any(table is x for x in gone):
+                delete(self.spark, path)
+                self.tables[path] = None
+        self.spark._jvm.System.gc()  # Spark's cleaner frees shuffle files of what the driver has forgotten
+
+    def keep(self, *kept: DataFrame) -> None:
+        """Drop all other tables."""
+        self.drop(*(t for t in self.tables.values() if t is not None and not any(t is x for x in kept)))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage's rows to the shared folder and read them back: lineage ends there and a lost executor costs nothing before it."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write a stage's rows to the shared folder and read them back, where no later step can drop them."""
+    return Scratch(df.sparkSession, name).write(df, name)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +90,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def input_partitions(df: DataFrame, bytes_each: int) -> int:
-    """A number of buckets that follows the input's size, from the optimizer's own estimate."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(12, min(100_000, size // bytes_each + 1))
+    """A number of buckets that follows the input's size."""
+    return max(12, input_bytes(df) // bytes_each + 1)
 
 
 class WordHashes(dict):
@@ -167,28 +204,29 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterato
     trim()
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(node, component) for every node of links(a, b): the smallest node reachable.
+def components(links: DataFrame, own: Scratch) -> DataFrame:
+    """(node, component) for every node of links(a, b): the smallest node reachable; a table of own.
 
-    Alternates large-star and small-star (Kiveris et al., 2014).  A hub is reduced by partial aggregation before the shuffle, joined
-    back by a join that adaptive execution may split; each round is a table in the shared folder.  Links never reach the driver.
+    Alternates large-star and small-star (Kiveris et al., 2014) until each node points at one that points nowhere; the sum of what nodes point
+    at falls in every round, so this ends.  A hub is reduced by partial aggregation before the shuffle, and joined back to a table, by a join
+    that adaptive execution may split.  Each round is a table and drops the one before.  Links never reach the driver.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialise(edges, "edges")
-    before = None
-    for _ in range(most_rounds):
+    edges = own.write(edges, "edges")
+    while True:
+        pointing = edges.select("a", F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(edges.select(F.col("b").alias("a"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        if pointing.groupBy("a").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty():
+            break
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+        least = own.write(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "least")
         large = both.join(least, both["a"] == least["n"]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
-        small = large.join(least, large["a"] == least["n"]).select("a", "b", "m")
-        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = materialise(small.where("a <> b").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        large = own.write(large.where("a <> b").distinct(), "large")
+        own.drop(edges, least)
+        least = own.write(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"), "least")
+        small = large.join(least, large["a"] == least["n"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = own.write(small.unionAll(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        own.drop(large, least)
+    labels = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    labels = own.write(labels, "labels")
+    own.drop(edges)
+    return labels

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import input_partitions, materialise, mix, shingles, slices, zipped
+from tessera.llm.common import Scratch, input_partitions, mix, shingles, slices, zipped
 from tessera.llm.pairs import PACKED, TEXTS, linked, pack, parity_sketch
 
 PERCENT = 75
@@ -68,7 +68,7 @@ def segment_keys(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def document_sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+def document_sets(docs: DataFrame, own: Scratch) -> tuple[DataFrame, np.ndarray]:
     """doc_id, n, item of every document with words; and the most frequent shingles, sorted.  One pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +88,7 @@ def document_sets(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 "item": pa.concat_arrays([pa.array(item, pa.int64()), pa.array(h.view(np.int64))]), "counted": pa.array([False] * rows + [True] * more),
             })
 
-    both = materialise(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, item long, counted boolean"), "sets")
+    both = own.write(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, item long, counted boolean"), "sets")
     sums = both.where("counted").groupBy("item").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "item").limit(HOT)
     hot = sums.select("item").toArrow()["item"].to_numpy().astype(np.int64).view(np.uint64)
     return both.where("not counted").select("doc_id", "n", "item"), np.sort(hot)
@@ -98,7 +98,8 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, item) of every document, and (item, component) with the smallest doc_id that the item reaches."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    rows, hot = document_sets(docs)
+    own = Scratch(spark, "ngram")
+    rows, hot = document_sets(docs, own)
     shared = spark.sparkContext.broadcast(hot)
     buckets = input_partitions(docs, BUCKET_BYTES)
 
@@ -139,7 +140,7 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         return zipped(docs, "text").join(wanted.hint("shuffle_hash"), "doc_id").select("packed", "wanted").mapInArrow(run, TEXTS)
 
-    labels = linked(packed, texts_of, PERCENT, "ngram")
+    labels = linked(packed, texts_of, PERCENT, Scratch(spark, "ngram"))
     least = rows.where("n > 0 and doc_id is not null").groupBy("item").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     classes = least.join(labels, least["item"] == labels["node"], "left").select("item", "doc_id", "copies", F.coalesce("component", "item").alias("class"))
     smallest = classes.groupBy("class").agg(F.min("doc_id").alias("component"), F.sum("copies").alias("members")).where("members > 1")

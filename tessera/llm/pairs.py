@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, jaccard_at_least, materialise, mix, pack_columns, shingles, slices, unpack_columns
+from tessera.llm.common import Scratch, components, jaccard_at_least, mix, pack_columns, shingles, slices, unpack_columns
 
 #: What texts_of returns: an item's size, its sketch, and its compressed text, from which the set can be made again.
 TEXTS = "item long, size int, sketch binary, packed binary"
@@ -61,7 +61,7 @@ def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return keys, items, sizes, starts
 
 
-def candidates(packed: DataFrame, percent: int, name: str) -> DataFrame:
+def candidates(packed: DataFrame, percent: int) -> DataFrame:
     """One table of two kinds of rows: pairs (a, b, null), and for each bucket the groups of three items or more (null, null, groups: packed
     keys and items).
 
@@ -83,7 +83,7 @@ def candidates(packed: DataFrame, percent: int, name: str) -> DataFrame:
         blob = pack_columns([keys[several], items[several]])
         return pa.table({"a": pa.array([*left.tolist(), None], pa.int64()), "b": pa.array([*right.tolist(), None], pa.int64()), "groups": pa.array([None] * len(left) + [blob], pa.binary())})
 
-    return materialise(packed.groupBy("bucket").applyInArrow(run, "a long, b long, groups binary"), name)
+    return packed.groupBy("bucket").applyInArrow(run, "a long, b long, groups binary")
 
 
 def unpacked_groups(found: DataFrame) -> DataFrame:
@@ -118,11 +118,11 @@ def near(one: np.ndarray, many: np.ndarray, size: int, sizes: np.ndarray, percen
     return (100 + percent) * apart <= (100 - percent) * (size + sizes.astype(np.int64))
 
 
-def cross_pairs(members: DataFrame, percent: int, block: int = 1024) -> DataFrame:
+def cross_pairs(members: DataFrame, percent: int, own: Scratch, block: int = 1024) -> DataFrame:
     """members (a, key, size, label, sketch) -> pairs (a, b) of different components that share a group and whose sketches are near.
 
     A group is dealt over blocks of its members, and each pair of blocks is compared apart; only pairs whose sketches are near leave."""
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    blocks = own.write(members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
     rows = members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks").cast("long")).cast("int"))
     dealt = rows.select("key", "a", "size", "label", "sketch", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("p"), F.greatest(x, F.col("own")).alias("q")))).alias("pair"))
 
@@ -184,63 +184,84 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return left.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def spanning(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """members (a, key) -> (a, key, size, label, sketch) of the groups that still span several components."""
+def spanning(members: DataFrame, labels: DataFrame, texts: DataFrame, own: Scratch) -> DataFrame:
+    """members (a, key) -> (a, key, size, label, sketch) of the groups that still span several components.
+
+    What a key's rows add up to is a table before it is joined back: a hot key's side is then a plain shuffle, which adaptive execution splits."""
     at = members.join(labels, members["a"] == labels["node"], "left").select("key", "a", F.coalesce("component", "a").alias("label"))
-    spread = at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    spread = own.write(at.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "spread")
     sketches = texts.select(F.col("item").alias("a"), "size", "sketch").dropDuplicates(["a"])
-    return at.join(spread, "key", "left_semi").join(sketches, "a")
+    apart = own.write(at.join(spread, "key", "left_semi").join(sketches, "a"), "apart")
+    own.drop(spread)
+    return apart
 
 
-def centre_pairs(members: DataFrame, salt: int, percent: int, centres: int = 6) -> DataFrame:
+def centre_pairs(members: DataFrame, salt: int, percent: int, own: Scratch, centres: int = 6) -> DataFrame:
     """members (a, key, size, label) -> each member with a few of its group, chosen by hash, of other components: linear in the group."""
     who = F.struct("a", "label", "size")
     chosen = members.groupBy("key").agg(*[F.min_by(who, F.xxhash64("a", F.lit(salt * centres + i))).alias(f"c{i}") for i in range(centres)])
-    chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(centres)]))).alias("c"))
-    met = members.select("key", "a", "label", "size").join(chosen, "key").where(F.col("label") != F.col("c.label"))
+    chosen = own.write(chosen.select("key", F.array_distinct(F.array(*[f"c{i}" for i in range(centres)])).alias("cs")), "centres")
+    met = members.select("key", "a", "label", "size").join(chosen, "key").select("a", "label", "size", F.explode("cs").alias("c")).where(F.col("label") != F.col("c.label"))
     met = met.where(100 * F.least("size", "c.size") >= percent * F.greatest("size", "c.size"))
     return met.select(F.least("a", "c.a").alias("a"), F.greatest("a", "c.a").alias("b")).distinct()
 
 
-def linked(packed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, name: str, rounds: int = 1, colliding: bool = False) -> DataFrame:
-    """(node, component) of every item that is similar to another.  texts_of(items) gives TEXTS of the items (item) asked for; two rows of
-    an item are alike.
+def relabelled(labels: DataFrame, new: DataFrame, own: Scratch) -> DataFrame:
+    """The components of labels (node, component) and further links new (a, b): only the components that these join are worked on."""
+    def of(column: str, out: str) -> DataFrame:
+        return labels.select(F.col("node").alias(column), F.col("component").alias(out))
+
+    between = new.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    joined = components(between.where("a <> b").distinct(), own)
+    joined_to = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    known = labels.join(joined_to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    out = own.write(known.unionAll(joined.join(labels, "node", "left_anti").select("node", "component")), "labels")
+    own.drop(joined, labels)
+    return out
+
+
+def linked(packed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, own: Scratch, rounds: int = 1, colliding: bool = False) -> DataFrame:
+    """(node, component) of every item that is similar to another, a table of own.  texts_of(items) gives TEXTS of the items (item) asked
+    for; two rows of an item are alike.
 
     Stars of the groups come first; over them, similar or not, items fall into families, and no link leaves a family.  A family is cut in
     bands of size, each with the next, so that all pairs whose sizes fit meet in one; bands that span several components of verified links are
     tried against a few of their members, which joins near copies at linear cost.  What is still apart is compared by sketches, block by block:
     within a band of up to `FAMILY` items each pair, in a larger one only pairs that share a key.  With colliding only pairs that share a key are
     compared, whatever the size of their family: for keys that don't promise to bring all similar pairs together."""
-    found = candidates(packed, percent, name)
-    pairs = materialise(found.where("groups is null").select("a", "b").distinct(), name)
-    families = components(pairs)
-    texts = materialise(texts_of(families.select(F.col("node").alias("item"))), name)
-    links = materialise(verified(pairs, texts, percent), name)
-    labels = components(links)
+    found = own.write(candidates(packed, percent), "candidates")
+    pairs = own.write(found.where("groups is null").select("a", "b").distinct(), "pairs")
+    families = components(pairs, own)
+    texts = own.write(texts_of(families.select(F.col("node").alias("item"))), "texts")
+    links = own.write(verified(pairs, texts, percent), "links")
+    labels = components(links, own)
     if colliding:
         bands = unpacked_groups(found)
     else:
         band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent)).cast("int")
-        sized = families.join(texts.select("item", "size").dropDuplicates(["item"]), families["node"] == F.col("item"))
+        sized = families.join(texts.select("item", "size").distinct(), families["node"] == F.col("item"))
         bands = sized.select(F.col("node").alias("a"), F.explode(F.array(F.xxhash64("component", band), F.xxhash64("component", band - 1))).alias("key"))
-    bands = materialise(bands, name)
-    large = bands.groupBy("key").count().where(F.col("count") > FAMILY).select("key")
+    bands = own.write(bands, "bands")
+    own.drop(links, families)
+    large = own.write(bands.groupBy("key").count().where(F.col("count") > FAMILY).select("key"), "large")
     for k in range(rounds + 1):
-        apart = materialise(spanning(bands, labels, texts), name)
+        apart = spanning(bands, labels, texts, own)
         if apart.isEmpty():
             break
         if k < rounds:
-            more = centre_pairs(apart, k, percent)
+            more = centre_pairs(apart, k, percent, own)
         else:
-            more = cross_pairs(apart if colliding else apart.join(large, "key", "left_anti"), percent)
+            more = cross_pairs(apart if colliding else apart.join(large, "key", "left_anti"), percent, own)
             if not colliding and not large.isEmpty():
                 inside = bands.join(large, "key", "left_semi").select("a").distinct()
                 by_key = unpacked_groups(found).join(inside, "a", "left_semi")
-                more = more.unionAll(cross_pairs(spanning(by_key, labels, texts), percent))
-        more = materialise(more.distinct().join(pairs, ["a", "b"], "left_anti"), name)
-        new = materialise(verified(more, texts, percent), name)
-        pairs = pairs.unionAll(more)
+                more = more.unionAll(cross_pairs(spanning(by_key, labels, texts, own), percent, own))
+        more = own.write(more.distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+        own.drop(apart)
+        new = own.write(verified(more, texts, percent), "new")
         if not new.isEmpty():
-            links = links.unionAll(new)
-            labels = components(links)
+            labels = relabelled(labels, new, own)
+        pairs = own.write(pairs.unionAll(more), "pairs") if k < rounds else pairs
+        own.drop(more, new)
+    own.keep(labels)
     return labels

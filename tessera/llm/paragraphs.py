@@ -1,28 +1,33 @@
 """Substring dedup by paragraphs: MinHash banding, exact verification, removal by components.
 
-A paragraph is a line of a text with at least `LEAST_WORDS` words; its set is its distinct five-word shingles.  Distinct sets are banded by
-MinHash (20 bands of 4 rows: a pair at 0.75 collides with probability 0.9995, one at 0.85 with 0.9999996), colliding pairs are verified by their
-exact Jaccard similarity of 0.75 or more, and similar sets are joined into components.  Of each component the first paragraph, by doc_id and
-line, stays; all later ones are cut from their texts.
+What is looked for are passages of `LEAST` words or more (A-Z lower-cased, split at ASCII white space) that stand in two places.  Paragraphs
+come in two cuts, and every word of a text lies in some:
 
-Of the lines that stay, passages inside are cut too: a run of `RUN` words or more that is also at an earlier place, by doc_id, line and
-word, of another line that stays (or of its own, without overlap), whatever is around it.  Every window of `RUN` words has an anchor, the `GRAM`-word
-string of least hash in it, so equal windows share one.  Only anchors that are in two places bring their windows together, by hash; of
-equal windows all but the first are cut, with every word they cover.  A run of a single word over and over is no passage.
+* Lines of `LEAST` words or more.  A line's set is its distinct five-word shingles, banded by MinHash: `bands_for` gives the fewest bands of
+  `ROWS` rows by which a pair at 0.75 meets with the wanted recall (20 for 0.999).  Lines that collide are verified by their exact Jaccard
+  similarity of 0.75 or more, and similar lines are joined into components.  Of each component the first line, by doc_id and place, stays.
+* Sliding paragraphs: each run of `LEAST` words, wherever it begins and across line breaks, in what lines that went leave.  Neighbours share
+  nearly all words, so each has one MinHash, the `GRAM`-word string of least hash in it, and neighbours mostly the same one.  Only MinHashes
+  that are in two places bring their paragraphs together, which are verified by equality; of equal ones the first, by doc_id and place, stays.
+  So an unedited passage is found whatever is around it.  A run of a single word over and over is no passage.
 
-Equal paragraphs are one item, so a line that a third of all documents share costs one item per slice; groups of near copies are joined at linear
-cost (see `pairs`).  Occurrences meet their component's first by a join that adaptive execution may split.
+All words that are in a paragraph to go are cut.  Whether a paragraph goes is judged on the texts as they came, not on what is left.
 
-Nulls: a null text has no paragraphs; rows with a null doc_id are returned uncut.  Texts of rows that repeat a doc_id are each cut where line
-and words agree.  Short lines always stay.  Empty tables give no rows.  `cut` keeps all columns of docs, `report` reads doc_id and text.
+Equal lines are one item, so a line that a third of all documents share costs one item per slice; groups of near copies are joined at linear
+cost (see `pairs`).  Of a slice's equal sliding paragraphs only the first leaves it.
+
+Nulls: a null text has no paragraphs; rows with a null doc_id are returned uncut.  Rows that repeat a doc_id are told apart by their texts;
+equal ones are cut alike.  Runs under `LEAST` words always stay.  Empty tables give no rows.  `cut` keeps all columns of docs, `report` reads
+doc_id and text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,26 +35,47 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CHAIN, LOWER, WORDS, input_partitions, materialise, mix, pack_columns, shingles, slices, unpack_columns, zipped
+from tessera.llm.common import CHAIN, LOWER, WORDS, Scratch, input_partitions, mix, pack_columns, shingles, slices, unpack_columns, zipped
 from tessera.llm.pairs import PACKED, TEXTS, _groups, linked, pack, parity_sketch
 from tessera.llm.suffix_dedup import _gram_hashes, merged
 
-LEAST_WORDS, PERCENT = 10, 75
-BANDS, ROWS = 20, 4
+LEAST, PERCENT = 50, 75
+ROWS, RECALL = 4, 0.999
 BUCKET_BYTES = 6 << 20
-RUN, GRAM = 50, 8
+GRAM = 8
+#: Words of a text that are looked at at once.
+STRETCH = 1 << 20
+
+
+def bands_for(similarity: float, rows: int, recall: float) -> int:
+    """The fewest bands of so many rows by which a pair of that similarity collides with the recall: 1 - (1 - s^r)^b."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
+
+
+BANDS = bands_for(PERCENT / 100, ROWS, RECALL)
 _RNG = np.random.default_rng(20)
 #: Multipliers and offsets of the MinHash permutations.
 MULTIPLY = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSET = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
-def paragraphs_of(text: str | bytes | None) -> Iterator[tuple[int, list[bytes], int]]:
-    """(line number, words with A-Z lower-cased, item) of each paragraph; item: a signed 64-bit hash of the words."""
-    for line, raw in enumerate((text.encode() if isinstance(text, str) else text or b"").translate(LOWER).split(b"\n")):
-        if len(raw) >= 2 * LEAST_WORDS - 1 and len(words := raw.split()) >= LEAST_WORDS:
-            h = xxhash.xxh3_64_intdigest(b" ".join(words))
-            yield line, words, h - (h >> 63 << 64)
+def signed(h: int) -> int:
+    return h - (h >> 63 << 64)
+
+
+def text_hash(text: str) -> int:
+    """Tells texts of one doc_id apart."""
+    return signed(xxhash.xxh3_64_intdigest(text.encode()))
+
+
+def paragraphs_of(text: str | bytes | None, least: int) -> Iterator[tuple[int, list[bytes], int]]:
+    """(place of its first word, words with A-Z lower-cased, item) of each line of so many words; item: a signed 64-bit hash of the words."""
+    at = 0
+    for raw in (text.encode() if isinstance(text, str) else text or b"").translate(LOWER).split(b"\n"):
+        words = raw.split()
+        if len(words) >= least:
+            yield at, words, signed(xxhash.xxh3_64_intdigest(b" ".join(words)))
+        at += len(words)
 
 
 def hashed(paragraphs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,29 +112,33 @@ def band_keys(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return keys
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, item) of every paragraph; a table in the shared folder."""
+def occurrences(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, text, a, b, item): the words [a, b) of every line; text: its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            doc, line, item = [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for n, _, i in paragraphs_of(text):
+        for batch in slices(batches):
+            doc, own, a, b, item = [], [], [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                known = None
+                for at, words, i in paragraphs_of(text, least):
+                    known = text_hash(text) if known is None else known
                     doc.append(doc_id)
-                    line.append(n)
+                    own.append(known)
+                    a.append(at)
+                    b.append(at + len(words))
                     item.append(i)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "line": pa.array(line, pa.int32()), "item": pa.array(item, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "text": pa.array(own, pa.int64()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "item": pa.array(item, pa.int64())})
 
-    return materialise(docs.mapInArrow(run, "doc_id long, line int, item long"), "paragraphs")
+    return docs.mapInArrow(run, "doc_id long, text long, a int, b int, item long")
 
 
-def components_of(docs: DataFrame, seen: DataFrame) -> DataFrame:
-    """(node, component) of the items that are similar to others.  seen: their occurrences."""
+def components_of(docs: DataFrame, seen: DataFrame, least: int, own: Scratch) -> DataFrame:
+    """(node, component) of the lines that are similar to others, a table of own.  seen: their occurrences."""
     buckets = input_partitions(docs, BUCKET_BYTES)
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 6_000_000):
-            found = {i: words for text in b.column(0).to_pylist() for _, words, i in paragraphs_of(text)}
+            found = {i: words for text in b.column(0).to_pylist() for _, words, i in paragraphs_of(text, least)}
             if not found:
                 continue
             h, starts, distinct = hashed(list(found.values()))
@@ -121,8 +151,8 @@ def components_of(docs: DataFrame, seen: DataFrame) -> DataFrame:
 
     def texts_of(items: DataFrame) -> DataFrame:
         """Each item's words, from the first document that has it."""
-        first = seen.groupBy("item").agg(F.min(F.struct("doc_id", "line")).alias("at"))
-        wanted = first.join(items, "item").groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_set("item").alias("wanted"))
+        first = seen.groupBy("item").agg(F.min("doc_id").alias("doc_id"))
+        wanted = first.join(items, "item").groupBy("doc_id").agg(F.collect_set("item").alias("wanted"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import zstandard
@@ -132,7 +162,7 @@ def components_of(docs: DataFrame, seen: DataFrame) -> DataFrame:
                 found: dict[int, bytes] = {}
                 for x, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     want = set(want)
-                    found |= {i: b" ".join(words) for _, words, i in paragraphs_of(unzip(x)) if i in want}
+                    found |= {i: b" ".join(words) for _, words, i in paragraphs_of(unzip(x), least) if i in want}
                 made = list(map(shingles, found.values()))
                 yield pa.RecordBatch.from_pydict({
                     "item": pa.array(found, pa.int64()), "size": pa.array(list(map(len, made)), pa.int32()), "sketch": pa.array(list(map(parity_sketch, made)), pa.binary()), "packed": pa.array(list(map(press, found.values())), pa.binary()),
@@ -140,95 +170,108 @@ def components_of(docs: DataFrame, seen: DataFrame) -> DataFrame:
 
         return zipped(docs, "text").join(wanted.hint("shuffle_hash"), "doc_id").select("packed", "wanted").mapInArrow(run, TEXTS)
 
-    return linked(packed, texts_of, PERCENT, "paragraph", colliding=True)
+    return linked(packed, texts_of, PERCENT, own, colliding=True)
 
 
-def later_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line, item of the paragraphs that have a similar or equal one before; a table in the shared folder."""
-    seen = occurrences(docs)
-    labels = components_of(docs, seen)
-    by_item = seen.groupBy("item").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"))
+def later_lines(docs: DataFrame, least: int, own: Scratch) -> DataFrame:
+    """doc_id, text, a, b of the lines that have a similar or equal one before; a table of own."""
+    seen = own.write(occurrences(docs, least), "lines")
+    labels = components_of(docs, seen, least, inner := Scratch(docs.sparkSession, "paragraph"))
+    by_item = seen.groupBy("item").agg(F.min(F.struct("doc_id", "a")).alias("at"), F.count("*").alias("n"))
     by_item = by_item.join(labels, by_item["item"] == labels["node"], "left").select("item", "at", "n", F.coalesce("component", "item").alias("class"))
+    by_item = own.write(by_item, "items")
+    inner.drop(labels)
     firsts = by_item.groupBy("class").agg(F.min("at").alias("first"), F.sum("n").alias("members")).where("members > 1")
-    known = by_item.join(firsts, "class").select("item", "first")
-    return materialise(seen.join(known, "item").where(F.struct("doc_id", "line") != F.col("first")).select("doc_id", "line", "item"), "later-lines")
-
-
-def windows(lines: list[list[bytes]]) -> tuple[np.ndarray, ...]:
-    """Of lines of RUN words or more: each window's line number, first word, anchor's hash, anchor's place, and own hash."""
-    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-    w = np.fromiter(map(WORDS.__getitem__, chain.from_iterable(lines)), np.uint64, int(lengths.sum()))
-    n, ends = len(w), np.cumsum(lengths)
-    gram = mix(_gram_hashes(w, GRAM))
-    places = np.uint64((1 << 28) - 1)
-    least = (gram & ~places) | np.arange(n, dtype=np.uint64)  # ties: the leftmost
-    width, reach = 1, RUN - GRAM + 1
-    while width * 2 <= reach:
-        least[: n - width] = np.minimum(least[: n - width], least[width:])
-        width *= 2
-    if (left := reach - width) > 0:
-        least[: n - left] = np.minimum(least[: n - left], least[left:])
-    changes = np.concatenate(([0], np.cumsum(w[1:] != w[:-1])))
-    good = np.ones(n, bool)
-    for j in ends:
-        good[j - RUN + 1 : j] = False
-    at = np.flatnonzero(good)
-    at = at[changes[at + RUN - 1] > changes[at]]
-    anchor = (least[at] & places).astype(np.int64)
-    line = np.searchsorted(ends, at, side="right")
-    return line, at - (ends - lengths)[line], gram[anchor], anchor, mix(_gram_hashes(w, RUN))[at]
-
-
-def later_windows(key: np.ndarray, doc: np.ndarray, line: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by key and place; and, in it, which have an earlier place of their key, apart from the first by RUN words or in another line."""
-    order = np.lexsort((pos, line, doc, key))
-    key, doc, line, pos = key[order], doc[order], line[order], pos[order]
+    known = own.write(by_item.join(own.write(firsts, "firsts"), "class").select("item", "first"), "known")
+    later = own.write(seen.join(known, "item").where(F.struct("doc_id", "a") != F.col("first")).select("doc_id", "text", "a", "b"), "later")
+    own.keep(later)
+    return later
+
+
+def sliding(w: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of the paragraphs of `least` of the words w (hashes): first word, MinHash, its place, and own hash."""
+    found = [[np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.uint64)]]
+    for base in range(0, len(w) - least + 1, STRETCH):
+        part = w[base : base + STRETCH + least - 1]
+        n = len(part) - least + 1
+        hashes = mix(_gram_hashes(part, gram))
+        places = np.uint64(STRETCH * 2 - 1)
+        low = (hashes & ~places) | np.arange(len(part), dtype=np.uint64)  # ties: the leftmost
+        width, reach = 1, least - gram + 1
+        while width * 2 <= reach:
+            low[:-width] = np.minimum(low[:-width], low[width:])
+            width *= 2
+        if (left := reach - width) > 0:
+            low[:-left] = np.minimum(low[:-left], low[left:])
+        changes = np.concatenate(([0], np.cumsum(part[1:] != part[:-1])))
+        at = np.flatnonzero(changes[least - 1 :] > changes[:n])
+        anchor = (low[at] & places).astype(np.int64)
+        found.append([base + at, hashes[anchor], base + anchor, mix(_gram_hashes(part, least))[at]])
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def later_windows(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key and place; and, in it, which have an earlier place of their key that doesn't overlap with theirs."""
+    order = np.lexsort((pos, doc, key))
+    key, doc, pos = key[order], doc[order], pos[order]
     first = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(key)), 0)) if len(key) else order
-    return order, (doc != doc[first]) | (line != line[first]) | (pos >= pos[first] + RUN)
+    return order, (doc != doc[first]) | (pos >= pos[first] + least)
 
 
-WINDOW = [np.uint64, np.int64, np.int64, np.int32, np.int32]
+WINDOW = [np.uint64, np.int64, np.int64, np.int32]
 
 
-def later_passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc_id, line, item, a, b: word spans [a, b) of lines that stay, to cut.  lines: what `later_lines` found."""
+def later_passages(docs: DataFrame, lines: DataFrame, least: int, own: Scratch) -> DataFrame:
+    """doc_id, text, a, b: word spans to cut of what lines leave.  lines: what `later_lines` found."""
     buckets = input_partitions(docs, BUCKET_BYTES)
+    gram = min(GRAM, least)
 
     def staying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of words that no line to go interrupts, where each begins."""
         import zstandard
 
         unzip, press = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
         for b in slices(batches, 4_000_000):
             out: list[tuple] = []
             for doc, gone, x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                gone = {(c["line"], c["item"]) for c in gone or ()}
-                kept = [(n, i, b" ".join(words)) for n, words, i in paragraphs_of(unzip(x)) if len(words) >= RUN and (n, i) not in gone]
+                raw = unzip(x)
+                mine = signed(xxhash.xxh3_64_intdigest(raw))
+                words = raw.translate(LOWER).split()
+                if len(words) < least:
+                    continue
+                cuts = sorted((c["a"], c["b"]) for c in gone or () if c["text"] == mine)
+                edges = [0, *chain.from_iterable(cuts), len(words)]
+                kept = [(p, q) for p, q in zip(edges[::2], edges[1::2], strict=True) if q - p >= least]
                 if kept:
-                    n, i, texts = zip(*kept, strict=True)
-                    out.append((doc, list(n), list(i), press(b"\n".join(texts))))
+                    out.append((doc, mine, [p for p, _ in kept], press(b"\n".join(b" ".join(words[p:q]) for p, q in kept))))
             if out:
-                doc, n, i, texts = zip(*out, strict=True)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "line": pa.array(n, pa.list_(pa.int32())), "item": pa.array(i, pa.list_(pa.int64())), "packed": pa.array(texts, pa.binary())})
+                doc, mine, starts, texts = zip(*out, strict=True)
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "text": pa.array(mine, pa.int64()), "starts": pa.array(starts, pa.list_(pa.int32())), "packed": pa.array(texts, pa.binary())})
 
-    gone = lines.groupBy("doc_id").agg(F.collect_set(F.struct("line", "item")).alias("gone"))
-    rest = zipped(docs, "text").join(gone, "doc_id", "left").select("doc_id", "gone", "packed").mapInArrow(staying, "doc_id long, line array<int>, item array<long>, packed binary")
-    rest = materialise(rest.withColumn("row", F.monotonically_increasing_id()), "rest")
+    gone = lines.groupBy("doc_id").agg(F.collect_set(F.struct("text", "a", "b")).alias("gone"))
+    rest = zipped(docs, "text").join(gone, "doc_id", "left").select("doc_id", "gone", "packed").mapInArrow(staying, "doc_id long, text long, starts array<int>, packed binary")
+    rest = own.write(rest.withColumn("row", F.monotonically_increasing_id()), "rest")
 
-    def of_slice(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-        """b: row, line, packed.  Each line's place in the batch, number and words."""
+    def of_slice(starts: list[list[int]], packed: list[bytes]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+        """The sliding paragraphs of each run: the row's number in the slice, and (place in the text, MinHash, its place, own hash)."""
         import zstandard
 
         unzip = zstandard.ZstdDecompressor().decompress
-        numbers = b.column(1).to_pylist()
-        texts = [t.split(b" ") for x in b.column(2).to_pylist() for t in unzip(x).split(b"\n")]
-        return np.repeat(np.arange(len(numbers)), list(map(len, numbers))), np.array(list(chain.from_iterable(numbers)), np.int32), texts
+        for row, (begin, x) in enumerate(zip(starts, packed, strict=True)):
+            for start, run in zip(begin, unzip(x).split(b"\n"), strict=True):
+                words = run.split(b" ")
+                at, low, anchor, hashes = sliding(np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words)), least, gram)
+                yield row, (at + start, low, anchor + start, hashes)
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1_000_000):
-            of, _, texts = of_slice(b)
-            line, _, key, anchor, _ = windows(texts)
-            _, one = np.unique(anchor, return_index=True)
-            row, key = b.column(0).to_numpy()[of[line[one]]], key[one]
+            rows, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            ids = b.column(0).to_pylist()
+            for row, (_, low, anchor, _) in of_slice(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                one = low[np.unique(anchor, return_index=True)[1]]
+                rows.append(np.full(len(one), ids[row]))
+                keys.append(one)
+            row, key = np.concatenate(rows), np.concatenate(keys)
             order = np.lexsort((key, row))
             row, key = row[order], key[order]
             again = np.flatnonzero((row[1:] == row[:-1]) & (key[1:] == key[:-1]))  # twice in a text: counts as in another
@@ -239,101 +282,96 @@ def later_passages(docs: DataFrame, lines: DataFrame) -> DataFrame:
         key, row, _, _ = _groups(table)
         return pa.table({"row": pa.array(row[row >= 0]), "key": pa.array(key[row >= 0].view(np.int64))})
 
-    keys = rest.select("row", "line", "packed").mapInArrow(anchored, PACKED).groupBy("bucket").applyInArrow(shared, "row long, key long")
-    keys = materialise(keys.groupBy("row").agg(F.collect_set("key").alias("keys")), "anchors")
-    found = "bucket int, pairs binary, row long, line int, pos int"
-
-    def rows_of(row: np.ndarray, line: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-        n = len(row)
-        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(row, pa.int64()), pa.array(line, pa.int32()), pa.array(pos, pa.int32())], names=["bucket", "pairs", "row", "line", "pos"])
+    keys = rest.select("row", "starts", "packed").mapInArrow(anchored, PACKED).groupBy("bucket").applyInArrow(shared, "row long, key long")
+    keys = own.write(keys.groupBy("row").agg(F.collect_set("key").alias("keys")), "keys")
+    found = "bucket int, pairs binary, row long, pos int"
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1_000_000):
-            of, number, texts = of_slice(b)
-            line, pos, key, _, own = windows(texts)
-            wanted = b.column(4).to_pylist()
-            place = of[line]
-            good = np.zeros(len(key), bool)
-            edges = np.searchsorted(place, np.arange(len(wanted) + 1))
-            for k, want in enumerate(wanted):
-                part = np.s_[edges[k] : edges[k + 1]]
-                good[part] = np.isin(key[part], np.array(want, np.int64).view(np.uint64))
-            row, doc, n, pos, own = b.column(0).to_numpy()[place[good]], b.column(3).to_numpy()[place[good]], number[line[good]], pos[good].astype(np.int32), own[good]
-            # of a slice's equal windows only the first goes on
-            order, later = later_windows(own, doc, n, pos)
-            row, doc, n, pos, own = row[order], doc[order], n[order], pos[order], own[order]
-            yield rows_of(row[later], n[later], pos[later])
-            row, doc, n, pos, own = row[~later], doc[~later], n[~later], pos[~later], own[~later]
-            bucket = (own % np.uint64(buckets)).astype(np.int32)
+            wanted = [np.array(x, np.int64).view(np.uint64) for x in b.column(4).to_pylist()]
+            ids, docs_ = b.column(0).to_numpy(), b.column(3).to_numpy()
+            parts = [[np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)]]
+            for k, (at, low, _, hashes) in of_slice(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                good = np.isin(low, wanted[k])
+                parts.append([np.full(int(good.sum()), k), at[good], hashes[good]])
+            k, pos, mine = (np.concatenate(c) for c in zip(*parts, strict=True))
+            row, doc, pos = ids[k], docs_[k], pos.astype(np.int32)
+            # of a slice's equal paragraphs only the first goes on
+            order, later = later_windows(mine, doc, pos, least)
+            row, doc, pos, mine = row[order], doc[order], pos[order], mine[order]
+            n = int(later.sum())
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(row[later]), pa.array(pos[later])], names=["bucket", "pairs", "row", "pos"])
+            row, doc, pos, mine = row[~later], doc[~later], pos[~later], mine[~later]
+            bucket = (mine % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                 if len(part):
-                    blob = pack_columns([own[part], row[part], doc[part], n[part], pos[part]])
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket[part[0]]], pa.int32()), pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32())], names=["bucket", "pairs", "row", "line", "pos"])
+                    blob = pack_columns([mine[part], row[part], doc[part], pos[part]])
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket[part[0]]], pa.int32()), pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())], names=["bucket", "pairs", "row", "pos"])
 
     def decided(table: pa.Table) -> pa.Table:
-        own, row, doc, n, pos = (np.concatenate(c) for c in zip(*(unpack_columns(x, WINDOW) for x in table["pairs"].to_pylist()), strict=True))
-        order, later = later_windows(own, doc, n, pos)
+        mine, row, doc, pos = (np.concatenate(c) for c in zip(*(unpack_columns(x, WINDOW) for x in table["pairs"].to_pylist()), strict=True))
+        order, later = later_windows(mine, doc, pos, least)
         at = order[later]
-        return pa.table({"row": pa.array(row[at]), "line": pa.array(n[at]), "pos": pa.array(pos[at])})
+        return pa.table({"row": pa.array(row[at]), "pos": pa.array(pos[at])})
 
-    pairs = materialise(rest.select("row", "line", "packed", "doc_id").join(keys, "row").select("row", "line", "packed", "doc_id", "keys").mapInArrow(met, found), "windows")
-    cut = pairs.where("bucket is null").select("row", "line", "pos").unionAll(pairs.where("bucket is not null").select("bucket", "pairs").groupBy("bucket").applyInArrow(decided, "row long, line int, pos int"))
+    pairs = own.write(rest.select("row", "starts", "packed", "doc_id").join(keys, "row").select("row", "starts", "packed", "doc_id", "keys").mapInArrow(met, found), "windows")
+    cut = pairs.where("bucket is null").select("row", "pos").unionAll(pairs.where("bucket is not null").select("bucket", "pairs").groupBy("bucket").applyInArrow(decided, "row long, pos int"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for doc, numbers, items, line, pos in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                starts = np.array(pos, np.int64)
-                item = dict(zip(numbers, items, strict=True))[line]
-                out += [(doc, line, item, x, y) for x, y in merged(np.stack([starts, starts + RUN], axis=1)).tolist()]
+            for doc, text, pos in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                starts = np.array(sorted(pos), np.int64)
+                out += [(doc, text, x, y) for x, y in merged(np.stack([starts, starts + least], axis=1)).tolist()]
             if out:
-                c = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["doc_id", "line", "item", "a", "b"])
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "text", "a", "b"])
 
-    by_line = cut.groupBy("row", F.col("line").alias("at")).agg(F.collect_list("pos").alias("pos"))
-    return rest.select("row", "doc_id", "line", "item").join(by_line, "row").select("doc_id", "line", "item", "at", "pos").mapInArrow(spans, "doc_id long, line int, item long, a int, b int")
+    by_row = cut.groupBy("row").agg(F.collect_list("pos").alias("pos"))
+    return rest.select("row", "doc_id", "text").join(by_row, "row").select("doc_id", "text", "pos").mapInArrow(spans, "doc_id long, text long, a int, b int")
 
 
-def later_copies(docs: DataFrame) -> DataFrame:
-    """doc_id and cuts (array of line, item, a, b): the paragraphs that have a similar or equal one before (a and b null), and the word spans of
-    passages inside the others."""
+def later_copies(docs: DataFrame, least: int) -> DataFrame:
+    """doc_id and cuts (array of text, a, b): word spans of the texts' paragraphs that have a similar or equal one before; a table."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    lines = later_lines(docs)
-    cuts = lines.select("*", F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b")).unionByName(later_passages(docs, lines))
-    return cuts.groupBy("doc_id").agg(F.collect_set(F.struct("line", "item", "a", "b")).alias("cuts"))
+    own = Scratch(docs.sparkSession, "paragraphs")
+    lines = later_lines(docs, least, own)
+    cuts = lines.unionByName(later_passages(docs, lines, least, own))
+    cuts = own.write(cuts.groupBy("doc_id").agg(F.collect_set(F.struct("text", "a", "b")).alias("cuts")), "cuts")
+    own.keep(cuts)
+    return cuts
 
 
 def without(text: str, cuts: list[dict]) -> tuple[str, int, int]:
-    """The text without the paragraphs and passages to cut; how many went, and their words."""
-    gone: dict[tuple[int, int], list[tuple[int, int] | None]] = {}
-    for c in cuts:
-        gone.setdefault((c["line"], c["item"]), []).append(None if c["a"] is None else (c["a"], c["b"]))
-    lines, removed, words = text.split("\n"), 0, 0
-    drop = set()
-    for n, own, i in paragraphs_of(text):
-        spans = gone.get((n, i), ())
-        if None in spans or sum(b - a for a, b in spans) == len(own):
-            drop.add(n)
-            removed += 1
-            words += len(own)
-        elif spans:
-            raw = lines[n].encode()
-            at = [m.start() for m in re.finditer(rb"[^ \t\r\f\v]+", raw)] + [len(raw)]
-            kept = [raw[: at[0]]]
-            for (_, x), (y, _) in pairwise([(0, 0), *sorted(spans), (len(own), len(own))]):
-                kept.append(raw[at[x] : at[y]])
-            lines[n] = b"".join(kept).decode()
-            removed += len(spans)
-            words += sum(b - a for a, b in spans)
-    return "\n".join(x for n, x in enumerate(lines) if n not in drop), removed, words
-
-
-def report(docs: DataFrame) -> DataFrame:
+    """The text without the words to cut; how many runs went, and their words.  A cut that begins inside a line and takes its end keeps the
+    line break."""
+    mine = text_hash(text)
+    spans = np.array(sorted((c["a"], c["b"]) for c in cuts if c["text"] == mine), np.int64).reshape(-1, 2)
+    if not len(spans):
+        return text, 0, 0
+    spans = merged(spans)
+    raw = text.encode()
+    at = np.fromiter((m.start() for m in re.finditer(rb"[^ \t\n\r\f\v]+", raw)), np.int64)
+    at = np.append(at, len(raw))
+    kept, last = [], 0
+    for a, b in spans.tolist():
+        begin, end = int(at[a]), int(at[b])
+        kept.append(raw[last:begin])
+        if a and b"\n" not in raw[int(at[a - 1]) : begin] and b"\n" in raw[begin:end]:
+            kept.append(b"\n")
+        last = end
+    kept.append(raw[last:])
+    made = b"".join(kept)
+    if spans[-1, 1] == len(at) - 1 and not raw.endswith(b"\n"):  # a line that went takes its break along
+        made = made.removesuffix(b"\n")
+    return made.decode(), len(spans), int((spans[:, 1] - spans[:, 0]).sum())
+
+
+def report(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Per document: doc_id, n_removed, removed_words, kept_sha256 (of the text that stays; null texts count as empty)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = docs.join(later_copies(docs), "doc_id", "left").select("doc_id", "text", "cuts")
+    rows = docs.join(later_copies(docs, least), "doc_id", "left").select("doc_id", "text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -348,11 +386,11 @@ def report(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_removed long, removed_words long, kept_sha256 string")
 
 
-def cut(docs: DataFrame) -> DataFrame:
-    """docs with later copies of paragraphs and passages cut out of `text` (and n_chars set anew); every row stays."""
+def cut(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """docs with later copies of paragraphs cut out of `text` (and n_chars set anew); every row stays."""
     names = docs.columns
     key, made = (next(n for n in (base + "_" * k for k in range(len(names) + 1)) if n not in names) for base in ("cut_doc", "cuts_made"))
-    cuts = later_copies(docs).select(F.col("doc_id").alias(key), F.col("cuts").alias(made))
+    cuts = later_copies(docs, least).select(F.col("doc_id").alias(key), F.col("cuts").alias(made))
     rows = docs.join(cuts, F.col("doc_id") == F.col(key), "left").select(*[f"`{n}`" for n in names], made)
     at, sized = names.index("text"), "n_chars" in names
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import ngram_join, pairs, paragraphs
-from tessera.llm.common import components, jaccard_at_least, shingles
+from tessera.llm.common import Scratch, components, jaccard_at_least, shingles
 
 
 def brute(rows):
@@ -109,14 +109,33 @@ def test_sketches_bound_the_difference():
 
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 1), (20, 21), (5, 5), (30, 31), (31, 30)] + [(100, i) for i in range(101, 140)] + [(i, i + 1) for i in range(200, 230)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    own = Scratch(spark, "test")
+    found = components(spark.createDataFrame(links, "a long, b long"), own)
+    got = {r["node"]: r["component"] for r in found.collect()}
     assert {n: c for n, c in got.items() if n < 40} == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20, 30: 30, 31: 30}
-    assert all(got[i] == 100 for i in range(100, 140)) and all(got[i] == 200 for i in range(200, 231))
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-def brute_paragraphs(rows):
-    found = [(i, n, shingles(line)) for i, t in sorted(x for x in rows if x[0] is not None) for n, line in enumerate((t or "").split("\n")) if len(line.encode().split()) >= 10]
+    assert all(got[i] == 100 for i in range(100, 140)) and all(got[i] == 200 for i in range(200, 231)) and len(got) == found.count()
+    assert sum(t is not None for t in own.tables.values()) == 1  # superseded rounds are gone
+    assert components(spark.createDataFrame([], "a long, b long"), own).count() == 0
+
+
+def test_further_links_join_components(spark):
+    own = Scratch(spark, "test")
+    labels = components(spark.createDataFrame([(1, 2), (2, 3), (7, 8), (20, 21)], "a long, b long"), own)
+    more = pairs.relabelled(labels, spark.createDataFrame([(3, 8), (30, 31), (2, 1), (31, 21)], "a long, b long"), own)
+    assert sorted((r["node"], r["component"]) for r in more.collect()) == [(1, 1), (2, 1), (3, 1), (7, 1), (8, 1), (20, 20), (21, 20), (30, 20), (31, 20)]
+
+
+def brute_paragraphs(rows, least):
+    """doc_id -> (runs cut, words cut) of distinct doc_ids, by comparing all lines and all runs of words."""
+    words = {i: bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split() for i, t in rows}
+    found = []
+    for i, t in sorted(rows):
+        at = 0
+        for line in (t or "").encode().split(b"\n"):
+            n = len(line.split())
+            if n >= least:
+                found.append((i, at, at + n, shingles(line)))
+            at += n
     parent = list(range(len(found)))
 
     def find(x):
@@ -126,27 +145,73 @@ def brute_paragraphs(rows):
 
     for a in range(len(found)):
         for b in range(a):
-            if jaccard_at_least(found[a][2], found[b][2], 75):
+            if jaccard_at_least(found[a][3], found[b][3], 75):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
-    return Counter(found[a][0] for a in range(len(found)) if find(a) != a)
-
-
-def test_paragraphs_equal_brute_force(spark, documents, corpus):
+    gone = {i: np.zeros(len(w), bool) for i, w in words.items()}
+    for a, (i, x, y, _) in enumerate(found):
+        if find(a) != a:
+            gone[i][x:y] = True
+    places = defaultdict(list)
+    for i in sorted(words):
+        for k in range(len(words[i]) - least + 1):
+            run = tuple(words[i][k : k + least])
+            if not gone[i][k : k + least].any() and len(set(run)) > 1:
+                places[run].append((i, k))
+    more = {i: g.copy() for i, g in gone.items()}
+    for (i, k), *later in places.values():
+        for j, m in later:
+            if j != i or m >= k + least:
+                more[j][m : m + least] = True
+    return {i: (int((np.diff(np.append(0, g.astype(int))) == 1).sum()), int(g.sum())) for i, g in more.items()}
+
+
+@pytest.mark.parametrize("least", [10, 25, 50])
+def test_paragraphs_equal_brute_force(spark, documents, corpus, least):
+    rng = random.Random(least)
+    vocabulary = [f"v{k}" for k in range(5000)]
+    passage = "\n".join(" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (12, 26, 17))
     rows = [x for x in corpus if x[0] != 505]
-    got = {r["doc_id"]: r["n_removed"] for r in paragraphs.report(documents(rows).repartition(4)).collect()}
-    want = brute_paragraphs(rows)
-    assert set(got) == {i for i, _ in rows} and {i: n for i, n in got.items() if n} == dict(want)
+    for k in range(12):  # a passage over line breaks, inside of lines
+        w = [rng.choice(vocabulary) for _ in range(30 + 7 * k)]
+        at = rng.randrange(len(w))
+        rows.append((600 + k, " ".join(w[:at]) + " " + passage + " " + " ".join(w[at:])))
+    got = {r["doc_id"]: (r["n_removed"], r["removed_words"]) for r in paragraphs.report(documents(rows).repartition(4), least).collect()}
+    assert got == brute_paragraphs(rows, least)
+    assert least < 50 or all(got[600 + k][1] >= 55 for k in range(1, 12))
+
+
+@pytest.mark.parametrize("stretch", [64, 1 << 20])
+def test_stretches_do_not_matter(monkeypatch, stretch):
+    monkeypatch.setattr(paragraphs, "STRETCH", stretch)
+    w = np.random.default_rng(2).integers(0, 2**63, 1000, dtype=np.uint64)
+    at, low, anchor, own = paragraphs.sliding(w, 50, 8)
+    assert at.tolist() == list(range(951)) and len(set(own.tolist())) == 951 and ((anchor >= at) & (anchor <= at + 42)).all()
+    inner = paragraphs.sliding(w[100:400], 50, 8)
+    assert inner[1].tolist() == low[100:351].tolist() and (inner[2] + 100).tolist() == anchor[100:351].tolist() and inner[3].tolist() == own[100:351].tolist()
+
+
+def test_bands_follow_the_recall():
+    rng = np.random.default_rng(0)
+    assert paragraphs.BANDS == paragraphs.bands_for(0.75, 4, 0.999) == 19
+    met = 0
+    for _ in range(400):  # pairs at three quarters
+        base = rng.integers(0, 2**64, 70, dtype=np.uint64)
+        both = [base[:60], np.concatenate([base[:51], base[61:69]])]
+        keys = paragraphs.band_keys(np.concatenate(both), np.array([0, 60]))
+        met += bool((keys[0] == keys[1]).any())
+    assert met / 400 >= 0.99
 
 
 def test_cut_keeps_firsts_columns_and_short_lines(spark, documents):
     line = "one two three four five six seven eight nine ten eleven"
     rows = [(2, f"short\n{line} twelve\nshort"), (1, f"{line} twelve"), (3, line.upper() + " TWELVE"), (4, None), (5, ""), (None, f"{line} twelve"), (6, f"{line} twelve\n{line} twelve")]
     docs = documents(rows)
-    out = paragraphs.cut(docs)
+    out = paragraphs.cut(docs, 10)
     assert out.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()), key=repr) == sorted([(2, "short\nshort", 11), (1, f"{line} twelve", 62), (3, "", 0), (4, None, None), (5, "", 0), (None, f"{line} twelve", 62), (6, "", 0)], key=repr)
     assert paragraphs.cut(docs.limit(0)).count() == 0 and paragraphs.report(docs.limit(0)).count() == 0
+    assert {r["text"] for r in paragraphs.cut(docs).collect()} == {r["text"] for r in docs.collect()}  # passages are of fifty words or more
 
 
 def test_passages_of_fifty_words_are_found(spark, documents):
@@ -184,5 +249,5 @@ def test_colliding_pairs_are_linked_at_every_family_size(spark, monkeypatch, fam
     packed = spark.createDataFrame([(r["bucket"], bytearray(r["pairs"])) for b in batches for r in b.to_pylist()], pairs.PACKED)
     rows = [(i, len(made[i]), bytearray(pairs.parity_sketch(made[i])), bytearray(zstandard.compress(" ".join(t).encode()))) for i, t in texts.items()]
     table = spark.createDataFrame(rows, pairs.TEXTS)
-    found = pairs.linked(packed, lambda items: table.join(items, "item", "left_semi"), 75, "colliding", colliding=True)
+    found = pairs.linked(packed, lambda items: table.join(items, "item", "left_semi"), 75, Scratch(spark, "colliding"), colliding=True)
     assert {r["node"]: r["component"] for r in found.collect()} == {1: 1, 2: 1}
