@@ -5,12 +5,17 @@ pair of least rank until no pair is left; an ordered aggregation gathers the ids
 order of position.  In words of over `LONG` bytes, where no pair that a merge makes new can rank below it (checked in the rank file), all
 its places are contracted in one step, so long repetitive words take few rounds; the result is the same.
 
+A word of over `CHUNK` bytes is contracted in chunks, in time linear in its bytes, and stitched.  A sequence of tokens is a word's encoding if
+and only if each two neighbours are the encoding of their joint bytes: the first merge across a border that the sequence lacks would also be
+made in those two alone.  So only chunks' borders are checked; where a border fails, the tokens around it are contracted anew, over
+more of the right side each time in a row (up to `WIDE` bytes), until both ends fit.
+
 The rank file is read on the driver and broadcast: its size is fixed by the vocabulary and checked against `MOST_RANKS`.  Memory: texts are
 taken in slices of `SLICE_CHARS`, words in slices of `SLICE_BYTES`, and a worker remembers up to `REMEMBERED` encoded words (a hot word is
 encoded once).  No shuffle; a lost executor's partitions are simply run again.
 
 Nulls: a null text is empty (no ids); a null doc_id is kept.  Repeated rows come back repeated; extra columns are not read; an empty table
-gives an empty result.  A single word of n bytes holds n rows a round.
+gives an empty result.  A single word of n bytes holds its n bytes and up to 4 n bytes of ids beside the slices.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ import base64
 import hashlib
 import threading
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +38,9 @@ SLICE_BYTES = 250_000
 SLICE_IDS = 500_000
 REMEMBERED = 400_000
 LONG = 200
+CHUNK, WIDE = 2_000, 64_000
+#: Bytes of the chunks of long words, and tokens on each side of a border that are contracted anew.
+PIECE, AROUND = 96, 6
 
 #: Rows of `start` (w, pos, id) to rows (w, ids), for words of under 65,536 bytes.  r: the rank that the pair at pos merges into; m: the
 #: word's least r and its leftmost pos in one number, null at the fixpoint.
@@ -99,6 +108,8 @@ class Codec:
         import regex
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.tokens = {r: t for t, r in ranks.items()}
+        self.fits: dict[tuple[int, int], bool] = {}
         self.bytes_of = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -132,6 +143,85 @@ class Codec:
         for w, a, b in zip(out["w"].to_pylist(), at[:-1], at[1:], strict=True):
             yield w, flat[a:b].tobytes()
 
+    def _contracted(self, words: list[bytes], query: str) -> list[np.ndarray]:
+        """Ids of each word; words in slices of `SLICE_BYTES`."""
+        out: list[np.ndarray] = [np.empty(0, "<u4")] * len(words)
+        at = 0
+        while at < len(words):
+            end, size = at, 0
+            while end < len(words) and (end == at or size + len(words[end]) <= SLICE_BYTES):
+                size += len(words[end])
+                end += 1
+            for w, ids in self._contract(words[at:end], query):
+                out[at + w] = np.frombuffer(ids, "<u4")
+            at = end
+        return out
+
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+
+    def _fit(self, pairs: list[tuple[int, int]]) -> None:
+        """Learn which pairs of tokens are the encoding of their joint bytes."""
+        new = [p for p in dict.fromkeys(pairs) if p not in self.fits]
+        if len(self.fits) > REMEMBERED:
+            self.fits.clear()
+            new = list(dict.fromkeys(pairs))
+        made = self._contracted([self.tokens[a] + self.tokens[b] for a, b in new], CONTRACT)
+        for (a, b), ids in zip(new, made, strict=True):
+            self.fits[a, b] = ids.tolist() == [a, b]
+
+    def _stitched(self, word: bytes) -> bytes:
+        """The ids of a long word from those of its chunks."""
+        pieces = self._contracted([word[i : i + PIECE] for i in range(0, len(word), PIECE)], CONTRACT_LONG)
+        # all borders at once: where the tokens around one, contracted anew, fit on both sides, they replace it
+        self._fit([(int(a[-1]), int(b[0])) for a, b in pairwise(pieces)])
+        bad = [i for i, (a, b) in enumerate(pairwise(pieces)) if not self.fits[int(a[-1]), int(b[0])] and len(a) > 2 * AROUND + 1 and len(b) > 2 * AROUND + 1]
+        made = self._contracted([self._bytes(np.concatenate([pieces[i][-AROUND:], pieces[i + 1][:AROUND]])) for i in bad], CONTRACT_LONG)
+        ends = [((int(pieces[i][-AROUND - 1]), int(m[0])), (int(m[-1]), int(pieces[i + 1][AROUND]))) for i, m in zip(bad, made, strict=True)]
+        self._fit(list(chain.from_iterable(ends)))
+        good = {i: m for i, m, (p, q) in zip(bad, made, ends, strict=True) if self.fits[p] and self.fits[q]}
+        runs = []
+        for i, x in enumerate(pieces):
+            runs.append(x[AROUND if i - 1 in good else 0 : len(x) - (AROUND if i in good else 0)])
+            if i in good:
+                runs.append(good[i])
+        # what is left, from left to right: `done` is the encoding of the bytes before
+        done, row = [runs[0]], 0
+        at = 1
+        while at < len(runs):
+            border = (int(done[-1][-1]), int(runs[at][0]))
+            self._fit([border])
+            if self.fits[border]:
+                done.append(runs[at])
+                at, row = at + 1, 0
+                continue
+            right, size = [], 0
+            while at < len(runs) and (not right or size < PIECE << row):
+                right.append(self._bytes(runs[at]))
+                size += len(right[-1])
+                at += 1
+            row += (PIECE << row) < WIDE
+            back, left = AROUND, []
+            while True:
+                held = sum(map(len, left))
+                while held < back and done:
+                    left.insert(0, done.pop())
+                    held += len(left[0])
+                near = np.concatenate(left)
+                if len(near) > back:  # the rest stays
+                    done.append(near[:-back])
+                    near = near[-back:]
+                new = self._contracted([self._bytes(near) + b"".join(right)], CONTRACT_LONG)[0]
+                if not done:
+                    break
+                border = (int(done[-1][-1]), int(new[0]))
+                self._fit([border])
+                if self.fits[border]:
+                    break
+                left, back = [near], 2 * back
+            done.append(new)
+        return np.concatenate(done).astype("<u4").tobytes()
+
     def _learn(self, words: set[str]) -> None:
         """Encode what isn't known yet, in slices of bounded size; the last two generations of words are remembered."""
         todo: list[tuple[str, bytes]] = []
@@ -148,17 +238,12 @@ class Codec:
                 self.known[word] = rank.to_bytes(4, "little")
             else:
                 todo.append((word, raw))
-        short, long = ([x for x in todo if (len(x[1]) > LONG) is kind] for kind in (False, True))
-        for words_, query in ((short, CONTRACT), (long, CONTRACT_LONG)):
-            at = 0
-            while at < len(words_):
-                end, size = at, 0
-                while end < len(words_) and (end == at or size + len(words_[end][1]) <= SLICE_BYTES):
-                    size += len(words_[end][1])
-                    end += 1
-                for w, ids in self._contract([raw for _, raw in words_[at:end]], query):
-                    self.known[words_[at + w][0]] = ids
-                at = end
+        huge = [x for x in todo if len(x[1]) > CHUNK]
+        for few, query in (([x for x in todo if len(x[1]) <= LONG], CONTRACT), ([x for x in todo if LONG < len(x[1]) <= CHUNK], CONTRACT_LONG)):
+            for (word, _), ids in zip(few, self._contracted([raw for _, raw in few], query), strict=True):
+                self.known[word] = ids.tobytes()
+        for word, raw in huge:
+            self.known[word] = self._stitched(raw)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""

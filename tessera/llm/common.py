@@ -207,9 +207,10 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterato
 def components(links: DataFrame, own: Scratch) -> DataFrame:
     """(node, component) for every node of links(a, b): the smallest node reachable; a table of own.
 
-    Alternates large-star and small-star (Kiveris et al., 2014) until each node points at one that points nowhere; the sum of what nodes point
-    at falls in every round, so this ends.  A hub is reduced by partial aggregation before the shuffle, and joined back to a table, by a join
-    that adaptive execution may split.  Each round is a table and drops the one before.  Links never reach the driver.
+    Alternates large-star and small-star (Kiveris et al., 2014) over links that point from the larger node to the smaller, until each node
+    points at one that points nowhere; the sum of what nodes point at falls in every round, so this ends.  A hub is reduced by partial
+    aggregation before the shuffle; what its rows add up to is a table before they meet it, so adaptive execution may split that join.  Each
+    round is a table and drops the one before.  Links never reach the driver.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = own.write(edges, "edges")
@@ -217,15 +218,15 @@ def components(links: DataFrame, own: Scratch) -> DataFrame:
         pointing = edges.select("a", F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(edges.select(F.col("b").alias("a"), F.lit(0).alias("out"), F.lit(1).alias("into")))
         if pointing.groupBy("a").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty():
             break
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = own.write(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "least")
-        large = both.join(least, both["a"] == least["n"]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = own.write(large.where("a <> b").distinct(), "large")
-        own.drop(edges, least)
-        least = own.write(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"), "least")
-        small = large.join(least, large["a"] == least["n"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = own.write(small.unionAll(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
-        own.drop(large, least)
+        # large-star: a link's end points no further than to the least that its start points at; small-star: all that a node points at
+        # points at the least of it
+        least = own.write(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"), "least")
+        large = edges.join(least, edges["b"] == least["n"], "left").select("a", F.coalesce("m", "b").alias("b"))
+        lower = own.write(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"), "lower")
+        small = large.join(lower, large["a"] == lower["n"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        following = own.write(small.unionAll(lower.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        own.drop(edges, least, lower)
+        edges = following
     labels = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     labels = own.write(labels, "labels")
     own.drop(edges)

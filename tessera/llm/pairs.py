@@ -231,8 +231,9 @@ def linked(packed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percen
     compared, whatever the size of their family: for keys that don't promise to bring all similar pairs together."""
     found = own.write(candidates(packed, percent), "candidates")
     pairs = own.write(found.where("groups is null").select("a", "b").distinct(), "pairs")
-    families = components(pairs, own)
-    texts = own.write(texts_of(families.select(F.col("node").alias("item"))), "texts")
+    families = None if colliding else components(pairs, own)
+    items = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct() if colliding else families.select(F.col("node").alias("item"))
+    texts = own.write(texts_of(items), "texts")
     links = own.write(verified(pairs, texts, percent), "links")
     labels = components(links, own)
     if colliding:
@@ -243,7 +244,7 @@ def linked(packed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percen
         bands = sized.select(F.col("node").alias("a"), F.explode(F.array(F.xxhash64("component", band), F.xxhash64("component", band - 1))).alias("key"))
     bands = own.write(bands, "bands")
     own.drop(links, families)
-    large = own.write(bands.groupBy("key").count().where(F.col("count") > FAMILY).select("key"), "large")
+    large = None if colliding else own.write(bands.groupBy("key").count().where(F.col("count") > FAMILY).select("key"), "large")
     for k in range(rounds + 1):
         apart = spanning(bands, labels, texts, own)
         if apart.isEmpty():

@@ -188,9 +188,12 @@ def later_lines(docs: DataFrame, least: int, own: Scratch) -> DataFrame:
     return later
 
 
-def sliding(w: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of the paragraphs of `least` of the words w (hashes): first word, MinHash, its place, and own hash."""
+def sliding(w: np.ndarray, lengths: list[int], least: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of the paragraphs of `least` of the words w (hashes; runs of these lengths end to end): first word, MinHash, its place, and own hash."""
     found = [[np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.uint64)]]
+    inside = np.ones(len(w), bool)
+    for end in np.cumsum(lengths).tolist():
+        inside[max(0, end - least + 1) : end] = False
     for base in range(0, len(w) - least + 1, STRETCH):
         part = w[base : base + STRETCH + least - 1]
         n = len(part) - least + 1
@@ -204,7 +207,7 @@ def sliding(w: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
         if (left := reach - width) > 0:
             low[:-left] = np.minimum(low[:-left], low[left:])
         changes = np.concatenate(([0], np.cumsum(part[1:] != part[:-1])))
-        at = np.flatnonzero(changes[least - 1 :] > changes[:n])
+        at = np.flatnonzero((changes[least - 1 :] > changes[:n]) & inside[base : base + n])
         anchor = (low[at] & places).astype(np.int64)
         found.append([base + at, hashes[anchor], base + anchor, mix(_gram_hashes(part, least))[at]])
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
@@ -252,26 +255,26 @@ def later_passages(docs: DataFrame, lines: DataFrame, least: int, own: Scratch)
     rest = zipped(docs, "text").join(gone, "doc_id", "left").select("doc_id", "gone", "packed").mapInArrow(staying, "doc_id long, text long, starts array<int>, packed binary")
     rest = own.write(rest.withColumn("row", F.monotonically_increasing_id()), "rest")
 
-    def of_slice(starts: list[list[int]], packed: list[bytes]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
-        """The sliding paragraphs of each run: the row's number in the slice, and (place in the text, MinHash, its place, own hash)."""
+    def of_slice(starts: list[list[int]], packed: list[bytes]) -> tuple[np.ndarray, ...]:
+        """The sliding paragraphs of a slice: the row's number in it, place in the text, MinHash, its place in the slice, own hash."""
         import zstandard
 
         unzip = zstandard.ZstdDecompressor().decompress
-        for row, (begin, x) in enumerate(zip(starts, packed, strict=True)):
-            for start, run in zip(begin, unzip(x).split(b"\n"), strict=True):
-                words = run.split(b" ")
-                at, low, anchor, hashes = sliding(np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words)), least, gram)
-                yield row, (at + start, low, anchor + start, hashes)
+        runs = [r.split(b" ") for x in packed for r in unzip(x).split(b"\n")]
+        lengths = list(map(len, runs))
+        w = np.fromiter(map(WORDS.__getitem__, chain.from_iterable(runs)), np.uint64, sum(lengths))
+        at, low, anchor, hashes = sliding(w, lengths, least, gram)
+        ends = np.cumsum(lengths)
+        run = np.searchsorted(ends, at, side="right")
+        row = np.repeat(np.arange(len(starts)), list(map(len, starts)))[run]
+        shift = (np.fromiter(chain.from_iterable(starts), np.int64, len(lengths)) - (ends - lengths))[run]
+        return row, at + shift, low, anchor, hashes
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1_000_000):
-            rows, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-            ids = b.column(0).to_pylist()
-            for row, (_, low, anchor, _) in of_slice(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                one = low[np.unique(anchor, return_index=True)[1]]
-                rows.append(np.full(len(one), ids[row]))
-                keys.append(one)
-            row, key = np.concatenate(rows), np.concatenate(keys)
+            row, _, low, anchor, _ = of_slice(b.column(1).to_pylist(), b.column(2).to_pylist())
+            _, one = np.unique(anchor, return_index=True)
+            row, key = b.column(0).to_numpy()[row[one]], low[one]
             order = np.lexsort((key, row))
             row, key = row[order], key[order]
             again = np.flatnonzero((row[1:] == row[:-1]) & (key[1:] == key[:-1]))  # twice in a text: counts as in another
@@ -288,14 +291,15 @@ def later_passages(docs: DataFrame, lines: DataFrame, least: int, own: Scratch)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1_000_000):
+            k, pos, low, _, mine = of_slice(b.column(1).to_pylist(), b.column(2).to_pylist())
             wanted = [np.array(x, np.int64).view(np.uint64) for x in b.column(4).to_pylist()]
-            ids, docs_ = b.column(0).to_numpy(), b.column(3).to_numpy()
-            parts = [[np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)]]
-            for k, (at, low, _, hashes) in of_slice(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                good = np.isin(low, wanted[k])
-                parts.append([np.full(int(good.sum()), k), at[good], hashes[good]])
-            k, pos, mine = (np.concatenate(c) for c in zip(*parts, strict=True))
-            row, doc, pos = ids[k], docs_[k], pos.astype(np.int32)
+            good = np.zeros(len(k), bool)
+            edges = np.searchsorted(k, np.arange(len(wanted) + 1))
+            for i, want in enumerate(wanted):
+                part = np.s_[edges[i] : edges[i + 1]]
+                good[part] = np.isin(low[part], want)
+            k, pos, mine = k[good], pos[good].astype(np.int32), mine[good]
+            row, doc = b.column(0).to_numpy()[k], b.column(3).to_numpy()[k]
             # of a slice's equal paragraphs only the first goes on
             order, later = later_windows(mine, doc, pos, least)
             row, doc, pos, mine = row[order], doc[order], pos[order], mine[order]

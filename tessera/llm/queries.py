@@ -55,4 +55,4 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_level_bpe, op2_benchmark_decontamination, op3_toxicity, op4_suffix_array_dedup, op5_sharding, op6_warc, op7_url_filters, op8_exact_top_k, op9_paragraph_dedup, op10_ngram_jaccard_join)}
-ORACLES = {"op2_benchmark_decontamination": decontaminate.ORACLE, "op6_warc": warc.ORACLE, "op7_url_filters": url_filter.ORACLE, "op8_exact_top_k": vector_search.ORACLE, "op10_ngram_jaccard_join": ngram_join.ORACLE}
+ORACLES = {"op2_benchmark_decontamination": decontaminate.ORACLE, "op5_sharding": sharding.ORACLE, "op6_warc": warc.ORACLE, "op7_url_filters": url_filter.ORACLE, "op8_exact_top_k": vector_search.ORACLE, "op10_ngram_jaccard_join": ngram_join.ORACLE}

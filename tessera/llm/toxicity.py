@@ -1,14 +1,21 @@
 """Toxicity by non-negative positive-unlabelled learning (Kiryo et al., 2017).
 
-Positives are the texts that `labels` confirms as toxic; the unlabelled set is the labelled rows' texts without regard to their labels, so
-its class prior is the share of confirmed rows.  A linear model over word presence is trained by full-batch Adam on the corrected risk
-prior * R+(pos) + max(0, R-(unl) - prior * R-(pos)).  The classifier is fitted on at most `MOST_ROWS` labelled rows, those of least id
-hash (a documented bound); counting words, choosing features and training take memory in proportion to it.  Scoring reads every whole text
-with a model of at most `FEATURES` words.
-
-Held out: rows whose crc32(doc_id as text) mod 3 is 1; their labels are never read.  The score sees the text alone.  A null or empty text
-gets the model's score of no words; nulls in doc_id are not held out; null labels are left out; repeated rows come back repeated, with one
-score for one text.  Without any confirmed text every score is 0.  Extra columns are not read, but `drop_toxic` keeps those of docs.
+Positives are the texts that `labels` confirms as toxic: at most `MOST_POSITIVE`, those of least id hash.  The unlabelled set is a sample of all
+`documents`, whether labelled or not, without regard to any label: at most `MOST_UNLABELLED`, those of least id hash.  Both bounds are
+documented parameters; equal texts of a set count once.  Labels of 0 are never used.
+
+A text is the set of its words.  Telling words are those that so many positives hold by chance, at the unlabelled set's rate, in fewer than one of all
+words that were looked at (Chernoff's bound of the binomial tail), however many they are.  The class prior is estimated from the two sets alone:
+over the nested sets S_k of the k most telling words, a text holding one of S_k is at least prior * P(S_k) of the unlabelled, so the least
+U(S_k) / P(S_k) bounds the prior from above, and meets it where no clean text holds one.  It is taken to be `MOST_PRIOR` at most.  A linear model over
+telling words is trained by full-batch Adam on the corrected risk prior * R+(pos) + max(0, R-(unl) - prior * R-(pos)); its logit is the log
+odds of being toxic.
+
+Held out: rows whose crc32(doc_id as text) mod 3 is 1; neither their labels nor their texts are learnt from.  The score sees the text alone.  A
+null or empty text gets the model's score of no words; nulls in doc_id are not held out, and not learnt from; null labels are left out; a row
+labelled twice is toxic if one label says so; repeated rows come back repeated, with one score for one text.  Without any confirmed text every
+score is 0; without telling words every score is the prior, `MOST_PRIOR`, under the threshold.  Extra columns are not read, but `drop_toxic`
+keeps those of docs.
 """
 
 from __future__ import annotations
@@ -20,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import Scratch, slices
 
-MOST_ROWS = 20_000
-FEATURES = 256
-#: A word counts as a feature in so many of the fitted texts at least, by so many standard errors.
-LEAST_DOCS, LEAST_SHARE, LEAST_Z = 4, 0.0005, 4.0
+MOST_POSITIVE = MOST_UNLABELLED = 20_000
+#: A telling word is in so many positive texts at least.
+LEAST_DOCS = 3
+MOST_PRIOR = 0.5
 THRESHOLD = 0.7
 #: ASCII marks end a word, as do blanks.
 BREAK = {c: 32 for c in range(128) if not chr(c).isalnum()}
@@ -40,84 +47,123 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Model:
-    def __init__(self, weights: dict[str, float], bias: float):
+    """Weights of words and a bias; without a bias, the score is 0."""
+
+    def __init__(self, weights: dict[str, float], bias: float | None):
         self.weights, self.bias, self.vocabulary = weights, bias, frozenset(weights)
 
     def score(self, text: str | None) -> float:
+        if self.bias is None:
+            return 0.0
         z = self.bias + sum(self.weights[w] for w in sorted(self.vocabulary & words_of(text)))
         return 1.0 / (1.0 + float(np.exp(-min(60.0, max(-60.0, z)))))
 
 
-NEVER = Model({}, -60.0)
+class Bags:
+    """Texts as sets of feature numbers, flat."""
+
+    def __init__(self, texts: list[list[int]], features: int):
+        self.n, self.features = len(texts), features
+        self.row = np.repeat(np.arange(len(texts)), list(map(len, texts)))
+        self.column = np.array([f for t in texts for f in t], np.int64)
+
+    def logits(self, w: np.ndarray, b: float) -> np.ndarray:
+        return np.bincount(self.row, w[self.column], self.n) + b
+
+    def gradient(self, slope: np.ndarray) -> np.ndarray:
+        """Of the sum of slope * logit: by weight, and by the bias."""
+        return np.append(np.bincount(self.column, slope[self.row], self.features), slope.sum())
 
 
-def nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 800, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias of the logistic loss's non-negative PU risk.  x: rows by features (unlabelled set: all rows); positive: its confirmed rows."""
-    n, d = x.shape
-    w, b = np.zeros(d, np.float32), np.float32(np.log(prior / (1 - prior)))
-    m, v = np.zeros(d + 1), np.zeros(d + 1)
-    xp = x[positive]
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the corrected logistic risk: prior * R+(pos), and R-(unl) - prior * R-(pos), which must not go below zero."""
+    return prior * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean()) - prior * float(np.logaddexp(0, zp).mean())
+
+
+def nnpu(pos: Bags, unl: Bags, prior: float, steps: int = 800, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of the logistic loss's non-negative PU risk."""
+    w, b = np.zeros(pos.features), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(pos.features + 1), np.zeros(pos.features + 1)
     for t in range(1, steps + 1):
-        zp, zu = xp @ w + b, x @ w + b
+        zp, zu = pos.logits(w, b), unl.logits(w, b)
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
         # logistic losses: l(z, +1) = log(1 + e^-z), slope s - 1; l(z, -1) = log(1 + e^z), slope s
-        negative = float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
-        gu, gp = su / n, prior * sp / len(xp)
-        if negative >= 0:
-            slope_p, slope_u = prior * (sp - 1) / len(xp) - gp, gu
+        kept = unl.gradient(su / unl.n) - pos.gradient(prior * sp / pos.n)
+        if risk(zp, zu, prior)[1] >= 0:
+            g = pos.gradient(prior * (sp - 1) / pos.n) + kept
         else:  # the corrected part has gone below zero: step back along it
-            slope_p, slope_u = gp, -gu
-        g = np.append(xp.T @ slope_p + x.T @ slope_u + decay * w, slope_p.sum() + slope_u.sum())
+            g = -kept
+        g[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = (w - step[:-1]).astype(np.float32), np.float32(b - step[-1])
-    return w, float(b)
+        w, b = w - step[:-1], b - float(step[-1])
+    return w, b
+
 
+def telling(p: np.ndarray, u: np.ndarray, positives: int, unlabelled: int) -> np.ndarray:
+    """Which words are telling, the most telling first; p, u: how many texts of either set hold each."""
+    share, rate = np.minimum(p / positives, 1 - 1e-9), (u + 1) / (unlabelled + 2)
+    apart = share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate))  # Kullback-Leibler
+    good = (share > rate) & (positives * apart > np.log(max(1, len(p))))
+    return np.flatnonzero(good)[np.argsort(-apart[good], kind="stable")]
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, features: int = FEATURES) -> Model:
-    """Train on docs joined to the labelled rows that aren't held out.  The sampled ids are broadcast: at most most_rows of them."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
+
+def class_prior(pos: list[list[int]], unl: list[list[int]], words: int) -> float:
+    """The least U(S_k) / P(S_k) over the sets of the k first words; texts are sets of word numbers."""
+    def shares(texts: list[list[int]]) -> np.ndarray:
+        first = np.array([min(t) for t in texts if t], np.int64)
+        return np.cumsum(np.bincount(first, minlength=words))
+
+    p, u = shares(pos) / max(1, len(pos)), (shares(unl) + 1) / (len(unl) + 2)
+    ratios = u[p > 0] / p[p > 0]
+    return float(min(MOST_PRIOR, ratios.min())) if len(ratios) else MOST_PRIOR
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
+    """Train on confirmed rows of docs and a sample of all its rows, none of them held out.  Sampled ids are broadcast: at most both bounds."""
+    confirmed = labels.where((F.col("toxic") == 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    confirmed = confirmed.orderBy(*order).limit(most_positive)
+    sample = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).orderBy(*order).limit(most_unlabelled).distinct()
+    chosen = confirmed.select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("u")).unionAll(sample.select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u")))
+    chosen = chosen.groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "p", "u")
 
     def featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             words = ["\n".join(sorted(words_of(t))) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"words": pa.array(words, pa.string()), "toxic": b.column(1)})
+            yield pa.RecordBatch.from_pydict({"words": pa.array(words, pa.string()), "p": b.column(1), "u": b.column(2)})
 
-    bags = rows.mapInArrow(featurised, "words string, toxic " + dict(rows.dtypes)["toxic"])
     spark = docs.sparkSession
-    from tessera.llm.common import materialise
-
-    bags = materialise(bags, "toxicity")
-    total, confirmed = bags.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
-    if not confirmed or confirmed == total:
-        return NEVER
-    # words that are the most surely commoner (or rarer) among confirmed texts; counted by Spark, the best `features` reach the driver
-    pairs = bags.select(F.explode(F.split("words", "\n")).alias("word"), (F.col("toxic") == 1).cast("long").alias("p")).where("word <> ''")
-    counts = pairs.groupBy("word").agg(F.count("*").alias("n"), F.sum("p").alias("p")).where(F.col("n") >= max(LEAST_DOCS, LEAST_SHARE * total))
-    prior = confirmed / total
-    z = (F.col("p") - F.col("n") * prior) / F.sqrt(F.col("n") * prior * (1 - prior))
-    best = [r["word"] for r in counts.where(F.abs(z) >= LEAST_Z).orderBy(F.abs(z).desc(), "word").limit(features).collect()]
-    if not best:
-        return Model({}, float(np.log(prior / (1 - prior))))
-    index = {w: i for i, w in enumerate(best)}
+    own = Scratch(spark, "toxicity")
+    bags = rows.mapInArrow(featurised, "words string, p int, u int").groupBy("words").agg(F.max("p").alias("p"), F.max("u").alias("u"))
+    bags = own.write(bags, "bags")
+    positives, unlabelled = bags.agg(F.sum("p"), F.sum("u")).first()
+    if not positives:
+        own.keep()
+        return Model({}, None)
+    counts = bags.select(F.explode(F.split("words", "\n")).alias("word"), "p", "u").where("word <> ''").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    table = counts.where(F.col("p") >= LEAST_DOCS).orderBy("word").toArrow()  # words of the bounded sample of positives
+    best = telling(table["p"].to_numpy(), table["u"].to_numpy(), positives, unlabelled)
+    words = table["word"].take(pa.array(best)).to_pylist()
+    index = {w: i for i, w in enumerate(words)}
     shared = spark.sparkContext.broadcast(index)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
             found = [sorted({own[w] for w in t.split("\n") if w in own}) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"f": pa.array(found, pa.list_(pa.int32())), "toxic": pa.array([int(t == 1) for t in b.column(1).to_pylist()], pa.int32())})
-
-    table = bags.mapInArrow(indexed, "f array<int>, toxic int").toArrow()
-    f, y = table["f"].to_pylist(), np.array(table["toxic"].to_pylist(), bool)
-    order = sorted(range(len(f)), key=lambda k: (f[k], y[k]))  # the sums don't depend on the order in which rows arrive
-    x, y = np.zeros((len(f), len(best)), np.float32), y[order]
-    for r, k in enumerate(order):
-        x[r, f[k]] = 1
-    w, bias = nnpu(x, y, prior)
-    return Model(dict(zip(best, map(float, w), strict=True)), bias)
+            yield pa.RecordBatch.from_pydict({"f": pa.array(found, pa.list_(pa.int32())), "p": b.column(1), "u": b.column(2)})
+
+    table = bags.mapInArrow(indexed, "f array<int>, p int, u int").toArrow()
+    own.keep()
+    texts = sorted(zip(table["f"].to_pylist(), table["p"].to_pylist(), table["u"].to_pylist(), strict=True))  # sums don't depend on the rows' order
+    pos, unl = [f for f, p, _ in texts if p], [f for f, _, u in texts if u]
+    prior = class_prior(pos, unl, len(words))
+    if not words or not unl:
+        return Model({}, float(np.log(prior / (1 - prior))))
+    w, bias = nnpu(Bags(pos, len(words)), Bags(unl, len(words)), prior)
+    return Model(dict(zip(words, map(float, w), strict=True)), bias)
 
 
 def _scored(docs: DataFrame, model: Model, keep: bool) -> DataFrame:

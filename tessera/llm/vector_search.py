@@ -5,14 +5,16 @@ distances in [lo, hi] and norms up to R, the triangle inequality gives |q - v| >
 q.v = (|q|^2 + |v|^2 - |q - v|^2) / 2 is bounded above.  A query's annuli are sorted by that bound and expanded in two rounds: first the
 best until they hold enough vectors, whose k-th score then stops the search at every annulus with a smaller bound.
 
-Pivots are fitted on a bounded, documented sample (`SAMPLE` vectors of least id hash); every vector is indexed and the result is exact
-whatever the pivots are.  What reaches the driver: the sample and one row of figures per annulus (`PIVOTS` * `RINGS` at most).  An annulus
-with many vectors is dealt over parts of about `PART` vectors by id, and queries over blocks, so one very common vector is no hot task.
+Pivots, the root of the number of vectors over `EACH` and `MOST_PIVOTS` at most, are fitted on a bounded, documented sample (`SAMPLE` vectors of least
+id hash); every vector is indexed and the result is exact whatever the pivots are.  What reaches the driver: the sample and one row of
+figures per annulus (`MOST_PIVOTS` * `RINGS` at most).  An annulus with many vectors is dealt over parts of about `PART` vectors by id, so one
+very common vector is no hot task.  Queries are dealt over blocks by their nearest pivot, so that a block's queries ask for the same annuli;
+a part is sent once to each block that asks for it, and to no other.
 
 Components become floor(64 * x).  Rows with a null id, a null vector, or a null or non-finite component take no part.  Vectors of different
 lengths are compared over their shared components (as if padded with zeros); an empty vector scores 0.  Ties go to the smaller id.  An id
-that is repeated is several candidates, and as a query it is searched once per row; rows of its own id are never its candidates.  Empty
-tables give no rows; extra columns are not read.  Scores are exact while |q|^2 + |v|^2 is under 2^53.
+that is repeated is several candidates, and as a query it is searched once for each of its vectors, with k rows each; rows of its own id are
+never its candidates.  Empty tables give no rows; extra columns are not read.  Scores are exact while |q|^2 + |v|^2 is under 2^53.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import Scratch, materialise
 
-SAMPLE, PIVOTS, RINGS, PART = 4096, 64, 6, 8192
+SAMPLE, RINGS, PART = 16_384, 6, 8192
+EACH, LEAST_PIVOTS, MOST_PIVOTS = 8, 64, 1024
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -62,11 +65,12 @@ class Index:
 
     def __init__(self, vectors: DataFrame):
         spark = vectors.sparkSession
-        self.dim = vectors.agg(F.max(F.size("v"))).first()[0] or 0
+        n, dim = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
+        self.dim = dim or 0
         sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
         x = _matrix(sample.chunk(0) if isinstance(sample, pa.ChunkedArray) else sample, self.dim) if len(sample) else np.zeros((1, self.dim))
         x = x[np.random.default_rng(0).permutation(len(x))]
-        self.pivots = _kmeans(x, min(PIVOTS, len(x)))
+        self.pivots = _kmeans(x, min(max(LEAST_PIVOTS, min(MOST_PIVOTS, int(n**0.5) // EACH)), len(x)))
         d = np.sqrt(np.maximum(0, ((x * x).sum(1)[:, None] - 2 * x @ self.pivots.T + (self.pivots**2).sum(1)).min(1)))
         self.edges = np.quantile(d, np.arange(1, RINGS) / RINGS)
         pivots, edges, dim = self.pivots, self.edges, self.dim
@@ -114,6 +118,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 409
         return index.spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim, cells, parts = index.dim, index.cells, index.parts
     blocks = max(1, -(-queries.count() // block))
+    pivots = len(index.pivots)
     order_n = index.n
 
     def first_annuli(ub: np.ndarray) -> np.ndarray:
@@ -143,28 +148,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 409
                     times = own.parts[c]
                     r, c = np.repeat(r, times), np.repeat(c, times)
                     part = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
-                    ids = b.column(0).to_numpy()
+                    ids, which = b.column(0).to_numpy(), b.column(3).to_numpy()
+                    # blocks are stretches of queries in order of their nearest pivots, each pivot's dealt by hash
+                    near = ((own.pivots**2).sum(1) - 2 * q @ own.pivots.T).argmin(1)
+                    mine = ((near + (which & 0xFFFF) / 65536) * blocks / pivots).astype(np.int64)
                     packed = np.array([x.tobytes() for x in q.astype("<f8")] + [b""], object)[:-1]
                     yield pa.RecordBatch.from_pydict({
-                        "cell": pa.array(own.cells[c], pa.int32()), "part": pa.array(part, pa.int32()), "block": pa.array(ids[r] // 20 % blocks, pa.int32()), "query_id": pa.array(ids[r], pa.int64()), "tau": tau[r], "q": pa.array(list(packed[r]), pa.binary()),
+                        "cell": pa.array(own.cells[c], pa.int32()), "part": pa.array(part, pa.int32()), "block": pa.array(mine[r], pa.int32()), "query_id": pa.array(ids[r], pa.int64()), "which": pa.array(which[r], pa.int64()), "tau": tau[r], "q": pa.array(list(packed[r]), pa.binary()),
                     })
 
         return run
 
     bounds_of = Index.bounds
-    of_cell = F.create_map(*[F.lit(int(x)) for pair in zip(cells, parts, strict=True) for x in pair]) if (parts > 1).any() else None
-    part = F.pmod(F.xxhash64("vec_id"), of_cell[F.col("cell")].cast("long")).cast("int") if of_cell is not None else F.lit(0)
-    data = index.table.select("vec_id", "cell", part.alias("part"), "v")
-    if blocks > 1:
-        data = data.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    else:
-        data = data.withColumn("block", F.lit(0))
+    data = index.table.select("vec_id", "cell", F.lit(0).alias("part"), "v")
+    if (parts > 1).any():  # a row for each annulus: bounded
+        of_cell = index.spark.createDataFrame([(int(c), int(n)) for c, n in zip(cells, parts, strict=True)], "cell int, parts long")
+        data = index.table.join(F.broadcast(of_cell), "cell").select("vec_id", "cell", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"), "v")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         """left: queries of a block; right: vectors of a part."""
-        found: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        found: dict[str, list] = {"query_id": [], "which": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
-            qid, tau = left["query_id"].to_numpy(), left["tau"].to_numpy()
+            qid, which, tau = left["query_id"].to_numpy(), left["which"].to_numpy(), left["tau"].to_numpy()
             q, vid, v = unpack(left["q"].to_pylist(), dim), right["vec_id"].to_numpy(), unpack(right["v"].to_pylist(), dim)
             for at in range(0, len(qid), 256):
                 s = q[at : at + 256] @ v.T
@@ -179,21 +184,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 409
                 rank = np.arange(len(r)) - np.searchsorted(r, r)
                 r, c = r[rank < k], c[rank < k]
                 found["query_id"].append(qid[at : at + 256][r])
+                found["which"].append(which[at : at + 256][r])
                 found["vec_id"].append(vid[c])
                 found["score"].append(s[r, c].astype(np.int64))
         return pa.table({n: pa.array(np.concatenate(x) if x else [], pa.int64()) for n, x in found.items()})
 
     keys = ("cell", "part", "block")
 
+    own = Scratch(index.spark, "search")
+
     def round_of(asked: DataFrame, second: bool) -> DataFrame:
-        sent = asked.mapInArrow(expanded(second), "cell int, part int, block int, query_id long, tau double, q binary")
-        return sent.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(scored, "query_id long, vec_id long, score long")
-
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    asked = queries.select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id", "v"])
-    one = materialise(round_of(asked.select("query_id", "v", F.lit(float("-inf")).alias("tau")), False), "search")
-    tau = one.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("tau"))
-    two = round_of(asked.join(tau, "query_id", "left").select("query_id", "v", F.coalesce("tau", F.lit(float("-inf"))).alias("tau")), True)
+        sent = asked.mapInArrow(expanded(second), "cell int, part int, block int, query_id long, which long, tau double, q binary")
+        if blocks > 1:
+            sent = own.write(sent, "sent")
+            wanted = data.join(own.write(sent.select(*keys).distinct(), "keys"), ["cell", "part"])
+        else:
+            wanted = data.withColumn("block", F.lit(0))
+        return sent.groupBy(*keys).cogroup(wanted.select("vec_id", "cell", "part", "v", "block").groupBy(*keys)).applyInArrow(scored, "query_id long, which long, vec_id long, score long")
+
+    best = Window.partitionBy("query_id", "which").orderBy(F.col("score").desc(), F.col("vec_id"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("v").alias("which")).dropDuplicates(["query_id", "v"])
+    one = own.write(round_of(asked.select("query_id", "v", F.lit(float("-inf")).alias("tau"), "which"), False), "first")
+    tau = one.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", "which", F.col("score").cast("double").alias("tau"))
+    two = round_of(asked.join(tau, ["query_id", "which"], "left").select("query_id", "v", F.coalesce("tau", F.lit(float("-inf"))).alias("tau"), "which"), True)
     ranked = one.unionAll(two).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -207,7 +220,8 @@ def top_scores(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame
 ORACLE = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint score from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
+q as (select distinct vec_id, v from v where vec_id % 20 = 0),
+s as (select q.vec_id query_id, q.v q, c.vec_id, list_inner_product(q.v, c.v)::bigint score from q join v c on q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id, q order by score desc, vec_id)::int rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20
 """

@@ -37,6 +37,19 @@ def test_random_and_long_words(codec, encoding):
     assert codec.decode(ids) == [t.encode() for t in texts]
 
 
+def test_words_in_chunks(codec, encoding):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9000)), "".join(rng.choice("ab") for _ in range(9000)), "".join(rng.choice(["the", "ing", "x"]) for _ in range(3000))]
+    words += [(p * 9000)[:n] for p in ("a", "abc", "theand", "é", "日本語x") for n in (2001, 9000)] + ["a" * 3000 + "b" + "a" * 2501]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(words)] == [encoding.encode_ordinary(w) for w in words]
+
+
+def test_a_word_of_ten_megabytes(codec):
+    word = "ab" * 5_000_000
+    (ids,) = codec.encode([word])
+    assert codec.decode([ids]) == [word.encode()] and len(set(np.frombuffer(ids, "<u4")[100:-100].tolist())) == 1
+
+
 def test_ids_in_slices(codec, monkeypatch):
     monkeypatch.setattr(bpe, "SLICE_IDS", 3)
     texts = ["one two three four", "", "five"]

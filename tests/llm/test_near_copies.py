@@ -126,7 +126,12 @@ def test_further_links_join_components(spark):
 
 
 def brute_paragraphs(rows, least):
-    """doc_id -> (runs cut, words cut) of distinct doc_ids, by comparing all lines and all runs of words."""
+    """doc_id -> (runs cut, words cut) of distinct doc_ids."""
+    return {i: (int((np.diff(np.append(0, g.astype(int))) == 1).sum()), int(g.sum())) for i, g in words_to_cut(rows, least).items()}
+
+
+def words_to_cut(rows, least):
+    """doc_id -> which of its words go, by comparing all lines and all runs of words."""
     words = {i: bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split() for i, t in rows}
     found = []
     for i, t in sorted(rows):
@@ -163,7 +168,7 @@ def brute_paragraphs(rows, least):
         for j, m in later:
             if j != i or m >= k + least:
                 more[j][m : m + least] = True
-    return {i: (int((np.diff(np.append(0, g.astype(int))) == 1).sum()), int(g.sum())) for i, g in more.items()}
+    return more
 
 
 @pytest.mark.parametrize("least", [10, 25, 50])
@@ -185,10 +190,12 @@ def test_paragraphs_equal_brute_force(spark, documents, corpus, least):
 def test_stretches_do_not_matter(monkeypatch, stretch):
     monkeypatch.setattr(paragraphs, "STRETCH", stretch)
     w = np.random.default_rng(2).integers(0, 2**63, 1000, dtype=np.uint64)
-    at, low, anchor, own = paragraphs.sliding(w, 50, 8)
+    at, low, anchor, own = paragraphs.sliding(w, [1000], 50, 8)
     assert at.tolist() == list(range(951)) and len(set(own.tolist())) == 951 and ((anchor >= at) & (anchor <= at + 42)).all()
-    inner = paragraphs.sliding(w[100:400], 50, 8)
+    inner = paragraphs.sliding(w[100:400], [300], 50, 8)
     assert inner[1].tolist() == low[100:351].tolist() and (inner[2] + 100).tolist() == anchor[100:351].tolist() and inner[3].tolist() == own[100:351].tolist()
+    runs = paragraphs.sliding(w, [20, 100, 49, 50, 781], 50, 8)
+    assert runs[0].tolist() == [*range(20, 71), 169, *range(219, 951)] and runs[3].tolist() == own[runs[0]].tolist()
 
 
 def test_bands_follow_the_recall():

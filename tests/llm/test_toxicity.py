@@ -55,15 +55,66 @@ def test_odd_rows(spark, documents, labelled):
 def test_without_positives_or_rows(spark, documents):
     none = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     docs = documents([(1, "a"), (2, "b")])
-    assert {r["predicted"] for r in t.score(docs, none).collect()} == {0}
+    assert {(r["predicted"], r["score"]) for r in t.score(docs, none).collect()} == {(0, 0.0)}
+    every = spark.createDataFrame([(1, 1, 1), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    assert {r["predicted"] for r in t.score(docs, every).collect()} == {0}  # nothing tells them apart
     assert t.score(docs, none.limit(0)).count() == 2 and t.score(docs.limit(0), none).count() == 0
 
 
+def bags(x):
+    return t.Bags([np.flatnonzero(r).tolist() for r in x], x.shape[1])
+
+
 def test_risk_uses_the_prior():
     rng = np.random.default_rng(0)
     y = rng.random(2000) < 0.2
     x = (rng.random((2000, 2)) < np.where(y[:, None], [0.9, 0.5], [0.05, 0.5])).astype(np.float32)
     seen = y & (rng.random(2000) < 0.5)  # half of the positives are confirmed, the rest hide among the unlabelled
-    w, b = t.nnpu(x, seen, 0.2)
+    w, b = t.nnpu(bags(x[seen]), bags(x), 0.2)
     z = x @ w + b
     assert w[0] > 2 > abs(w[1]) and ((z > 0) == (x[:, 0] > 0)).mean() > 0.99
+
+
+def test_risk_and_its_slope_equal_plain_loops():
+    rng = np.random.default_rng(3)
+    x, u = (rng.random((n, 4)) < 0.4 for n in (30, 50))
+    w, b, prior = rng.normal(size=4), 0.3, 0.25
+    log = lambda z: float(np.log1p(np.exp(z)))
+
+    def plain(w, b):
+        zs = lambda rows: [b + sum(c for c, there in zip(w, r, strict=True) if there) for r in rows]
+        plus = prior * sum(log(-z) for z in zs(x)) / len(x)
+        return plus, sum(log(z) for z in zs(u)) / len(u) - prior * sum(log(z) for z in zs(x)) / len(x)
+
+    p, q = bags(x), bags(u)
+    assert np.allclose(t.risk(p.logits(w, b), q.logits(w, b), prior), plain(w, b))
+    sp, su = (1 / (1 + np.exp(-m.logits(w, b))) for m in (p, q))
+    slope = p.gradient(prior * (sp - 1) / p.n) + q.gradient(su / q.n) - p.gradient(prior * sp / p.n)
+    for k in range(5):
+        d = np.eye(5)[k] * 1e-6
+        assert abs((sum(plain(w + d[:4], b + d[4])) - sum(plain(w - d[:4], b - d[4]))) / 2e-6 - slope[k]) < 1e-6
+
+
+def test_the_prior_is_found_without_negatives():
+    rng = np.random.default_rng(4)
+    y = rng.random(20_000) < 0.12
+    x = rng.random((20_000, 6)) < np.where(y[:, None], 0.4, 0.002)
+    texts = [np.flatnonzero(r).tolist() for r in x]
+    pos = [f for f, toxic in zip(texts, y, strict=True) if toxic][:500]
+    assert 0.11 < t.class_prior(pos, texts, 6) < 0.145
+
+
+def test_few_positives_teach(spark, documents, labelled):
+    rows, labels = labelled
+    few = [i for i, _, y in labels if y and zlib.crc32(str(i).encode()) % 3 != 1 and "snarl" in dict(rows)[i]][:6]
+    docs = documents(rows)
+    kept = {r["doc_id"] for r in t.drop_toxic(docs, spark.createDataFrame([(i, 1, 1) for i in few], "doc_id long, quality int, toxic int")).collect()}
+    gone = {i for i, _ in rows} - kept
+    assert gone and all("snarl" in dict(rows)[i] for i in gone)
+
+
+def test_labels_of_clean_rows_are_not_used(spark, documents, labelled):
+    rows, labels = labelled
+    only = [x for x in labels if x[2] == 1]
+    one, two = ({r["doc_id"]: r["score"] for r in t.score(documents(rows), spark.createDataFrame(x, "doc_id long, quality int, toxic int")).collect()} for x in (labels, only))
+    assert one == two

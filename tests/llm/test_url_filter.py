@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import url_filter as u
 
@@ -29,8 +31,28 @@ def test_poor_hosts_are_blocked_and_rules_win(spark):
 
 def test_shrinkage(spark):
     outcomes = [("a.x.com", 1)] + [("b.x.com", 0)] * 50 + [("c.y.com", 1)] * 2 + [("d.y.com", 0)] * 40
-    r = {x["host"]: x for x in u.host_reputation(spark.createDataFrame(outcomes, "host string, bad int")).collect()}
-    assert r["b.x.com"]["rate"] < r["a.x.com"]["rate"] < 1 and all(x["lower"] < x["rate"] < x["upper"] for x in r.values())
+    hosts, domains, _, mean = u.levels(spark.createDataFrame(outcomes, "host string, bad int"))
+    r = {x["host"]: x for x in hosts.collect()}
+    assert r["b.x.com"]["rate"] < r["a.x.com"]["rate"] < 1 and r["a.x.com"]["over"] > r["b.x.com"]["over"] and 0 < mean < 0.1
+    assert {x["domain"] for x in domains.collect()} == {"x.com", "y.com"}
+
+
+def test_suffixes_and_domains(spark):
+    cases = {"a.b.co.uk": ("co.uk", "b.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.com": ("com", "x.com"), "w.x.com": ("com", "x.com"), "com": ("com", "com"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "u@h.net:80": ("net", "h.net"), "": ("", ""), "a.co.info": ("info", "co.info")}
+    df = spark.createDataFrame([(h,) for h in cases], "h string").withColumn("host", u.bare(F.col("h")))
+    got = {r["h"]: (r["s"], r["d"]) for r in df.select("h", u.public_suffix(F.col("host")).alias("s"), u.registered_domain(F.col("host")).alias("d")).collect()}
+    assert got == cases
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5])
+def test_posterior_probability(spark, least):
+    rng = np.random.default_rng(0)
+    cases = [(0.2, 0.3), (1.0, 1.0), (3.0, 9.0), (60.0, 40.0), (0.05, 4.0), (900.0, 1000.0)]
+    df = spark.createDataFrame(cases, "a double, b double")
+    for r in df.select("a", "b", u.probability_over(F.col("a"), F.col("b"), least).alias("p")).collect():
+        assert abs(r["p"] - (rng.beta(r["a"], r["b"], 400_000) > least).mean()) < 0.004
+    whole = spark.createDataFrame([(4.0, 3.0)], "a double, b double").select(u.probability_over(F.col("a"), F.col("b"), 0.5).alias("p")).first()["p"]
+    assert whole == pytest.approx(42 / 64, abs=1e-6)  # of six tosses, three heads at most
 
 
 def test_empty_repeated_and_many_rules(spark):

@@ -43,8 +43,14 @@ def test_queries_in_blocks(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(0, 1, 4).tolist()) for i in range(200)]
     df = v.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    got = sorted(map(tuple, v.search(df, df.where("vec_id % 20 = 0"), block=4).collect()))
-    assert got == brute(rows)
+    for block in (1, 4):
+        assert sorted(map(tuple, v.search(df, df.where("vec_id % 20 = 0"), block=block).collect())) == brute(rows)
+
+
+def test_an_id_with_several_vectors(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), *((i, [i / 50, 1 - i / 50]) for i in range(21, 60))]
+    got = search(spark, rows)
+    assert got == brute(rows) and len([x for x in got if x[0] == 20]) == 40
 
 
 def test_large_components(spark):
