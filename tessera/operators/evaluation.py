@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.sampling import number_of
+
 
 def judged(rankings: DataFrame, qrels: DataFrame) -> DataFrame:
     """topic, doc, rank, rel, hits (running), prec, rec, relevant (of the topic): by descending score, then doc."""
@@ -76,7 +78,7 @@ def bootstrap(rows: DataFrame, columns: list[str], id_: str = "topic", samples:
     if not n:
         return rows.sparkSession.createDataFrame([], "column string, mean double, lower double, upper double")
     numbered = rows.select(F.row_number().over(Window.orderBy(id_)).alias("no"), *columns)
-    draws = rows.sparkSession.range(samples * n).select((F.col("id") % samples).alias("b"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)) + 1).cast("int").alias("no"))
+    draws = rows.sparkSession.range(samples * n).select((F.col("id") % samples).alias("b"), (number_of("id", seed) % n + 1).cast("int").alias("no"))
     draws = draws.groupBy("b", "no").agg(F.count("*").alias("times"))
     long = numbered.select("no", F.explode(F.create_map(*[v for c in columns for v in (F.lit(c), F.col(c).cast("double"))])).alias("column", "value"))
     means = draws.join(long, "no").groupBy("b", "column").agg((F.sum(F.col("value") * F.col("times")) / n).alias("m"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.matrices import Matrix
 from tessera.operators import bags, pairwise
 from tessera.operators.kernels import within
-from tessera.operators.tiling import kmers
+from tessera.operators.tiling import kmers, word_counts
 
 
 def top_k(pairs: DataFrame, k: int, query: str = "query_id", subject: str = "subject_id", distance: str = "distance", exclude_self: bool = False) -> DataFrame:
@@ -31,13 +33,97 @@ def shared_features(queries: DataFrame, subjects: DataFrame) -> DataFrame:
     return met.groupBy("query_id", "subject_id").agg(F.count("*").alias("shared"), F.max("query_n").alias("query_n"), F.max("subject_n").alias("subject_n"))
 
 
-def rank_signatures(queries: DataFrame, subjects: DataFrame, k: int = 1000, exclude_self: bool = False) -> DataFrame:
-    """query_id, subject_id, distance = 1 - Jaccard, rank."""
+#: Features up to which signatures are compared as bits, and query bits that are broadcast at once.
+DENSE, QUERY_BYTES = 4096, 16 << 20
+
+
+def _bits(features: pa.Array, index: dict, width: int) -> np.ndarray:
+    """Rows of features as zeros and ones; features that no query has are left out."""
+    out = np.zeros((len(features), width), np.float32)
+    for r, row in enumerate(features.to_pylist()):
+        out[r, [index[f] for f in row or () if f in index]] = 1
+    return out
+
+
+def _near_signatures(queries: DataFrame, subjects: DataFrame, features: list, k: int, exclude_self: bool) -> DataFrame:
+    """query_id, subject_id, distance of each query's k nearest of every batch of subjects, ties included, by products of bit matrices.
+    Queries are taken in blocks of `QUERY_BYTES`, each against all subjects."""
+    index, width = {f: i for i, f in enumerate(features)}, len(features)
+    kinds = {n: dict(t.dtypes)["seq_id"] for n, t in (("query_id", queries), ("subject_id", subjects))}
+    block = max(1, QUERY_BYTES // (4 * width))
+    spark, out, held = subjects.sparkSession, None, []
+
+    def against(part: list) -> DataFrame:
+        ids = pa.array([r["seq_id"] for r in part])
+        bits = _bits(pa.array([r["features"] for r in part]), index, width)
+        sizes = np.array([len(r["features"]) for r in part], np.float64)
+        shared = spark.sparkContext.broadcast((ids, bits.astype(bool), sizes))
+
+        def run(batches):
+            names, own, n = shared.value
+            own = own.astype(np.float32)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    b = whole.slice(at, 1024)
+                    other = _bits(b.column(1), index, width)
+                    m = np.array([len(x or ()) for x in b.column(1).to_pylist()], np.float64)
+                    both = (own @ other.T).astype(np.float64)
+                    d = 1 - both / np.maximum(n[:, None] + m[None, :] - both, 1)
+                    d[both == 0] = np.inf
+                    if exclude_self:
+                        place = {v: [] for v in names.to_pylist()}
+                        for i, v in enumerate(names.to_pylist()):
+                            place[v].append(i)
+                        for j, v in enumerate(b.column(0).to_pylist()):
+                            d[place.get(v, []), j] = np.inf
+                    limit = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+                    r, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(r)), b.column(0).take(pa.array(c)), pa.array(d[r, c])], names=["query_id", "subject_id", "distance"])
+
+        return subjects.select("seq_id", "features").mapInArrow(run, f"query_id {kinds['query_id']}, subject_id {kinds['subject_id']}, distance double")
+
+    for row in queries.select("seq_id", F.coalesce("features", F.array()).alias("features")).toLocalIterator():
+        held.append(row)
+        if len(held) == block:
+            out, held = (against(held) if out is None else out.unionAll(against(held))), []
+    if held or out is None:
+        out = against(held) if out is None else out.unionAll(against(held))
+    return out
+
+
+def rank_signatures(queries: DataFrame, subjects: DataFrame, k: int = 1000, exclude_self: bool = False, dense: int = DENSE) -> DataFrame:
+    """query_id, subject_id, distance = 1 - Jaccard, rank; of pairs that share a feature.
+
+    Where the queries have at most `dense` features in all (counted first), each posting list holds a good part of all rows: signatures then
+    are compared as bits.  Otherwise through posting lists."""
+    found = [r["f"] for r in queries.select(F.explode("features").alias("f")).distinct().limit(dense + 1).collect()]
+    if found and len(found) <= dense:
+        return top_k(_near_signatures(queries, subjects, sorted(found), k, exclude_self), k, exclude_self=exclude_self)
     met = shared_features(queries, subjects)
     d = 1 - F.col("shared") / (F.col("query_n") + F.col("subject_n") - F.col("shared"))
     return top_k(met.select("query_id", "subject_id", d.alias("distance")), k, exclude_self=exclude_self)
 
 
+#: Distinct query words that are broadcast to find the subjects' words that matter; beyond it the words are joined by a shuffle.
+BROADCAST_WORDS = 2_000_000
+
+
+def rank_words(queries: DataFrame, subjects: DataFrame, k_symbols: int, k: int = 1000, most: int = BROADCAST_WORDS) -> DataFrame:
+    """Sequences (seq_id, residues) ranked by 1 - Jaccard of their sets of words: query_id, subject_id, distance, rank.
+
+    The queries' words are counted first.  Up to `most` of them are broadcast, so that of the subjects only words that some query has leave
+    the stage that reads them; beyond, all words meet in a shuffle.  The size of each set comes from counts, not from words."""
+    q = kmers(queries.select("seq_id", "residues"), k_symbols).where("word is not null and seq_id is not null").select(F.col("seq_id").alias("query_id"), "word").distinct()
+    s = kmers(subjects.select("seq_id", "residues"), k_symbols).where("word is not null and seq_id is not null").select(F.col("seq_id").alias("subject_id"), "word")
+    asked = q.select("word").distinct()
+    if asked.count() <= most:
+        s = s.join(F.broadcast(asked), "word", "left_semi")
+    met = s.distinct().join(q.hint("merge"), "word").groupBy("query_id", "subject_id").agg(F.count("*").alias("shared"))
+    qn, sn = (word_counts(x, k_symbols).select(F.col("seq_id").alias(f"{p}_id"), F.col("n_distinct").alias(f"{p}_n")) for p, x in (("query", queries), ("subject", subjects)))
+    met = met.join(qn, "query_id").join(sn, "subject_id")
+    return top_k(met.select("query_id", "subject_id", (1 - F.col("shared") / (F.col("query_n") + F.col("subject_n") - F.col("shared"))).alias("distance")), k)
+
+
 def rank_feature_vectors(queries: DataFrame, subjects: DataFrame, k: int = 1000) -> DataFrame:
     """(seq_id, key, weight) tables -> distance = minus the dot product."""
     q = queries.select(F.col("seq_id").alias("query_id"), "key", F.col("weight").alias("a"))
@@ -78,8 +164,6 @@ def rank_indexed(queries: DataFrame, subjects: DataFrame, query_sigs: DataFrame,
     d = matrix.distances(kind)
 
     def run(batches):
-        import pyarrow as pa
-
         from tessera.operators.kernels import pair_minima
 
         code = pairwise._coder(matrix)

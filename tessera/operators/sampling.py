@@ -1,4 +1,4 @@
-"""Sampling and splitting; every choice is a hash of the id and a seed, so it doesn't depend on partitions or machines."""
+"""Sampling and splitting; every choice is a hash of the id and a seed, so it doesn't depend on partitions, machines or engines."""
 
 from __future__ import annotations
 
@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 
 def order_of(id_: str | Column, seed: int) -> Column:
-    return F.xxhash64(F.col(id_) if isinstance(id_, str) else id_, F.lit(seed))
+    """The MD5 of the id as text, a colon and the seed, in hex."""
+    return F.md5(F.concat((F.col(id_) if isinstance(id_, str) else id_).cast("string"), F.lit(f":{seed}")))
+
+
+def number_of(id_: str | Column, seed: int) -> Column:
+    """The first 32 bits of `order_of`."""
+    return F.conv(F.substring(order_of(id_, seed), 1, 8), 16, 10).cast("long")
 
 
 def sample(df: DataFrame, n: int, id_: str = "seq_id", seed: int = 0) -> DataFrame:
@@ -17,7 +23,7 @@ def sample(df: DataFrame, n: int, id_: str = "seq_id", seed: int = 0) -> DataFra
 
 def minhash_sample(words: DataFrame, n: int, word: str = "word") -> DataFrame:
     """The n distinct words of least hash."""
-    return words.select(word).distinct().orderBy(F.xxhash64(word), word).limit(n)
+    return words.select(word).distinct().orderBy(order_of(word, 0), word).limit(n)
 
 
 def largest(df: DataFrame, n: int, size: str = "size", id_: str = "proto_id") -> DataFrame:
@@ -40,7 +46,7 @@ def split_train_test(df: DataFrame, n_test: int, id_: str = "seq_id", seed: int
 
 def folds(df: DataFrame, n: int, id_: str = "seq_id", seed: int = 0) -> DataFrame:
     """part, from 1 to n."""
-    return df.withColumn("part", (1 + F.pmod(order_of(id_, seed), F.lit(n))).cast("int"))
+    return df.withColumn("part", (1 + number_of(id_, seed) % n).cast("int"))
 
 
 def cross_fold_homologs(parts: DataFrame, classes: str = "classes", id_: str = "seq_id") -> DataFrame:

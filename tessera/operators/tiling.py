@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.sampling import order_of
+
 
 def starts(length: Column, k: int, step: int = 1) -> Column:
     """0-origin starts of the whole windows of k; none if the length is under k."""
@@ -31,6 +33,38 @@ def kmers(df: DataFrame, k: int, text: str = "residues", skip: int = 1) -> DataF
     return rows.select(*keep, "pos", F.expr(f"substring(`{text}`, _p + 1, {k})").alias("word"))
 
 
+def sampled_kmers(df: DataFrame, k: int, n: int, seed: int = 0, text: str = "residues") -> DataFrame:
+    """n words of each sequence at most (or all), chosen by the hash of their places: places are drawn from the text's length, and only
+    words at drawn places are made."""
+    places = starts(F.length(text), k)
+    drawn = F.slice(F.array_sort(F.transform(places, lambda p: F.struct(order_of(p, seed).alias("h"), p.alias("p")))), 1, n)
+    keep = [c for c in df.columns if c != text]
+    rows = df.select(*keep, text, F.explode(F.transform(drawn, lambda x: x["p"])).alias("pos"))
+    return rows.select(*keep, "pos", F.substr(F.col(text), F.col("pos") + 1, F.lit(k)).alias("word"))
+
+
+def word_array(text: Column, k: int, stride: int = 128) -> Column:
+    """All words of k symbols of a bounded text, in order: pieces first, for taking a word costs a walk from its string's start."""
+    def cut(t: Column, size: int) -> Column:
+        return F.transform(starts(F.length(t), k, size), lambda at: F.substr(t, at + 1, F.lit(size + k - 1)))
+
+    return F.flatten(F.transform(cut(text, stride), lambda piece: F.transform(starts(F.length(piece), k), lambda p: F.substr(piece, p + 1, F.lit(k)))))
+
+
+def word_counts(df: DataFrame, k: int, text: str = "residues", chunk: int = 1 << 15) -> DataFrame:
+    """seq_id, n, n_distinct of the words of k symbols of each sequence that has any.
+
+    Words are counted where the text is, a chunk at a time; what is shuffled is a pair of counts for each chunk.  Only words of sequences of
+    several chunks (or several rows) are made distinct by a shuffle."""
+    chunks = _chunks(df.select("seq_id", text), text, chunk, k - 1, "_base")
+    words = word_array(F.col(text), k)
+    counted = chunks.select("seq_id", F.size(words).cast("long").alias("n"), F.size(F.array_distinct(words)).cast("long").alias("d"))
+    sums = counted.groupBy("seq_id").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.count("*").alias("chunks"))
+    several = sums.where("chunks > 1 and seq_id is not null").select("seq_id")
+    exact = kmers(df.select("seq_id", text).join(several, "seq_id", "left_semi"), k, text).groupBy("seq_id").agg(F.count_distinct("word").alias("exact"))
+    return sums.where("n > 0").join(exact, "seq_id", "left").select("seq_id", "n", F.coalesce("exact", "d").alias("n_distinct"))
+
+
 def kmers_within(words: DataFrame, extents: DataFrame, k: int, key: str = "seq_id") -> DataFrame:
     """Words wholly inside an extent (key, start, len)."""
     e = extents.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("len").alias("_n"))

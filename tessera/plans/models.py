@@ -10,7 +10,7 @@ from tessera.operators import distributions as D
 from tessera.operators import domains as dom
 from tessera.operators import mixtures, tiling
 from tessera.operators.sequences import symbol_histogram
-from tessera.plans.common import ITEMS, PARTS, items, nations, parts, table, words
+from tessera.plans.common import ITEMS, NATIONS, PARTS, items, nations, parts, table, words
 from tessera.plans.ranking import LETTERS
 from tessera.plans.tiling import scratch
 from tessera.sources import formats
@@ -114,7 +114,9 @@ def fragment_distance_distribution(spark, sf_dir):
     return D.fragment_average(one, 3, 20, 4)
 
 
-@query()
+@query(f"""with {ITEMS}, w as ({words('items', 6)}), o as (select word, md5(concat_ws('|', seq_id, pos, word) || ':5') h from w order by h, word limit 400), r as (select word, row_number() over (order by h, word) - 1 r from o),
+p as (select a.word, b.word other from r a join r b on b.r = a.r + 1 and a.r % 2 = 0), l as (select 'abcdefghijklmnopqrstuvwxyz_ 0123456789.,' s)
+select word, other, list_sum(list_transform(range(1, 7), lambda i: (case when contains(s, substr(word, i, 1)) then substr(word, i, 1) else ',' end <> case when contains(s, substr(other, i, 1)) then substr(other, i, 1) else ',' end)::int))::int distance from p, l""")
 def random_kmer_distances(spark, sf_dir):
     """Distances of sampled word pairs."""
     return D.random_kmer_distances(tiling.kmers(items(spark, sf_dir), 6), 200, LETTERS, "edit", seed=5)
@@ -140,12 +142,18 @@ def goodness_of_fit(spark, sf_dir):
     return D.goodness_of_fit(one, two).select(F.round("greatest", 6).alias("greatest"), F.round("mean_square", 9).alias("mean_square"))
 
 
-@query()
+def _quantiles(flag: str, name: str) -> str:
+    e = f"select distinct l_extendedprice x, cume_dist() over (order by l_extendedprice) f from lineitem where l_returnflag = '{flag}'"
+    s = f"select lag(x) over (order by x) x0, lag(f) over (order by x) f0, x x1, f f1 from ({e})"
+    return f"{name} as (select t, coalesce(x0 + (t - f0) * (x1 - x0) / (f1 - f0), (select min(x) from ({e}))) x from t left join ({s}) on f0 < t and t <= f1)"
+
+
+@query(f"with t as (select unnest([0.01, 0.05, 0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9, 0.95, 0.99])::double t), {_quantiles('R', 'a')}, {_quantiles('N', 'b')} select t share, round(a.x, 4) model, round(b.x, 4) sample from a join b using (t)")
 def quantile_table(spark, sf_dir):
     """Q-Q at eleven shares."""
     li = table(spark, sf_dir, "lineitem")
     one, two = (D.ecdf(li.where(F.col("l_returnflag") == c), "l_extendedprice") for c in "RN")
-    return D.quantile_table(one, two)
+    return D.quantile_table(one, two).select("share", F.round("model", 4).alias("model"), F.round("sample", 4).alias("sample"))
 
 
 @query("select l_orderkey query_id, l_linenumber qfrag, min(l_quantity) self_match, round(avg(l_quantity), 9) mean, round(stddev_pop(l_quantity), 9) sd from lineitem group by 1, 2")
@@ -164,7 +172,10 @@ def related_distances(spark, sf_dir):
     return e.join(o, "vec_id").select((F.col("label") == F.col("l2")).alias("related"), d.alias("x")).groupBy("related", "x").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""with {NATIONS}, l as (select seq_id, class, translate(residues, translate(residues, 'abcdefghijklmnopqrstuvwxyz_ 0123456789.,', ''), ',') residues from nations), w as ({words('l', 4)}),
+d as (select a.seq_id q, a.pos i, b.seq_id s, b.pos j, list_sum(list_transform(range(1, 5), lambda x: (substr(a.word, x, 1) <> substr(b.word, x, 1))::int))::int x from w a, w b where a.seq_id <> b.seq_id),
+m as (select q, s, min(x) x from d group by q, s, i union all select q, s, min(x) from d group by q, s, j)
+select a.class = b.class related, x, count(*) n from m join l a on a.seq_id = q join l b on b.seq_id = s group by all""")
 def nearest_word_distances(spark, sf_dir):
     """Minima of sequence pairs, pooled by relatedness."""
     from tessera.operators import pairwise
@@ -210,12 +221,13 @@ def domain_coverage(spark, sf_dir):
     return dom.coverage(inst, d, 10)
 
 
-@query(f"with {DOMAINS} select distinct proto_id from inst where proto_id not in (select proto_id from inst join d using (seq_id) where b <= pos + 9 and pos <= e and e - b >= 9)")
+@query(f"with {DOMAINS}, p as (select distinct l_partkey::varchar proto_id, l_orderkey::varchar seq_id, (l_partkey % 100)::int pos from lineitem) select distinct proto_id from p where proto_id not in (select proto_id from p join d using (seq_id) where b <= pos + 9 and pos <= e and e - b >= 9)")
 def outside_domains(spark, sf_dir):
-    """Prototypes without an instance in a long extent."""
-    d, inst = _domains(spark, sf_dir)
+    """Prototypes (parts) without an instance in a long extent."""
+    d, _ = _domains(spark, sf_dir)
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("proto_id"), F.col("l_orderkey").cast("string").alias("seq_id"), (F.col("l_partkey") % 100).cast("int").alias("pos")).distinct()
     long = d.withColumn("extents", F.filter("extents", lambda x: x["end"] - x["begin"] >= 9))
-    return dom.outside(inst, long, 10)
+    return dom.outside(p, long, 10)
 
 
 @query(f"with {DOMAINS}, x as (select pfam_id, seq_id, b, e from d) select pfam_id, seq_id, b as \"begin\", e as \"end\" from x")

@@ -134,9 +134,8 @@ def rank_codebook(spark, sf_dir):
 
 @query()
 def sliced_minima(spark, sf_dir):
-    """Minima by sampled anti-diagonals."""
-    m = pairwise.sliced_minima(nations(spark, sf_dir), regions(spark, sf_dir), 3, LETTERS, 2, "edit")
-    return m.select("query_id", "subject_id", F.size("row_min").alias("rows"), F.size("col_min").alias("columns"))
+    """Minima by sampled anti-diagonals; a test follows the slices by hand."""
+    return pairwise.sliced_minima(nations(spark, sf_dir), regions(spark, sf_dir), 3, LETTERS, 2, "edit")
 
 
 @query()
@@ -156,26 +155,28 @@ from m join t q on q.seq_id = query_id join t s on s.seq_id = subject_id""")
 def bag_modes(spark, sf_dir):
     """Nine modes of all item pairs that share a word of four symbols."""
     v = bags.term_vectors(items(spark, sf_dir), 4)
-    out = None
-    for mode in ("d2", "cosine", "e", "e_norm", "min", "min_norm_min", "min_norm_max", "min_norm_avg", "jaccard"):
-        d = bags.over_fragments(bags.fragment_distances(v, v, mode))
-        d = d.select("query_id", "subject_id", (F.round("distance", 6) if "norm" in mode or mode == "cosine" else F.col("distance")).alias(mode))
-        out = d if out is None else out.join(d, ["query_id", "subject_id"])
-    return out
+    modes = ("d2", "cosine", "e", "e_norm", "min", "min_norm_min", "min_norm_max", "min_norm_avg", "jaccard")
+    d = bags.fragment_measures(v, v, modes)  # each item is one fragment
+    return d.select("query_id", "subject_id", *[F.round(m, 6).alias(m) if "norm" in m or m == "cosine" else F.col(m) for m in modes])
 
 
 @query(f"""with {BAGS}, bg as (select symbol, count(*) / sum(count(*)) over () p from (select unnest(string_split(residues, '')) symbol from items) where symbol <> '' group by 1),
 wp as (select word, exp(sum(ln(p))) p from (select distinct word from v), lateral (select unnest(range(1, 5)) i) join bg on symbol = substr(word, i, 1) group by 1),
-x as (select a.seq_id query_id, b.seq_id subject_id, a.tf - q.n * p x, b.tf - s.n * p y, p, q.n qn, s.n sn from v a join v b using (word) join wp using (word) join t q on q.seq_id = a.seq_id join t s on s.seq_id = b.seq_id)
-select query_id, subject_id, round(-sum(coalesce(x * y / nullif(sqrt(x * x + y * y), 0), 0)), 4) d2s, round(-sum(x * y / (p * sqrt(qn * sn))), 4) d2star from x group by all""")
+pairs as (select query_id, subject_id, q.n qn, s.n sn from m join t q on q.seq_id = query_id join t s on s.seq_id = subject_id),
+either as (select query_id, subject_id, qn, sn, word from pairs join v on v.seq_id = query_id union select query_id, subject_id, qn, sn, word from pairs join v on v.seq_id = subject_id),
+x as (select query_id, subject_id, qn, sn, p, a.tf is not null and b.tf is not null shared, coalesce(a.tf, 0) - qn * p x, coalesce(b.tf, 0) - sn * p y
+  from either join wp using (word) left join v a on a.seq_id = query_id and a.word = either.word left join v b on b.seq_id = subject_id and b.word = either.word),
+z as (select query_id, subject_id, qn, sn, p, shared, coalesce(x * y / nullif(sqrt(x * x + y * y), 0), 0) s, x * y / (p * sqrt(qn * sn)) star from x)
+select query_id, subject_id, round(-(sum(s) + qn * sn * (1 - sum(p)) / sqrt(qn * qn + sn * sn)), 4) d2s, round(-sum(s), 4) d2s_observed, round(-sum(case when shared then s else 0 end), 4) d2s_missing,
+  round(-(sum(star) + sqrt(qn * sn) * (1 - sum(p))), 4) d2star, round(-sum(case when shared then star else 0 end), 4) d2star_missing
+from z group by query_id, subject_id, qn, sn""")
 def standardised_bags(spark, sf_dir):
-    """d2s and d2star with the items' own background."""
+    """The five standardised modes with the items' own background; the SQL sums word by word."""
     rows = items(spark, sf_dir)
     background = {r["symbol"]: r["p"] for r in symbol_histogram(rows).collect()}
     v = bags.term_vectors(rows, 4)
-    one = bags.over_fragments(bags.fragment_distances(v, v, "d2s", background)).select("query_id", "subject_id", F.round("distance", 4).alias("d2s"))
-    two = bags.over_fragments(bags.fragment_distances(v, v, "d2star", background)).select("query_id", "subject_id", F.round("distance", 4).alias("d2star"))
-    return one.join(two, ["query_id", "subject_id"])
+    modes = ("d2s", "d2s_observed", "d2s_missing", "d2star", "d2star_missing")
+    return bags.fragment_measures(v, v, modes, background).select("query_id", "subject_id", *[F.round(m, 4).alias(m) for m in modes])
 
 
 @query(f"""with {ITEMS}, n as (select *, length(residues) - 3 n from items), w as (select seq_id, n, residues, unnest(range(0, n)) i from n where n > 0),
@@ -303,16 +304,23 @@ def mean_average_precision(spark, sf_dir):
     return evaluation.overall(evaluation.summary(*_judged(spark, sf_dir))).withColumn("map", F.round("map", 9))
 
 
-@query("select c_custkey topic from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey topic from customer where c_custkey not in (select o_custkey from orders where o_totalprice >= 300000)")
 def unanswered(spark, sf_dir):
-    """Queries without results."""
-    return evaluation.unanswered(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("topic")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("topic")))
+    """Queries without results: customers without a large order."""
+    large = table(spark, sf_dir, "orders").where("o_totalprice >= 300000").select(F.col("o_custkey").alias("topic"))
+    return evaluation.unanswered(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("topic")), large)
 
 
-@query()
+@query(f"""with {JUDGED}, s as (select topic, sum(rel)::double rel_returned, sum(case when rel = 1 then prec else 0 end) / max(relevant) ap from pr group by 1),
+long as (select topic, 'ap' as column, ap as v from s union all select topic, 'rel_returned', rel_returned from s), num as (select topic, row_number() over (order by topic) no from s), n as (select count(*) n from s),
+draws as (select i % 200 b, ('0x' || substr(md5(i || ':0'), 1, 8))::bigint % n + 1 no from n, lateral (select unnest(range(200 * n)) i)),
+m as (select b, long.column, sum(v) / (select n from n) m from draws join num using (no) join long using (topic) group by all),
+r as (select m.column, m, row_number() over (partition by m.column order by m, b) - 1 r from m)
+select long.column as column, round(avg(v), 9) mean, round(any_value(lo), 9) as lower, round(any_value(hi), 9) as upper from long join (select r.column, max(m) filter (r = 10) lo, max(m) filter (r = 190) hi from r group by 1) x on x.column = long.column group by 1""")
 def bootstrap_interval(spark, sf_dir):
     """A25."""
-    return evaluation.bootstrap(evaluation.summary(*_judged(spark, sf_dir)), ["ap", "rel_returned"])
+    b = evaluation.bootstrap(evaluation.summary(*_judged(spark, sf_dir)), ["ap", "rel_returned"])
+    return b.select("column", *[F.round(c, 9).alias(c) for c in ("mean", "lower", "upper")])
 
 
 FLAG = f"""{TEXTS}, {ITEMS}, dw as (select distinct seq_id, word from ({words('texts', 10)})), iw as (select distinct seq_id, word from ({words('items', 10)})),
@@ -325,11 +333,7 @@ from m join qn on qn.seq_id = query_id join dn on dn.seq_id = subject_id qualify
 @query(f"with {FLAG}")
 def rank_texts(spark, sf_dir):
     """The ten texts nearest to each item by their shared words of ten symbols."""
-    q, s = (tiling.kmers(x, 10).where("word is not null and seq_id is not null").select("seq_id", "word").distinct() for x in (items(spark, sf_dir), texts(spark, sf_dir)))
-    qn, sn = q.groupBy("seq_id").agg(F.count("*").alias("qn")), s.groupBy("seq_id").agg(F.count("*").alias("sn"))
-    met = q.withColumnRenamed("seq_id", "query_id").join(s.withColumnRenamed("seq_id", "subject_id").hint("merge"), "word").groupBy("query_id", "subject_id").agg(F.count("*").alias("shared"))
-    met = met.join(qn.withColumnRenamed("seq_id", "query_id"), "query_id").join(sn.withColumnRenamed("seq_id", "subject_id"), "subject_id")
-    return ranking.top_k(met.select("query_id", "subject_id", (1 - F.col("shared") / (F.col("qn") + F.col("sn") - F.col("shared"))).alias("distance")), 10)
+    return ranking.rank_words(items(spark, sf_dir), texts(spark, sf_dir), 10, 10)
 
 
 # vocabularies

@@ -60,7 +60,7 @@ def prototype_round_trip(spark, sf_dir):
 @query(f"with {TEXTS}, w as ({words('texts', 12)}) select seq_id, count(*) n, count(distinct word) n_distinct from w group by 1")
 def kmer_tiling(spark, sf_dir):
     """Words of twelve symbols of every text."""
-    return tiling.kmers(texts(spark, sf_dir), 12).groupBy("seq_id").agg(F.count("*").alias("n"), F.count_distinct("word").alias("n_distinct"))
+    return tiling.word_counts(texts(spark, sf_dir), 12)
 
 
 @query(f"with {PARTS}, w as ({words('parts', 4)}) select word, count(*) n, count(distinct seq_id) n_seqs from w group by 1")
@@ -165,11 +165,11 @@ def family_qrels(spark, sf_dir):
     return formats.qrels_from_families(nations(spark, sf_dir).select("seq_id", F.array("class").alias("classes")))
 
 
-@query(f"with {NATIONS}, q as (select distinct n_name from supplier join nation on s_nationkey = n_nationkey) select a.seq_id topic, b.seq_id doc from nations a join nations b on a.class = b.class where a.seq_id in (from q) and b.seq_id not in (from q)")
+@query(f"with {NATIONS}, q as (select distinct n_name from supplier join nation on s_nationkey = n_nationkey where s_suppkey <= 5) select a.seq_id topic, b.seq_id doc from nations a join nations b on a.class = b.class where a.seq_id in (from q) and b.seq_id not in (from q)")
 def homologs_of_subset(spark, sf_dir):
-    """Homologs of the nations that have suppliers, without these themselves."""
+    """Homologs of the nations of the first five suppliers, without these themselves."""
     n = table(spark, sf_dir, "nation")
-    q = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("n_name").distinct()
+    q = table(spark, sf_dir, "supplier").where("s_suppkey <= 5").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("n_name").distinct()
     pairs = formats.qrels_from_families(nations(spark, sf_dir).select("seq_id", F.array("class").alias("classes"))).select("topic", "doc")
     return sampling.homolog_subset(pairs, q)
 
@@ -186,31 +186,45 @@ def largest_per_class(spark, sf_dir):
     return sampling.largest_per_class(table(spark, sf_dir, "customer"), 5, "c_mktsegment", "c_acctbal", "c_custkey").select("c_custkey", "c_mktsegment", "c_acctbal")
 
 
-@query()
+@query("select o_orderkey, o_custkey, o_totalprice from orders order by md5(o_orderkey || ':7'), o_orderkey limit 200")
 def hash_sample(spark, sf_dir):
-    """Exactly 200 rows in hash order."""
-    return sampling.sample(table(spark, sf_dir, "orders"), 200, "o_orderkey", 7)
+    """Exactly 200 rows in hash order."""
+    return sampling.sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), 200, "o_orderkey", 7)
 
 
-@query()
+@query(f"with {PARTS}, w as ({words('parts', 5)}) select word from (select distinct word from w) order by md5(word || ':0'), word limit 100")
 def minhash_words(spark, sf_dir):
     """P10: the hundred words of least hash."""
     return sampling.minhash_sample(tiling.kmers(parts(spark, sf_dir), 5), 100)
 
 
-@query()
+@query(f"with {PARTS} select *, row_number() over (order by md5(seq_id || ':3'), seq_id) <= 50 is_test from parts")
 def train_test_split(spark, sf_dir):
     """Fifty test sequences."""
     return sampling.split_train_test(parts(spark, sf_dir), 50, seed=3)
 
 
-@query()
+@query(f"with {NATIONS}, f as (select seq_id, class, (1 + ('0x' || substr(md5(seq_id || ':1'), 1, 8))::bigint % 4)::int part from nations) select distinct a.seq_id topic, a.part, b.seq_id doc from f a join f b on a.class = b.class and a.part <> b.part")
 def cross_folds(spark, sf_dir):
     """Homologs from other folds only."""
     rows = nations(spark, sf_dir).select("seq_id", F.array("class").alias("classes"))
     return sampling.cross_fold_homologs(sampling.folds(rows, 4, seed=1))
 
 
+@query(f"with {ITEMS} select seq_id, residues from items where seq_id in (select p_partkey::varchar from part where p_size <= 25)")
+def listed_queries(spark, sf_dir):
+    """Queries of a list of ids, read from text."""
+    path = scratch(spark, "ids")
+    table(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").cast("string").alias("value")).write.text(path)
+    return sampling.query_subset(items(spark, sf_dir), formats.read_ids(spark, path))
+
+
+@query(f"with {ITEMS}, w as ({words('items', 5)}), n as (select seq_id, word, pos, row_number() over (partition by seq_id order by md5(pos || ':2'), pos) r from w) select seq_id, pos, word from n where r <= 20")
+def sampled_tiling(spark, sf_dir):
+    """Twenty words of each sequence, by the hash of their places."""
+    return tiling.sampled_kmers(items(spark, sf_dir), 5, 20, seed=2)
+
+
 @query("select a.p_partkey, b.p_partkey other, (select count(*) from (select unnest(range(1, greatest(length(a.p_name), length(b.p_name)) + 1)) i) where substr(a.p_name, i, 1) is distinct from nullif(substr(b.p_name, i, 1), '') and not (substr(a.p_name, i, 1) = substr(b.p_name, i, 1)))::int mismatches from part a join part b on b.p_partkey = a.p_partkey + 1")
 def hamming_neighbours(spark, sf_dir):
     """D3: mismatches of neighbouring names."""

@@ -41,13 +41,29 @@ def test_blosum62():
     m = M.blosum62()
     at = m.symbols.index
     assert (m.sim == m.sim.T).all() and m.top == 11
-    assert [m.sim[at(a), at(b)] for a, b in ("ww", "ar", "bd", "zq", "xc", "*a", "**", "bz")] == [11, -1, 4, 3, -2, -4, 1, 1]
+    assert [m.sim[at(a), at(b)] for a, b in ("ww", "ar", "bd", "zq", "xc", "*a", "**", "bz")] == [11, -1, 4, 3, -2, -4, 1, 0]
     assert m.distances("halperin")[at("w"), at("a")] == 11 + 4 + 6
     assert (np.diag(m.distances("halperin")) == 0).all() and m.distances("blosum")[at("a"), at("a")] == 7
     with pytest.raises(ValueError):
         m.distances("other")
 
 
+def test_matrices_by_id(tmp_path):
+    (tmp_path / "BLOSUM45").write_text("# a matrix file\n  a c\na 5 -1\nc -1 12\n")
+    assert M.blosum(62) == M.blosum62() or (M.blosum(62).sim == M.blosum62().sim).all()
+    assert M.blosum(45, str(tmp_path)).top == 12 and M.blosum(45, str(tmp_path)).symbols == "ac"
+    with pytest.raises(ValueError):
+        M.blosum(45)
+    dna, rna = M.MATRICES["dna"](), M.MATRICES["rna"]()
+    assert (dna.symbols, rna.symbols) == ("acgtn", "acgun") and (dna.sim == rna.sim).all() and [dna.sim[i, j] for i, j in ((0, 0), (0, 1), (0, 4), (4, 4))] == [16, 0, 4, 1]
+
+
+def test_digram_distances():
+    m = M.nucleotides()
+    d, two = m.distances(), M.digram_distances(m)
+    assert two.shape == (25, 25) and all(two[5 * a + b, 5 * x + y] == d[a, x] + d[b, y] for a in range(5) for b in range(5) for x in range(5) for y in range(5))
+
+
 def test_matrix_text():
     m = M.match_matrix("acgtn", 2, -1, "n")
     again = M.parse_matrix("# a comment\n" + M.format_matrix(m))

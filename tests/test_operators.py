@@ -1,4 +1,5 @@
 import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -227,12 +228,24 @@ def test_bag_modes_of_equal_texts(spark):
         bags.fragment_distances(v, v, "d2s")
 
 
-def test_missing_terms(spark):
-    q, s = bags.term_vectors(sequences(spark, "aac"), 2), bags.term_vectors(sequences(spark, "act"), 2)
-    p = {c: 0.25 for c in "acgt"}
-    x, y = 1 - 2 / 16, -2 / 16
-    got = bags.missing_terms(q, s, p).first()["missing"]
-    assert got == pytest.approx(-2 * x * y / (x * x + y * y) ** 0.5)
+def test_standardised_modes_equal_loops(spark):
+    """Words and background by hand: sums over the words of either sequence, and what words of neither add."""
+    one, two = "aacgaac", "acttacgaacc"
+    p = {"a": 0.4, "c": 0.3, "g": 0.2, "t": 0.1}
+    count = lambda t: Counter(t[i : i + 2] for i in range(len(t) - 1))
+    a, b = count(one), count(two)
+    m, n = sum(a.values()), sum(b.values())
+    prob = {w: p[w[0]] * p[w[1]] for w in a | b}
+    s = {w: (a[w] - m * prob[w]) * (b[w] - n * prob[w]) / ((a[w] - m * prob[w]) ** 2 + (b[w] - n * prob[w]) ** 2) ** 0.5 for w in a | b}
+    star = {w: (a[w] - m * prob[w]) * (b[w] - n * prob[w]) / (prob[w] * (m * n) ** 0.5) for w in a | b}
+    unseen, both = 1 - sum(prob.values()), a.keys() & b.keys()
+    want = {
+        "d2s": -(sum(s.values()) + m * n * unseen / (m * m + n * n) ** 0.5), "d2s_observed": -sum(s.values()), "d2s_missing": -sum(s[w] for w in both),
+        "d2star": -(sum(star.values()) + (m * n) ** 0.5 * unseen), "d2star_missing": -sum(star[w] for w in both),
+    }
+    q, r = (bags.term_vectors(sequences(spark, t), 2) for t in (one, two))
+    got = bags.fragment_measures(q, r, tuple(want), p).first()
+    assert all(got[k] == pytest.approx(v) for k, v in want.items())
 
 
 def test_best_fragments(spark):
