@@ -11,16 +11,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.storage import input_bytes
 
-#: Words whose hash a Python worker remembers; beyond it they are hashed again.
-WORD_CACHE = 100_000
-#: Odd multiplier that chains word hashes into shingle hashes.
+#: Odd multiplier that chains bytes into word hashes, and these into shingle hashes.
 CHAIN = np.uint64(0x9E3779B97F4A7C15)
+#: ASCII white space; a value for each other byte, the same for A-Z as for a-z.
+BLANK = re.compile(rb"[ \t-\r]")
+BYTES = np.random.default_rng(64).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTES[65:91] = BYTES[97:123]
+BYTES[[9, 10, 11, 12, 13, 32]] = 0
+#: Bytes of a text whose words are hashed at once (more if a word is longer).
+BLOCK = 1 << 18
+_POWERS = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -94,19 +99,6 @@ def input_partitions(df: DataFrame, bytes_each: int) -> int:
     return max(12, input_bytes(df) // bytes_each + 1)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < WORD_CACHE:
-            self[word] = value
-        return value
-
-
-WORDS = WordHashes()
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers that spreads every bit (arrays only)."""
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -117,15 +109,55 @@ def mix(h: np.ndarray) -> np.ndarray:
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of CHAIN and of its inverse; what fits a few blocks is remembered."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    made = []
+    for base in (int(CHAIN), pow(int(CHAIN), -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[:1] = 1
+        made.append(np.multiply.accumulate(steps))
+    if n <= 4 * BLOCK:
+        _POWERS[:] = made
+    return made[0], made[1]
+
+
+def range_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the ranges [start, end) of x, from one running sum."""
+    p, q = powers(len(x))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(x * p)))
+    return mix((sums[ends] - sums[starts]) * q[np.minimum(starts, len(x) - 1)]) if len(starts) else np.empty(0, np.uint64)
+
+
+def words_of_bytes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a text, split at ASCII white space: 64-bit hashes (A-Z as a-z), first bytes, ends."""
+    parts = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + BLOCK)
+        if end < len(raw):
+            end = max(raw.rfind(c, at, end) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+            if end <= at:
+                found = BLANK.search(raw, at + BLOCK)
+                end = found.start() if found else len(raw)
+        x = BYTES[np.frombuffer(raw, np.uint8, end - at, at)]
+        there = np.concatenate(([False], x != 0, [False]))
+        edges = np.flatnonzero(there[1:] != there[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        parts.append((range_hashes(x, starts, ends), starts + at, ends + at))
+        at = end
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
 def shingles(text: str | bytes | None, width: int = 5) -> np.ndarray:
     """Distinct hashes of `width`-word shingles: A-Z lower-cased, words split at ASCII white space; shorter texts are one shingle, none without words."""
     if not text:
         return np.empty(0, np.uint64)
-    words = (text.encode() if isinstance(text, str) else text).translate(LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
+    w = words_of_bytes(text.encode() if isinstance(text, str) else text)[0]
     n = len(w)
+    if not n:
+        return np.empty(0, np.uint64)
     if n < width:
         h = np.array([n], np.uint64)
         for x in w:

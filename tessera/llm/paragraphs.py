@@ -28,6 +28,7 @@ import math
 import re
 from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CHAIN, LOWER, WORDS, Scratch, input_partitions, mix, pack_columns, shingles, slices, unpack_columns, zipped
+from tessera.llm.common import CHAIN, Scratch, input_partitions, mix, pack_columns, range_hashes, shingles, slices, unpack_columns, words_of_bytes, zipped
 from tessera.llm.pairs import PACKED, TEXTS, _groups, linked, pack, parity_sketch
 from tessera.llm.suffix_dedup import _gram_hashes, merged
 
@@ -68,20 +69,49 @@ def text_hash(text: str) -> int:
     return signed(xxhash.xxh3_64_intdigest(text.encode()))
 
 
-def paragraphs_of(text: str | bytes | None, least: int) -> Iterator[tuple[int, list[bytes], int]]:
-    """(place of its first word, words with A-Z lower-cased, item) of each line of so many words; item: a signed 64-bit hash of the words."""
-    at = 0
-    for raw in (text.encode() if isinstance(text, str) else text or b"").translate(LOWER).split(b"\n"):
-        words = raw.split()
-        if len(words) >= least:
-            yield at, words, signed(xxhash.xxh3_64_intdigest(b" ".join(words)))
-        at += len(words)
+class Lines(NamedTuple):
+    """Lines of `least` words or more: number of their text, place of the first word in it, words, item (a signed 64-bit hash of the words),
+    place of the first word among all of the slice; and of each word of the slice its hash, first byte and end."""
 
+    text: np.ndarray
+    a: np.ndarray
+    n: np.ndarray
+    item: np.ndarray
+    first: np.ndarray
+    words: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    raw: bytes
 
-def hashed(paragraphs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle hashes of many paragraphs end to end, where each begins, and how many distinct ones each has."""
-    lengths = np.fromiter(map(len, paragraphs), np.int64, len(paragraphs))
-    w = np.fromiter(map(WORDS.__getitem__, chain.from_iterable(paragraphs)), np.uint64, int(lengths.sum()))
+    def hashes(self, which: np.ndarray) -> np.ndarray:
+        """The words' hashes of some of the lines, end to end."""
+        n = self.n[which]
+        return self.words[np.repeat(self.first[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+    def bytes_of(self, k: int) -> bytes:
+        return self.raw[self.starts[self.first[k]] : self.ends[self.first[k] + self.n[k] - 1]]
+
+
+def lines_of(texts: list[bytes], least: int) -> Lines:
+    raw = b"\n".join(texts)
+    words, starts, ends = words_of_bytes(raw)
+    breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+    of = np.searchsorted(breaks, starts)
+    heads = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.empty(0, np.int64)
+    n = np.diff(np.append(heads, len(words)))
+    first, n = heads[n >= least], n[n >= least]
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    text = np.searchsorted(begins, starts[first], side="right") - 1
+    item = (range_hashes(words, first, first + n) + n.astype(np.uint64) * CHAIN).view(np.int64)
+    return Lines(text, first - np.searchsorted(starts, begins)[text], n, item, first, words, starts, ends, raw)
+
+
+def encoded(texts: list[str | None]) -> list[bytes]:
+    return [(t or "").encode() for t in texts]
+
+
+def hashed(w: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle hashes of lines (word hashes end to end, of these lengths), where each line's begin, and how many distinct ones each has."""
     h = w[: len(w) - 4].copy()
     for j in range(1, 5):
         h *= CHAIN
@@ -117,17 +147,13 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            doc, own, a, b, item = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                known = None
-                for at, words, i in paragraphs_of(text, least):
-                    known = text_hash(text) if known is None else known
-                    doc.append(doc_id)
-                    own.append(known)
-                    a.append(at)
-                    b.append(at + len(words))
-                    item.append(i)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "text": pa.array(own, pa.int64()), "a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "item": pa.array(item, pa.int64())})
+            texts = batch.column(1).to_pylist()
+            found = lines_of(encoded(texts), least)
+            own = {k: text_hash(texts[k]) for k in np.unique(found.text).tolist()}
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(found.text)), pa.array([own[k] for k in found.text.tolist()], pa.int64()), pa.array(found.a, pa.int32()), pa.array(found.a + found.n, pa.int32()), pa.array(found.item)],
+                names=["doc_id", "text", "a", "b", "item"],
+            )
 
     return docs.mapInArrow(run, "doc_id long, text long, a int, b int, item long")
 
@@ -138,14 +164,13 @@ def components_of(docs: DataFrame, seen: DataFrame, least: int, own: Scratch) ->
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 6_000_000):
-            found = {i: words for text in b.column(0).to_pylist() for _, words, i in paragraphs_of(text, least)}
-            if not found:
+            found = lines_of(encoded(b.column(0).to_pylist()), least)
+            items, one = np.unique(found.item, return_index=True)
+            if not len(one):
                 continue
-            h, starts, distinct = hashed(list(found.values()))
+            h, starts, distinct = hashed(found.hashes(one), found.n[one])
             keys = band_keys(h, starts).ravel()
-            items = np.repeat(np.fromiter(found, np.int64, len(found)), BANDS)
-            sizes = np.repeat(distinct, BANDS)
-            yield from pack(keys, items, sizes, buckets)
+            yield from pack(keys, np.repeat(items, BANDS), np.repeat(distinct, BANDS), buckets)
 
     packed = docs.select("text").mapInArrow(banded, PACKED)
 
@@ -159,13 +184,13 @@ def components_of(docs: DataFrame, seen: DataFrame, least: int, own: Scratch) ->
 
             unzip, press = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
             for b in slices(batches, 4_000_000):
-                found: dict[int, bytes] = {}
-                for x, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    want = set(want)
-                    found |= {i: b" ".join(words) for _, words, i in paragraphs_of(unzip(x), least) if i in want}
-                made = list(map(shingles, found.values()))
+                found = lines_of([unzip(x) for x in b.column(0).to_pylist()], least)
+                items, one = np.unique(found.item, return_index=True)
+                one = one[np.isin(items, b.column(1).flatten().to_numpy())]
+                texts = [found.bytes_of(k) for k in one.tolist()]
+                made = list(map(shingles, texts))
                 yield pa.RecordBatch.from_pydict({
-                    "item": pa.array(found, pa.int64()), "size": pa.array(list(map(len, made)), pa.int32()), "sketch": pa.array(list(map(parity_sketch, made)), pa.binary()), "packed": pa.array(list(map(press, found.values())), pa.binary()),
+                    "item": pa.array(found.item[one]), "size": pa.array(list(map(len, made)), pa.int32()), "sketch": pa.array(list(map(parity_sketch, made)), pa.binary()), "packed": pa.array(list(map(press, texts)), pa.binary()),
                 })
 
         return zipped(docs, "text").join(wanted.hint("shuffle_hash"), "doc_id").select("packed", "wanted").mapInArrow(run, TEXTS)
@@ -188,7 +213,7 @@ def later_lines(docs: DataFrame, least: int, own: Scratch) -> DataFrame:
     return later
 
 
-def sliding(w: np.ndarray, lengths: list[int], least: int, gram: int) -> tuple[np.ndarray, ...]:
+def sliding(w: np.ndarray, lengths: list[int] | np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of the paragraphs of `least` of the words w (hashes; runs of these lengths end to end): first word, MinHash, its place, and own hash."""
     found = [[np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.uint64)]]
     inside = np.ones(len(w), bool)
@@ -238,15 +263,15 @@ def later_passages(docs: DataFrame, lines: DataFrame, least: int, own: Scratch)
             out: list[tuple] = []
             for doc, gone, x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 raw = unzip(x)
-                mine = signed(xxhash.xxh3_64_intdigest(raw))
-                words = raw.translate(LOWER).split()
-                if len(words) < least:
+                _, begin, end = words_of_bytes(raw)
+                if len(begin) < least:
                     continue
+                mine = signed(xxhash.xxh3_64_intdigest(raw))
                 cuts = sorted((c["a"], c["b"]) for c in gone or () if c["text"] == mine)
-                edges = [0, *chain.from_iterable(cuts), len(words)]
+                edges = [0, *chain.from_iterable(cuts), len(begin)]
                 kept = [(p, q) for p, q in zip(edges[::2], edges[1::2], strict=True) if q - p >= least]
                 if kept:
-                    out.append((doc, mine, [p for p, _ in kept], press(b"\n".join(b" ".join(words[p:q]) for p, q in kept))))
+                    out.append((doc, mine, [p for p, _ in kept], press(b"\n".join(raw[begin[p] : end[q - 1]].replace(b"\n", b" ") for p, q in kept))))
             if out:
                 doc, mine, starts, texts = zip(*out, strict=True)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "text": pa.array(mine, pa.int64()), "starts": pa.array(starts, pa.list_(pa.int32())), "packed": pa.array(texts, pa.binary())})
@@ -260,9 +285,9 @@ def later_passages(docs: DataFrame, lines: DataFrame, least: int, own: Scratch)
         import zstandard
 
         unzip = zstandard.ZstdDecompressor().decompress
-        runs = [r.split(b" ") for x in packed for r in unzip(x).split(b"\n")]
-        lengths = list(map(len, runs))
-        w = np.fromiter(map(WORDS.__getitem__, chain.from_iterable(runs)), np.uint64, sum(lengths))
+        raw = b"\n".join(map(unzip, packed))
+        w, begin, _ = words_of_bytes(raw)
+        lengths = np.bincount(np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), begin), minlength=1)
         at, low, anchor, hashes = sliding(w, lengths, least, gram)
         ends = np.cumsum(lengths)
         run = np.searchsorted(ends, at, side="right")

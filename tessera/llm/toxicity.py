@@ -4,9 +4,10 @@ Positives are the texts that `labels` confirms as toxic: at most `MOST_POSITIVE`
 `documents`, whether labelled or not, without regard to any label: at most `MOST_UNLABELLED`, those of least id hash.  Both bounds are
 documented parameters; equal texts of a set count once.  Labels of 0 are never used.
 
-A text is the set of its words.  Telling words are those that so many positives hold by chance, at the unlabelled set's rate, in fewer than one of all
-words that were looked at (Chernoff's bound of the binomial tail), however many they are.  The class prior is estimated from the two sets alone:
-over the nested sets S_k of the k most telling words, a text holding one of S_k is at least prior * P(S_k) of the unlabelled, so the least
+A text is the set of its words.  Telling words are those that so many positives would hold by chance, at the unlabelled set's rate, with a
+probability under one in all words of the positives (the binomial tail): less than one word is expected to be taken for telling wrongly.
+There may be any number of them.  The class prior is estimated from the two sets alone:
+over the nested sets S_k of the k most telling words, texts holding one of S_k are at least prior * P(S_k) of the unlabelled, so the least
 U(S_k) / P(S_k) bounds the prior from above, and meets it where no clean text holds one.  It is taken to be `MOST_PRIOR` at most.  A linear model over
 telling words is trained by full-batch Adam on the corrected risk prior * R+(pos) + max(0, R-(unl) - prior * R-(pos)); its logit is the log
 odds of being toxic.
@@ -80,8 +81,9 @@ def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
     return prior * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean()) - prior * float(np.logaddexp(0, zp).mean())
 
 
-def nnpu(pos: Bags, unl: Bags, prior: float, steps: int = 800, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of the logistic loss's non-negative PU risk."""
+def nnpu(pos: Bags, unl: Bags, prior: float, steps: int = 600, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias of the logistic loss's non-negative PU risk; weights are kept from going below zero, for a telling word only raises
+    the odds."""
     w, b = np.zeros(pos.features), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(pos.features + 1), np.zeros(pos.features + 1)
     for t in range(1, steps + 1):
@@ -96,27 +98,45 @@ def nnpu(pos: Bags, unl: Bags, prior: float, steps: int = 800, rate: float = 0.1
         g[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:-1], b - float(step[-1])
+        w, b = np.maximum(0.0, w - step[:-1]), b - float(step[-1])
     return w, b
 
 
-def telling(p: np.ndarray, u: np.ndarray, positives: int, unlabelled: int) -> np.ndarray:
-    """Which words are telling, the most telling first; p, u: how many texts of either set hold each."""
-    share, rate = np.minimum(p / positives, 1 - 1e-9), (u + 1) / (unlabelled + 2)
-    apart = share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate))  # Kullback-Leibler
-    good = (share > rate) & (positives * apart > np.log(max(1, len(p))))
-    return np.flatnonzero(good)[np.argsort(-apart[good], kind="stable")]
+def tail(p: np.ndarray, n: int, rate: np.ndarray) -> np.ndarray:
+    """The probability of p or more hits in n draws at a rate under p / n: its terms fall from the first on."""
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
+    term = np.exp(logs[n] - logs[p] - logs[n - p] + p * np.log(rate) + (n - p) * np.log1p(-rate))
+    total, j = np.zeros(len(p)), p.astype(np.float64)
+    while (term > 1e-12 * (total + 1e-300)).any():
+        total += term
+        term = term * (n - j) / (j + 1) * rate / (1 - rate)
+        j += 1
+    return total
+
+
+def telling(p: np.ndarray, u: np.ndarray, positives: int, unlabelled: int, words: int) -> np.ndarray:
+    """Which words are telling, those of the least chance first; p, u: how many texts of either set hold each; words: of all positives."""
+    rate = (u + 1) / (unlabelled + 2)
+    more = np.flatnonzero(p / positives > rate)
+    chance = tail(p[more], positives, rate[more])
+    good = chance < 1 / max(1, words)
+    return more[good][np.lexsort((more[good], chance[good], -(p / rate)[more[good]] * (chance[good] == 0)))]
 
 
 def class_prior(pos: list[list[int]], unl: list[list[int]], words: int) -> float:
-    """The least U(S_k) / P(S_k) over the sets of the k first words; texts are sets of word numbers."""
-    def shares(texts: list[list[int]]) -> np.ndarray:
+    """An upper bound of U(S_k) / P(S_k) at the largest set S_k of the k first words where it may still be the least; texts are sets of word
+    numbers.  Bounds are one standard error away: too low a prior would teach that telling words don't tell."""
+    def holding(texts: list[list[int]]) -> np.ndarray:
         first = np.array([min(t) for t in texts if t], np.int64)
         return np.cumsum(np.bincount(first, minlength=words))
 
-    p, u = shares(pos) / max(1, len(pos)), (shares(unl) + 1) / (len(unl) + 2)
-    ratios = u[p > 0] / p[p > 0]
-    return float(min(MOST_PRIOR, ratios.min())) if len(ratios) else MOST_PRIOR
+    p, u = holding(pos), holding(unl) + 1
+    u, p = u[p > 0], p[p > 0]
+    if not len(p):
+        return MOST_PRIOR
+    ratio, error = (u / (len(unl) + 2)) / (p / len(pos)), np.sqrt(1 / u + 1 / p)
+    upper = ratio * (1 + error)
+    return float(min(MOST_PRIOR, upper[np.flatnonzero(ratio * (1 - error) <= upper.min())[-1]]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
@@ -143,8 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
         own.keep()
         return Model({}, None)
     counts = bags.select(F.explode(F.split("words", "\n")).alias("word"), "p", "u").where("word <> ''").groupBy("word").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = own.write(counts.where("p > 0"), "counts")
     table = counts.where(F.col("p") >= LEAST_DOCS).orderBy("word").toArrow()  # words of the bounded sample of positives
-    best = telling(table["p"].to_numpy(), table["u"].to_numpy(), positives, unlabelled)
+    best = telling(table["p"].to_numpy(), table["u"].to_numpy(), positives, unlabelled, counts.count())
     words = table["word"].take(pa.array(best)).to_pylist()
     index = {w: i for i, w in enumerate(words)}
     shared = spark.sparkContext.broadcast(index)

@@ -43,7 +43,7 @@ def bare(host: Column) -> Column:
 
 def public_suffix(host: Column) -> Column:
     two = F.substring_index(host, ".", -2)
-    wide = F.substring_index(two, ".", 1).isin(SECOND) & (F.length(F.substring_index(host, ".", -1)) == 2) & host.contains(".")
+    wide = F.substring_index(two, ".", 1).isin(*SECOND) & (F.length(F.substring_index(host, ".", -1)) == 2) & host.contains(".")
     return F.when(host.rlike(NUMBERS), host).when(wide, two).otherwise(F.substring_index(host, ".", -1))
 
 
@@ -80,7 +80,7 @@ def prior_strength(units: DataFrame, least: float = 1.0, most: float = 1000.0) -
 
 def probability_over(a: Column, b: Column, least: float) -> Column:
     """P(rate > least) of Beta(a, b).  In log odds u the density is e^(a u) / (1 + e^u)^(a + b): smooth and of one hump, so sums at even places on
-    both sides of the bound, over twelve deviations about the hump, are its integral's parts (trapezoids, ends halved)."""
+    both sides of the bound, over twelve deviations about the hump, are its integral's parts (Simpson's rule)."""
     edge = math.log(least / (1 - least))
     top = F.log(a / b)
     reach = 12 * F.sqrt(1 / a + 1 / b)
@@ -89,8 +89,8 @@ def probability_over(a: Column, b: Column, least: float) -> Column:
 
     def area(lo: Column, hi: Column) -> Column:
         step = (hi - lo) / PLACES
-        inner = F.aggregate(F.sequence(F.lit(1), F.lit(PLACES - 1)), F.lit(0.0), lambda t, i: t + F.exp(height(lo + step * i) - peak))
-        return step * (inner + (F.exp(height(lo) - peak) + F.exp(height(hi) - peak)) / 2)
+        inner = F.aggregate(F.sequence(F.lit(1), F.lit(PLACES - 1)), F.lit(0.0), lambda t, i: t + (2 + 2 * (i % 2)) * F.exp(height(lo + step * i) - peak))
+        return step * (inner + F.exp(height(lo) - peak) + F.exp(height(hi) - peak)) / 3
 
     lo, hi = F.least(top - reach, F.lit(edge)), F.greatest(top + reach, F.lit(edge))
     over, under = area(F.lit(edge), hi), area(lo, F.lit(edge))
@@ -169,7 +169,7 @@ dr as (select domain, (bad + (select st from p where lv = 'd') * q) / (n + (sele
 hr as (select host, (bad + (select st from p where lv = 'h') * q) / (n + (select st from p where lv = 'h')) q, n + (select st from p where lv = 'h') w from h join dr using (domain)),
 ab as (select host, q, q * w a, (1 - q) * w b, ln(q / (1 - q)) top, 12 * sqrt(1 / (q * w) + 1 / ((1 - q) * w)) reach from hr),
 ends as (select *, least(top - reach, 0) lo, greatest(top + reach, 0) hi, a * top - (a + b) * ln(1 + exp(-abs(top))) - (a + b) * greatest(top, 0) peak from ab),
-places as (select host, q, side, step, case when i in (0, 200) then 0.5 else 1 end * exp(a * u - (a + b) * ln(1 + exp(-abs(u))) - (a + b) * greatest(u, 0) - peak) y from
+places as (select host, q, side, step, case when i in (0, 200) then 1 else 2 + 2 * (i % 2) end * exp(a * u - (a + b) * ln(1 + exp(-abs(u))) - (a + b) * greatest(u, 0) - peak) y from
   (select *, base + step * i u from (select *, unnest(range(0, 201)) i from
     (select *, 'over' side, 0.0 base, hi / 200 step from ends union all select *, 'under', lo, -lo / 200 from ends)))),
 area as (select host, sum(case when side = 'over' then step * y else 0 end) / sum(step * y) p from places group by 1),

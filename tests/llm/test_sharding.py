@@ -35,7 +35,7 @@ def test_only_similar_sizes_merge(spark, documents, tmp_path):
 
 def test_tiers_merge_apart(spark, tmp_path):
     store = ShardStore(spark, str(tmp_path), target_bytes=1 << 30)
-    df = spark.range(8000).selectExpr("id doc_id", "repeat(sha2(cast(id as string), 256), 10) text").coalesce(1)
+    df = spark.range(8000).selectExpr("id doc_id", "concat_ws('', transform(sequence(0, 9), x -> sha2(concat(id, ':', x), 256))) text").coalesce(1)
     for rows_each in (10, 2000):
         store.append(df, rows_each=rows_each)
     small, large = store.manifest()["runs"]
