@@ -6,11 +6,14 @@ import math
 from functools import reduce
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import at_least_one_of
-from tessera.operators.storage import running_sum
+from tessera.operators.storage import previous, running, running_sum
+
+#: Points of a CDF that `interpolate` broadcasts.
+MOST_POINTS = 1_000_000
 
 
 def histogram(df: DataFrame, x: str, weight: str | None = None) -> DataFrame:
@@ -34,8 +37,8 @@ def equal(one: DataFrame, two: DataFrame, tolerance: float = 1e-10) -> bool:
 
 
 def with_cdf(pmf: DataFrame) -> DataFrame:
-    """x, p, F; a pmf is a small table, its running sum one task."""
-    return pmf.select("x", "p", F.sum("p").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)).alias("F"))
+    """x, p, F."""
+    return running(pmf.select("x", "p"), "x", "p", "F")
 
 
 def ecdf(df: DataFrame, x: str) -> DataFrame:
@@ -54,27 +57,29 @@ def moments(pmf: DataFrame) -> DataFrame:
 
 
 def inverse_step(cdf: DataFrame, targets: list[float]) -> DataFrame:
-    """t, x: the least x whose F is t or more (the greatest x beyond)."""
-    spark = cdf.sparkSession
-    t = spark.createDataFrame([(float(v),) for v in targets], "t double")
-    top = cdf.agg(F.max("x").alias("top"))
-    return t.join(F.broadcast(cdf.select("x", "F")), F.col("F") >= F.col("t") - 1e-12, "left").groupBy("t").agg(F.min("x").alias("x")).join(F.broadcast(top)).select("t", F.coalesce("x", "top").alias("x"))
+    """t, x: the least x whose F is t or more (the greatest x beyond).  One aggregation for all targets."""
+    top = F.max("x")
+    found = [F.struct(F.lit(float(t)).alias("t"), F.coalesce(F.min(F.when(F.col("F") >= t - 1e-12, F.col("x"))), top).alias("x")) for t in targets]
+    return cdf.agg(F.array(*found).alias("found")).select(F.inline("found"))
 
 
 def inverse_linear(cdf: DataFrame, targets: list[float]) -> DataFrame:
-    """t, x: linear between neighbouring points of the CDF, its ends outside."""
-    w = Window.orderBy("x")
-    seg = cdf.select(F.lag("x").over(w).alias("x0"), F.lag("F").over(w).alias("f0"), F.col("x").alias("x1"), F.col("F").alias("f1"))
-    t = cdf.sparkSession.createDataFrame([(float(v),) for v in targets], "t double")
-    ends = cdf.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("F").alias("flo"))
-    inside = t.join(F.broadcast(seg), (F.col("f0") < F.col("t")) & (F.col("t") <= F.col("f1")), "left")
-    x = F.col("x0") + (F.col("t") - F.col("f0")) * (F.col("x1") - F.col("x0")) / (F.col("f1") - F.col("f0"))
-    return inside.join(F.broadcast(ends)).select("t", F.coalesce(x, F.when(F.col("t") <= F.col("flo"), F.col("lo")).otherwise(F.col("hi"))).alias("x"))
+    """t, x: linear between neighbouring points of the CDF, its ends outside.  One aggregation for all targets."""
+    point = F.struct(F.col("x").cast("double").alias("x"), "F")
+
+    def at(t: float) -> Column:
+        return F.struct(F.lit(float(t)).alias("t"), F.max(F.when(F.col("F") < t, point)).alias("a"), F.min(F.when(F.col("F") >= t, point)).alias("b"))
+
+    ends = cdf.agg(F.array(*[at(t) for t in targets]).alias("found")).select(F.inline("found"))
+    x0, f0, x1, f1 = F.col("a.x"), F.col("a.F"), F.col("b.x"), F.col("b.F")
+    return ends.select("t", F.when(F.col("a").isNull(), x1).when(F.col("b").isNull(), x0).otherwise(x0 + (F.col("t") - f0) * (x1 - x0) / (f1 - f0)).alias("x"))
 
 
 def interpolate(cdf: DataFrame, n: int) -> DataFrame:
     """x, F at n equally spaced places from the least x to the greatest."""
-    lo, hi = cdf.agg(F.min("x"), F.max("x")).first()
+    lo, hi, size = cdf.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    if size > MOST_POINTS:
+        raise ValueError(f"a CDF of {size} points; up to {MOST_POINTS} are broadcast: take a histogram of it first")
     grid = cdf.sparkSession.range(n).select((F.lit(float(lo)) + F.col("id") * ((float(hi) - float(lo)) / max(1, n - 1))).alias("g"))
     w = Window.orderBy("x")
     seg = cdf.select("x", "F", F.coalesce(F.lead("x").over(w), F.col("x")).alias("x1"), F.coalesce(F.lead("F").over(w), F.col("F")).alias("f1"), F.lead("x").over(w).isNull().alias("last"))
@@ -138,8 +143,8 @@ def maximum_of(pmf: DataFrame, n: int) -> DataFrame:
 
 def _from_cdf(cdf: DataFrame) -> DataFrame:
     f = F.when(F.isnan("F") | F.col("F").isNull(), 1.0).otherwise(F.col("F"))
-    rows = cdf.select("x", f.alias("F"))
-    return rows.select("x", (F.col("F") - F.coalesce(F.lag("F").over(Window.orderBy("x")), F.lit(0.0))).alias("p"), "F")
+    rows = previous(cdf.select("x", f.alias("F")), "x", "F", "_f")
+    return rows.select("x", (F.col("F") - F.coalesce("_f", F.lit(0.0))).alias("p"), "F")
 
 
 def fragment_average(one: DataFrame, k: int, query_kmers: int, fragment: int) -> DataFrame:
@@ -169,9 +174,8 @@ def quantile_table(model: DataFrame, sample: DataFrame) -> DataFrame:
 
 def goodness_of_fit(model: DataFrame, sample: DataFrame) -> DataFrame:
     """greatest (of |F_model - F_sample| at the sample's places) and mean_square."""
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     both = sample.select("x", F.col("F").alias("s")).join(model.select("x", F.col("F").alias("m")), "x", "full")
-    filled = both.select("x", "s", F.coalesce(F.last("m", ignorenulls=True).over(w), F.lit(0.0)).alias("m")).where("s is not null")
+    filled = running(both, "x", "m", "so_far", "max").select("s", F.coalesce("so_far", F.lit(0.0)).alias("m")).where("s is not null")  # a CDF doesn't fall
     return filled.agg(F.max(F.abs(F.col("s") - F.col("m"))).alias("greatest"), F.avg(F.pow(F.col("s") - F.col("m"), 2)).alias("mean_square"))
 
 

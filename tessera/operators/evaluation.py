@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.sampling import number_of
+from tessera.operators.storage import running
 
 
 def judged(rankings: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def bootstrap(rows: DataFrame, columns: list[str], id_: str = "topic", samples:
     n = rows.count()
     if not n:
         return rows.sparkSession.createDataFrame([], "column string, mean double, lower double, upper double")
-    numbered = rows.select(F.row_number().over(Window.orderBy(id_)).alias("no"), *columns)
+    numbered = running(rows.select(F.col(id_).alias("_id"), *columns, F.lit(1).alias("_one")), "_id", "_one", "no").select(F.col("no").cast("int").alias("no"), *columns)
     draws = rows.sparkSession.range(samples * n).select((F.col("id") % samples).alias("b"), (number_of("id", seed) % n + 1).cast("int").alias("no"))
     draws = draws.groupBy("b", "no").agg(F.count("*").alias("times"))
     long = numbered.select("no", F.explode(F.create_map(*[v for c in columns for v in (F.lit(c), F.col(c).cast("double"))])).alias("column", "value"))

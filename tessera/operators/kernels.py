@@ -9,10 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.matrices import Matrix
+from tessera.operators.storage import running
 
 PART = 50_000
 BLOCK = 256
@@ -39,7 +40,7 @@ def _parts(protos: DataFrame, part: int) -> Iterator[list[tuple]]:
 
 def numbered(protos: DataFrame) -> DataFrame:
     """proto_no, where it isn't there: the rank by id, for ties and feature numbers."""
-    return protos if "proto_no" in protos.columns else protos.withColumn("proto_no", F.row_number().over(Window.orderBy("proto_id")) - 1)
+    return protos if "proto_no" in protos.columns else running(protos.withColumn("_one", F.lit(1)), "proto_id", "_one", "_no").withColumn("proto_no", F.col("_no") - 1).drop("_one", "_no")
 
 
 def within(words: DataFrame, protos: DataFrame, threshold: int, matrix: Matrix, kind: str = "blosum", nearest: bool = False, part: int = PART) -> DataFrame:

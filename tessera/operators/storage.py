@@ -58,11 +58,27 @@ def input_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(df.columns)]))))).first()[0] or 0
 
 
-def running_sum(df: DataFrame, x: str, n: str, out: str) -> DataFrame:
-    """df with the sum of n over all rows up to x (x: distinct values), without one task for all rows: values are dealt by range, summed within
-    each range, and the ranges' totals, as many as there are partitions, are added."""
+def running(df: DataFrame, x: str, n: str, out: str, how: str = "sum") -> DataFrame:
+    """df with the sum (or max) of n over all rows up to x, without one task for all rows: values are dealt by range, taken within each range,
+    and the ranges' totals, as many as there are partitions, are added.  Rows of one x count in any order."""
     ranged = saved(df.repartitionByRange(F.col(x)).withColumn("_range", F.spark_partition_id()), "running")
-    totals = ranged.groupBy("_range").agg(F.sum(n).alias("_t"))
-    before = totals.select("_range", (F.sum("_t").over(Window.orderBy("_range")) - F.col("_t")).alias("_before"))
-    own = F.sum(n).over(Window.partitionBy("_range").orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(out, F.col("_own") + F.col("_before")).drop("_own", "_before", "_range")
+    agg = {"sum": F.sum, "max": F.max}[how]
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(agg(n).alias("_t")).select("_range", agg("_t").over(before).alias("_before"))
+    own = agg(n).over(Window.partitionBy("_range").orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+    both = F.coalesce(F.col("_own"), F.lit(0)) + F.coalesce(F.col("_before"), F.lit(0)) if how == "sum" else F.greatest("_own", "_before")
+    return ranged.withColumn("_own", own).join(F.broadcast(totals), "_range").withColumn(out, both).drop("_own", "_before", "_range")
+
+
+def running_sum(df: DataFrame, x: str, n: str, out: str) -> DataFrame:
+    return running(df, x, n, out)
+
+
+def previous(df: DataFrame, x: str, column: str, out: str) -> DataFrame:
+    """df with the column's value in the row before, by x (distinct values); dealt by range like `running`."""
+    ranged = saved(df.repartitionByRange(F.col(x)).withColumn("_range", F.spark_partition_id()), "previous")
+    lasts = ranged.groupBy("_range").agg(F.max_by(column, x).alias("_last"))
+    lasts = lasts.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_before"))
+    first = F.row_number().over(Window.partitionBy("_range").orderBy(x)) == 1
+    own = F.lag(column).over(Window.partitionBy("_range").orderBy(x))
+    return ranged.withColumn("_own", own).withColumn("_first", first).join(F.broadcast(lasts), "_range").withColumn(out, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_own"))).drop("_own", "_before", "_first", "_range")

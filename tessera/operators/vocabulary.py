@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,41 +11,44 @@ from pyspark.sql import functions as F
 
 from tessera.functions.matrices import Matrix
 from tessera.operators.kernels import block_distances, numbered, within
-from tessera.operators.sampling import order_of
-from tessera.operators.storage import saved
+from tessera.operators.sampling import number_of, order_of
+from tessera.operators.storage import saved, shared_root, superseded
+
+CLUSTERS = "proto_id string, proto_no long, word string, distance int"
 
 
-def greedy_clusters(words: DataFrame, threshold: int, matrix: Matrix, kind: str = "blosum", increment: int = 1000, seed: int = 0, most_rounds: int = 10_000, stop_share: float = 1.0, first: DataFrame | None = None) -> DataFrame:
+def greedy_clusters(words: DataFrame, threshold: int, matrix: Matrix, kind: str = "blosum", increment: int = 1000, seed: int = 0, stop_share: float = 1.0, first: DataFrame | None = None) -> DataFrame:
     """proto_id, proto_no, word, distance: each distinct word under the first prototype of its round within the threshold.
 
     Words go in order of a hash.  A round takes the next `increment` unallocated words as prototypes (they stay prototypes even if near each
     other) and gives every other unallocated word to the first of them it reaches.  Words farther than the threshold from themselves are left
     out.  It ends when stop_share of the words is allocated; first: prototypes (word) to begin with.  A round costs one pass over what is
-    left, and is a table in the shared folder."""
+    left, and is a part of one table in the shared folder."""
     diag = np.diag(matrix.distances(kind))
     table = F.create_map(*[v for c, d in zip(matrix.symbols, diag, strict=True) for v in (F.lit(c), F.lit(int(d)))])
     own = F.aggregate(F.split("word", ""), F.lit(0), lambda s, c: s + F.coalesce(F.element_at(table, c), F.lit(int(diag[-1]))))
     left = saved(words.select("word").distinct().where(own <= threshold), "words")
     total = left.count()
     spark, taken, made = words.sparkSession, 0, 0
-    out: DataFrame | None = None
-    for k in range(most_rounds):
-        batch = first.select("word").distinct() if k == 0 and first is not None else left.orderBy(order_of("word", seed), "word").limit(increment)
+    out, rounds = f"{shared_root(words.sparkSession)}/clusters-{uuid.uuid4().hex}", 0  # a folder of a folder for each round: one table
+    while total and taken < total and (not rounds or taken < stop_share * total):
+        batch = first.select("word").distinct() if not rounds and first is not None else left.orderBy(order_of("word", seed), "word").limit(increment)
         chosen = [r["word"] for r in batch.orderBy(order_of("word", seed), "word").collect()]
-        if not chosen or taken >= stop_share * total:
+        if not chosen:
             break
         protos = spark.createDataFrame([(f"proto_{made + i + 1}", made + i, w) for i, w in enumerate(chosen)], "proto_id string, proto_no long, word string")
         made += len(chosen)
         self_rows = protos.select("proto_id", "proto_no", "word", F.lit(0).alias("distance"))
         rest = left.join(F.broadcast(protos.select("word")), "word", "left_anti")
         reached = first_within(rest, protos, threshold, matrix, kind)
-        got = saved(self_rows.unionByName(reached.select("proto_id", "proto_no", "word", "distance")), "clusters")
-        out = got if out is None else out.unionAll(got)
-        left = saved(left.join(got.select("word"), "word", "left_anti"), "words")
+        self_rows.unionByName(reached.select("proto_id", "proto_no", "word", "distance")).write.parquet(f"{out}/round-{rounds}")
+        got = spark.read.schema(CLUSTERS).parquet(f"{out}/round-{rounds}")
+        following = saved(left.join(got.select("word"), "word", "left_anti"), "words")
+        superseded(left)
+        left, rounds = following, rounds + 1
         taken = total - left.count()
-        if taken >= total:
-            break
-    return out if out is not None else spark.createDataFrame([], "proto_id string, proto_no long, word string, distance int")
+    superseded(left)
+    return spark.read.schema(CLUSTERS).parquet(f"{out}/*") if rounds else spark.createDataFrame([], CLUSTERS)
 
 
 def first_within(words: DataFrame, protos: DataFrame, threshold: int, matrix: Matrix, kind: str = "blosum") -> DataFrame:
@@ -218,7 +223,7 @@ def average_linkage(words: list[str], threshold: int, matrix: Matrix, kind: str
 def split_large(clusters: DataFrame, most: int) -> DataFrame:
     """Clusters of over `most` words in parts of about that many, by hash: proto_id, part."""
     n = clusters.groupBy("proto_id").agg(F.ceil(F.count("*") / most).alias("parts"))
-    return clusters.join(n, "proto_id").withColumn("part", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int")).drop("parts")
+    return clusters.join(n, "proto_id").withColumn("part", (number_of("word", 0) % F.col("parts")).cast("int")).drop("parts")
 
 
 # k-medoids

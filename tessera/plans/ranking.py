@@ -311,12 +311,12 @@ def unanswered(spark, sf_dir):
     return evaluation.unanswered(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("topic")), large)
 
 
-@query(f"""with {JUDGED}, s as (select topic, sum(rel)::double rel_returned, sum(case when rel = 1 then prec else 0 end) / max(relevant) ap from pr group by 1),
-long as (select topic, 'ap' as column, ap as v from s union all select topic, 'rel_returned', rel_returned from s), num as (select topic, row_number() over (order by topic) no from s), n as (select count(*) n from s),
-draws as (select i % 200 b, ('0x' || substr(md5(i || ':0'), 1, 8))::bigint % n + 1 no from n, lateral (select unnest(range(200 * n)) i)),
-m as (select b, long.column, sum(v) / (select n from n) m from draws join num using (no) join long using (topic) group by all),
-r as (select m.column, m, row_number() over (partition by m.column order by m, b) - 1 r from m)
-select long.column as column, round(avg(v), 9) mean, round(any_value(lo), 9) as lower, round(any_value(hi), 9) as upper from long join (select r.column, max(m) filter (r = 10) lo, max(m) filter (r = 190) hi from r group by 1) x on x.column = long.column group by 1""")
+@query(f"""with {JUDGED}, bs as (select topic, sum(rel)::double rel_returned, sum(case when rel = 1 then prec else 0 end) / max(relevant) ap from pr group by 1),
+bl as (select topic, 'ap' name, ap v from bs union all select topic, 'rel_returned', rel_returned from bs), bo as (select topic, row_number() over (order by topic) no from bs), bn as (select count(*) n from bs),
+bd as (select i % 200 b, ('0x' || substr(md5(i || ':0'), 1, 8))::bigint % n + 1 no from bn, lateral (select unnest(range(200 * n)) i)),
+bm as (select b, name, sum(v) / (select n from bn) m from bd join bo using (no) join bl using (topic) group by all),
+br as (select name, m, row_number() over (partition by name order by m, b) - 1 r from bm), bb as (select name, max(m) filter (r = 10) lo, max(m) filter (r = 190) hi from br group by 1)
+select name as "column", round(avg(v), 9) mean, round(any_value(lo), 9) as "lower", round(any_value(hi), 9) as "upper" from bl join bb using (name) group by 1""")
 def bootstrap_interval(spark, sf_dir):
     """A25."""
     b = evaluation.bootstrap(evaluation.summary(*_judged(spark, sf_dir)), ["ap", "rel_returned"])

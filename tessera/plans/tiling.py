@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import alphabets as A
 from tessera.functions import scalars as S
-from tessera.operators import sampling, sequences, tiling
+from tessera.functions.matrices import MATRICES
+from tessera.operators import ranking, sampling, sequences, tiling, vocabulary
 from tessera.operators.storage import shared_root
-from tessera.plans.common import ITEMS, NATIONS, PARTS, TEXTS, items, nations, parts, table, texts, words
+from tessera.plans.common import BITS, ITEMS, NATIONS, PARTS, TEXTS, items, nations, parts, sign_bits, table, texts, words
 from tessera.sources import fasta, formats
 
 QUERIES, ORACLES = {}, {}
@@ -233,11 +234,49 @@ def hamming_neighbours(spark, sf_dir):
     return a.join(b, F.col("other") == F.col("p_partkey") + 1).select("p_partkey", "other", S.hamming(F.col("x"), F.col("y")).alias("mismatches"))
 
 
-@query("select a.vec_id, b.vec_id other, bit_count(xor(a.x, b.x)) // 2 d, bit_count(a.x & b.x) both_set, bit_count(a.x | b.x) any_set from (select vec_id, list_sum(list_transform(range(62), lambda i: case when embedding[i + 1] > 0 then 1::bigint << i else 0 end))::bigint x from embeddings) a join (select vec_id, list_sum(list_transform(range(62), lambda i: case when embedding[i + 1] > 0 then 1::bigint << i else 0 end))::bigint x from embeddings) b on b.vec_id = a.vec_id + 1")
+@query(f"""with {BITS}, p as (select a.seq_id vec_id, b.seq_id other, len(list_intersect(a.features, b.features)) both_set, len(list_distinct(list_concat(a.features, b.features))) any_set from bits a join bits b on b.seq_id = a.seq_id + 1)
+select vec_id, other, both_set::int both_set, any_set::int any_set, ((any_set - both_set) // 2)::int d, coalesce(both_set / nullif(any_set, 0), 0.0) similarity, (128 - (any_set - both_set)) / 128 equal_share from p""")
 def bit_distances(spark, sf_dir):
-    """Bit codes of neighbouring vectors."""
-    bit = F.aggregate(F.transform(F.slice("embedding", 1, 62), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, b: s + b)
-    e = table(spark, sf_dir, "embeddings").select("vec_id", bit.alias("x"))
+    """Dense signatures of neighbouring vectors, all their components as bits of two longs."""
+    e = sign_bits(spark, sf_dir).select(F.col("seq_id").alias("vec_id"), S.bits_of(F.col("features"), 2).alias("x"))
     o = e.select(F.col("vec_id").alias("other"), F.col("x").alias("y"))
     x, y = F.col("x"), F.col("y")
-    return e.join(o, F.col("other") == F.col("vec_id") + 1).select("vec_id", "other", S.embedded_distance(x, y).alias("d"), F.bit_count(x.bitwiseAND(y)).alias("both_set"), F.bit_count(x.bitwiseOR(y)).alias("any_set"))
+    return e.join(o, F.col("other") == F.col("vec_id") + 1).select(
+        "vec_id", "other", S.bits_and(x, y).alias("both_set"), S.bits_or(x, y).alias("any_set"), F.floor(S.bits_hamming(x, y) / 2).cast("int").alias("d"),
+        S.bits_similarity(x, y).alias("similarity"), S.equal_bits(x, y, 128).alias("equal_share"),
+    )
+
+
+#: Names as nucleotides, by their letters' codes.
+DNA = "dna as (select p_partkey, array_to_string(list_transform(string_split(lower(p_name), ''), lambda c: substr('acgtn', ascii(c) % 5 + 1, 1)), '') s from part)"
+
+
+@query(f"with {DNA}, p as (select a.p_partkey, b.p_partkey other, substr(a.s, 1, 8) x, substr(b.s, 1, 8) y from dna a join dna b on b.p_partkey = a.p_partkey + 1) select p_partkey, other, list_sum(list_transform(range(1, 9), lambda i: case when substr(x, i, 1) = substr(y, i, 1) and substr(x, i, 1) <> 'n' then 0 else 1 end))::int d from p where length(x) = 8 and length(y) = 8")
+def dna_distances(spark, sf_dir):
+    """Mismatches of neighbouring words of eight nucleotides; n matches nothing."""
+    code = F.transform(F.split(F.lower("p_name"), ""), lambda c: F.substr(F.lit("acgtn"), F.ascii(c) % 5 + 1, F.lit(1)))
+    e = table(spark, sf_dir, "part").select("p_partkey", F.substring(F.array_join(code, ""), 1, 8).alias("x")).where(F.length("x") == 8)
+    o = e.select(F.col("p_partkey").alias("other"), F.col("x").alias("y"))
+    return e.join(o, F.col("other") == F.col("p_partkey") + 1).select("p_partkey", "other", S.dna_distance(F.col("x"), F.col("y")).alias("d"))
+
+
+@query("with s as (select unnest(['a', 'c', 'g', 't', 'n']) x), p as (select a.x a, b.x b, case when a.x = 'n' and b.x = 'n' then 1 when a.x = 'n' or b.x = 'n' then 4 when a.x = b.x then 16 else 0 end sim from s a, s b), o as (select x, case when x = 'n' then 1 else 16 end own from s) select a, b, sim::int sim, (p1.own + p2.own - 2 * sim)::int dist from p join o p1 on p1.x = a join o p2 on p2.x = b")
+def halperin_distances(spark, sf_dir):
+    """sim(x, x) + sim(y, y) - 2 sim(x, y) of the nucleotide matrix."""
+    return MATRICES["dna"]().frame(spark, "halperin")
+
+
+@query(f"with {PARTS}, w as (select distinct class proto_id, word from ({words('parts', 4)}) join parts using (seq_id)), n as (select proto_id, ceil(count(*) / 50) parts from w group by 1) select proto_id, word, (('0x' || substr(md5(word || ':0'), 1, 8))::bigint % parts)::int part from w join n using (proto_id)")
+def split_clusters(spark, sf_dir):
+    """C11: clusters of over fifty words in parts."""
+    p = parts(spark, sf_dir)
+    w = tiling.kmers(p, 4).select(F.col("class").alias("proto_id"), "word").distinct()
+    return vocabulary.split_large(w, 50)
+
+
+@query("with b as (select l_orderkey query_id, l_suppkey subject_id, l_linenumber qfrag, l_partkey % 7 sfrag, l_discount similarity, row_number() over (partition by l_orderkey, l_suppkey order by l_discount desc, l_linenumber, l_partkey % 7) r from lineitem) select query_id, subject_id, qfrag, sfrag, -similarity distance, row_number() over (partition by query_id order by -similarity, subject_id)::int as rank from b where r = 1 qualify rank <= 2")
+def rank_best_fragments(spark, sf_dir):
+    """K6: subjects by their best fragments."""
+    li = table(spark, sf_dir, "lineitem")
+    f = li.select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("subject_id"), F.col("l_linenumber").alias("qfrag"), (F.col("l_partkey") % 7).alias("sfrag"), F.col("l_discount").alias("similarity"))
+    return ranking.rank_fragments(f, 2)

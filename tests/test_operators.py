@@ -203,6 +203,13 @@ def test_mixture_recovers_two_parts(spark):
     assert two.cdf(two.inverse(0.7)) == pytest.approx(0.7) and two.mean() == pytest.approx(x.mean(), abs=1e-3) and two.sd() == pytest.approx(x.std(), abs=1e-2)
 
 
+def test_mixture_sums_do_not_depend_on_where_they_are_taken(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(float(v),) for v in np.concatenate([rng.normal(0, 1, 80), rng.normal(9, 1, 60)]).round(1)] + [(None,)], "x double")
+    here, there = (mixtures.fit(mixtures.Histogram(df, "x", most), 2, epochs=8) for most in (1000, 3))
+    assert here.mu == pytest.approx(there.mu) and here.sigma == pytest.approx(there.sigma) and here.log_likelihood == pytest.approx(there.log_likelihood) and here.n == there.n == 140
+
+
 def test_edges(spark):
     e = spark.createDataFrame([("a", s, s + 3, "b", t, t + 3) for s, t in [(1, 5), (2, 6), (3, 7), (2, 9), (6, 10)]], "id1 string, start1 int, stop1 int, id2 string, start2 int, stop2 int")
     assert rows(domains.merge_consecutive(e)) == [("a", 1, 6, "b", 5, 10), ("a", 2, 5, "b", 9, 12), ("a", 6, 9, "b", 10, 13)]
