@@ -9,8 +9,8 @@ strings can be brought together first:
    The windows of one occurrence of an anchor are consecutive; their joint text is the occurrence's context, hashed whole.
 2. Occurrences are dealt by anchor, packed, and within a slice of texts only the first document of each context goes.  A context that
    was in an earlier document is removed whole.  (Hot passages and copies so cost one entry per slice.)
-3. Where an anchor has several contexts, the first documents' contexts themselves are dealt by anchor, and LPF arrays of their windows
-   decide each window.
+3. Where an anchor has several contexts, the first documents' contexts themselves are dealt by anchor.  Their windows are put in suffix
+   order, with the LCP array; the previous and the next smaller positions give the LPF array, which decides each window.
 4. Removed intervals return to their texts.
 
 Texts travel twice, compressed.  Nulls: a null text is empty; a row with a null doc_id is returned uncut and isn't compared.  Rows that repeat
@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CHAIN, input_partitions, materialise, mix, pack_columns, slices, unpack_columns, zipped
+from tessera.llm.common import CHAIN, Scratch, input_partitions, mix, pack_columns, slices, unpack_columns, zipped
 
 SPAN, GRAM = 50, 16
 REACH = SPAN - GRAM  # an anchor lies at most so far after its window's start
 SLICE_BYTES = 3_000_000
 BUCKET_BYTES = 6 << 20
+STRETCH = 1 << 24
 _TABLE = np.random.default_rng(50).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: An occurrence: anchor hash, context hash, doc_id, text's number in its slice, first window's start, windows - 1, anchor's offset in the first.
 OCCURRENCE = [("key", np.uint64), ("context", np.uint64), ("doc", np.int64), ("text", np.int32), ("start", np.int32), ("more", np.uint8), ("offset", np.uint8)]
@@ -57,15 +58,34 @@ def _gram_hashes(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def find_occurrences(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of texts of SPAN bytes or more: text number, first window's start, last window's start, anchor's place, anchor hash, context hash."""
+    """Of texts of SPAN bytes or more: text number, first window's start, last window's start, anchor's place, anchor hash, context hash.
+
+    Bytes are looked at in stretches of STRETCH; an occurrence that a stretch's end cuts counts as two, which changes no removed byte."""
     buf = np.frombuffer(b"".join(texts), np.uint8)
-    n = len(buf)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(lengths)
-    starts = ends - lengths
+    inside = np.ones(len(buf), bool)
+    for e in ends:
+        inside[max(0, e - SPAN + 1) : e] = False
+    found = []
+    for base in range(0, len(buf) - SPAN + 1, STRETCH):
+        part = buf[base : base + STRETCH + SPAN - 1]
+        ok = inside[base : base + len(part) - SPAN + 1]
+        if ok.any():
+            first, last, anchor, key, context = _in_stretch(part, np.flatnonzero(ok))
+            found.append([base + first, base + last, base + anchor, key, context])
+    first, last, anchor, key, context = (np.concatenate(c) for c in zip(*found, strict=True))
+    text = np.searchsorted(ends, first, side="right")
+    begin = (ends - lengths)[text]
+    return text.astype(np.int32), (first - begin).astype(np.int32), (last - begin).astype(np.int32), (anchor - begin).astype(np.int32), key, context
+
+
+def _in_stretch(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the windows that start at `at`, in order: occurrences' first and last window, anchor's place, anchor hash, context hash."""
+    n = len(buf)
     x = _TABLE[buf]
     gram = mix(_gram_hashes(x, GRAM))
-    places = np.uint64((1 << 28) - 1)
+    places = np.uint64(2 * STRETCH - 1)
     least = (gram & ~places) | np.arange(n, dtype=np.uint64)  # ties: the leftmost
     width = 1
     while width * 2 <= REACH + 1:
@@ -73,10 +93,6 @@ def find_occurrences(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         width *= 2
     if (left := REACH + 1 - width) > 0:
         least[: n - left] = np.minimum(least[: n - left], least[left:])
-    inside = np.ones(n, bool)
-    for e in ends:
-        inside[max(0, e - SPAN + 1) : e] = False
-    at = np.flatnonzero(inside)
     anchor = (least[at] & places).astype(np.int64)
     new = np.ones(len(at), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
@@ -85,9 +101,7 @@ def find_occurrences(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     window = _gram_hashes(x, SPAN)
     shape = ((anchor - first) << 8 | (last - first)).astype(np.uint64)
     context = mix(mix(window[first]) * np.uint64(3) + window[last] + shape * CHAIN)
-    text = np.searchsorted(ends, first, side="right")
-    base = starts[text]
-    return text.astype(np.int32), (first - base).astype(np.int32), (last - base).astype(np.int32), (anchor - base).astype(np.int32), gram[anchor], context
+    return first, last, anchor, gram[anchor], context
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -110,33 +124,53 @@ def _by_text(text: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list
         yield int(text[a]), [c[a:b] for c in columns]
 
 
-def earlier_window(windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """windows: (n, SPAN) bytes.  Whether LPF reaches SPAN: the same window is in a smaller document.
-
-    The windows are put in suffix order; the LCP array, cut at SPAN, splits it into runs; within its run an entry has a previous or a next
-    entry of a smaller document, or none."""
+def suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """windows: (n, SPAN) bytes -> their order, and the LCP array: how many bytes (SPAN at most) each shares with the one before it."""
     n = len(windows)
     padded = np.zeros((n, -(-SPAN // 8) * 8), np.uint8)
     padded[:, :SPAN] = windows
-    words = padded.view(">u8").astype(np.uint64)
-    order = np.lexsort(words.T[::-1])
-    words, rank = words[order], np.unique(docs, return_inverse=True)[1][order].astype(np.int64)
-    run = np.cumsum(np.concatenate(([False], (words[1:] != words[:-1]).any(1)))).astype(np.int64)
-    wide = np.int64(n + 1)
-    before = np.minimum.accumulate(rank - run * wide)  # a new run starts below all before it
-    after = np.minimum.accumulate((rank + run * wide)[::-1] - run[-1] * wide)[::-1] if n else rank
-    previous = np.concatenate(([np.iinfo(np.int64).max], before[:-1])) + run * wide
-    following = np.concatenate((after[1:], [np.iinfo(np.int64).max // 2])) + (run[-1] if n else 0) * wide - run * wide
-    same_before = np.concatenate(([False], run[1:] == run[:-1]))
-    same_after = np.append(run[1:] == run[:-1], False)
-    out = np.zeros(n, bool)
-    out[order] = (same_before & (previous < rank)) | (same_after & (following < rank))
+    order = np.lexsort(padded.view(">u8").astype(np.uint64).T[::-1])
+    lcp = np.zeros(n, np.int64)
+    for at in range(1, n, 1 << 16):  # by stretches: a comparison takes SPAN bytes for each
+        some = order[at - 1 : at + (1 << 16)]
+        differ = windows[some[1:]] != windows[some[:-1]]
+        lcp[at : at + len(differ)] = np.where(differ.any(1), differ.argmax(1), SPAN)
+    return order, lcp
+
+
+def smaller_before(rank: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """In suffix order: how far each entry matches the previous entry of a smaller rank (0: there is none).
+
+    The previous smaller position is found by jumps: from an entry that isn't smaller, to the one it has found so far; all between are not
+    smaller either.  An entry whose match has fallen under SPAN stops, for it can't reach SPAN any more: its value is an upper bound."""
+    at, reach = np.arange(len(rank)) - 1, lcp.copy()
+    open_ = np.flatnonzero((at >= 0) & (reach >= SPAN))
+    while len(open_):
+        open_ = open_[rank[at[open_]] >= rank[open_]]
+        via = at[open_]
+        reach[open_] = np.minimum(reach[open_], np.where(at[via] >= 0, reach[via], 0))
+        at[open_] = at[via]
+        open_ = open_[(at[open_] >= 0) & (reach[open_] >= SPAN)]
+    return reach
+
+
+def longest_previous(windows: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """The longest-previous-factor array: how far each window matches a window of a smaller document, exact from SPAN on.
+
+    That match is at the previous or the next position of a smaller document in suffix order, whichever shares more."""
+    n = len(windows)
+    order, lcp = suffix_order(windows)
+    rank = np.unique(docs, return_inverse=True)[1][order]
+    before = smaller_before(rank, lcp)
+    after = smaller_before(rank[::-1], np.concatenate(([0], lcp[:0:-1])))[::-1] if n else before
+    out = np.zeros(n, np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """docs (row, doc_id, text) -> row, spans (packed int32 pairs): what to remove; rows without are left out.  row: a 64-bit key of the row."""
-    buckets = input_partitions(docs, BUCKET_BYTES)
+    buckets, own = input_partitions(docs, BUCKET_BYTES), Scratch(docs.sparkSession, "suffix")
     kinds = [k for _, k in OCCURRENCE]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +273,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
 
     sent = docs.where("doc_id is not null").select("row", "doc_id", "text").mapInArrow(dealt, "bucket int, slice long, blob binary")
     answers = sent.groupBy("bucket").applyInArrow(met, "slice long, blob binary")
-    whole = materialise(answers.groupBy("slice").applyInArrow(per_text, "row long, spans binary, asked binary"), "suffix")
+    whole = own.write(answers.groupBy("slice").applyInArrow(per_text, "row long, spans binary, asked binary"), "suffix")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -277,7 +311,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
             step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
             begin = REACH - offset[of].astype(np.int64) + step
             windows = np.lib.stride_tricks.sliding_window_view(text, SPAN, axis=1)[of, begin]
-            gone = earlier_window(windows, doc[of])
+            gone = longest_previous(windows, doc[of]) >= SPAN
             out_row.append(row[of[gone]])
             begin = start[of[gone]].astype(np.int64) + step[gone]
             out_span.append(np.stack([begin, begin + SPAN], axis=1))
