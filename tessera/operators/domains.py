@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,13 +67,17 @@ def merge_overlapping(edges: DataFrame) -> DataFrame:
     """Edges of a pair of sequences in order of starts: the next is taken in while both its starts are at most one after the stops so far.
     That depends on the order, so a pair's edges are one group; pairs run apart."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for e in pdf.sort_values(["start1", "start2"]).itertuples(index=False):
-            if out and e.start1 <= out[-1][2] + 1 and e.start2 <= out[-1][5] + 1:
-                out[-1][2], out[-1][5] = max(out[-1][2], e.stop1), max(out[-1][5], e.stop2)
+    def run(table: pa.Table) -> pa.Table:
+        columns = {n: table[n].to_numpy() for n in ("start1", "stop1", "start2", "stop2")}
+        order = np.lexsort((columns["start2"], columns["start1"]))
+        out: list[list[int]] = []
+        for a, b, c, d in zip(*(x[order].tolist() for x in columns.values()), strict=True):
+            if out and a <= out[-1][1] + 1 and c <= out[-1][3] + 1:
+                out[-1][1], out[-1][3] = max(out[-1][1], b), max(out[-1][3], d)
             else:
-                out.append([e.id1, e.start1, e.stop1, e.id2, e.start2, e.stop2])
-        return pd.DataFrame(out, columns=["id1", "start1", "stop1", "id2", "start2", "stop2"])
+                out.append([a, b, c, d])
+        a, b, c, d = (pa.array(x, pa.int32()) for x in zip(*out, strict=True))
+        ids = [pa.array([table[n][0].as_py()] * len(out), pa.string()) for n in ("id1", "id2")]
+        return pa.table([ids[0], a, b, ids[1], c, d], names=["id1", "start1", "stop1", "id2", "start2", "stop2"])
 
-    return edges.groupBy("id1", "id2").applyInPandas(run, "id1 string, start1 int, stop1 int, id2 string, start2 int, stop2 int")
+    return edges.groupBy("id1", "id2").applyInArrow(run, "id1 string, start1 int, stop1 int, id2 string, start2 int, stop2 int")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.matrices import Matrix
+from tessera.operators.bags import over_fragments
 from tessera.operators.kernels import align, pair_matrix, pair_minima
 from tessera.operators.storage import input_bytes
 
@@ -217,6 +218,66 @@ def sliced_minima(queries: DataFrame, subjects: DataFrame, k: int, matrix: Matri
     return over_pairs(queries, subjects, work, "row_min array<int>, col_min array<int>", _coder(matrix))
 
 
+#: The slices of a pair of fragments: along its falling diagonal or down its middle column; followed along the best cell's diagonal or not.
+SLICES = {"Slice": (False, True), "SliceVertical": (True, True), "SliceNoFollow": (False, False), "SliceVerticalNoFollow": (True, False)}
+#: Names of the modes by which fragments' distances are made or gathered.
+NAMED = (*MODES, *SLICES, "Projector", "ProjectorAMP", "ProjectorBitEmbedding", "ProjectorSlice")
+
+
+def slice_cells(rows: int, columns: int, vertical: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a slice of a block, in order: of each row the middle one, or the one on the falling diagonal and the one before it."""
+    i = np.arange(rows)
+    if vertical:
+        return i, np.full(rows, columns // 2)
+    j = columns - 1 - i * columns // rows
+    i, j = np.repeat(i, 2), np.stack([j, j - 1], axis=1).ravel()
+    return i[j >= 0], j[j >= 0]
+
+
+def slice_distances(queries: DataFrame, subjects: DataFrame, k: int, matrix: Matrix, fragment: int, mode: str = "Slice", kind: str = "blosum", threshold: int | None = None, default: int | None = None) -> DataFrame:
+    """query_id, subject_id, qfrag, sfrag, distance of all pairs of fragments of `fragment` k-mers: the least distance on the block's slice and,
+    in modes that follow, on the diagonal through the first of its least cells.  Approximate: other cells aren't looked at."""
+    vertical, follow = SLICES[mode]
+    d = matrix.distances(kind)
+
+    def work(q, s):
+        if len(q) < k or len(s) < k:
+            return []
+        m = pair_matrix(q, s, k, d).astype(np.int64)
+        if threshold is not None:
+            m = np.where(m > threshold, default, m)
+        out = []
+        for a in range(0, m.shape[0], fragment):
+            for b in range(0, m.shape[1], fragment):
+                block = m[a : a + fragment, b : b + fragment]
+                i, j = slice_cells(*block.shape, vertical)
+                at = int(block[i, j].argmin())
+                best = block[i[at], j[at]]
+                if follow:
+                    best = min(best, block.diagonal(int(j[at] - i[at])).min())
+                out.append((a // fragment, b // fragment, int(best)))
+        return out
+
+    return over_pairs(queries, subjects, work, "qfrag int, sfrag int, distance int", _coder(matrix))
+
+
+def named_distance(queries: DataFrame, subjects: DataFrame, k: int, matrix: Matrix, mode: str, fragment: int = 1, kind: str = "blosum", gather: str = "HausdorffAverageAverage") -> DataFrame:
+    """query_id, subject_id, distance by the mode's name: the four Hausdorff forms over all k-mers; slices of fragments, gathered by `gather`; and
+    projectors, which gather the minima of the whole matrix (ProjectorSlice: of sampled anti-diagonals).  A projector's name says where its
+    matrix is worked out, which here is one kernel."""
+    if mode not in NAMED:
+        raise ValueError(f"unknown mode {mode!r}; known are {', '.join(NAMED)}")
+    if mode in MODES:
+        return distances(queries, subjects, k, matrix, mode, kind)
+    if mode in SLICES:
+        return over_fragments(slice_distances(queries, subjects, k, matrix, fragment, mode, kind), gather)
+    if mode == "ProjectorSlice":
+        known = lambda c: F.filter(c, lambda x: x.isNotNull())
+        m = sliced_minima(queries, subjects, k, matrix, fragment, kind).select("query_id", "subject_id", known("row_min").alias("row_min"), known("col_min").alias("col_min"))
+        return m.select("query_id", "subject_id", combine()[gather].alias("distance"))
+    return distances(queries, subjects, k, matrix, gather, kind)
+
+
 def alignments(queries: DataFrame, subjects: DataFrame, matrix: Matrix, local: bool = False, gap_open: int = -10, gap_extend: int = -1) -> DataFrame:
     """query_id, subject_id, score: of the best global (or local) alignment."""
     sim = matrix.sim.astype(np.int64)

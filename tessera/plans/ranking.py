@@ -138,6 +138,23 @@ def sliced_minima(spark, sf_dir):
     return pairwise.sliced_minima(nations(spark, sf_dir), regions(spark, sf_dir), 3, LETTERS, 2, "edit")
 
 
+@query(f"""with {NATIONS}, {REGIONS}, l as (select seq_id, residues from nations), r as (select seq_id, residues from regions), a as ({words('l', 3)}), b as ({words('r', 3)}),
+n as (select seq_id, count(*) n from a group by 1), nr as (select seq_id, count(*) n from b group by 1),
+m as (select a.seq_id q, b.seq_id s, a.pos // 4 fq, b.pos // 4 fs, a.pos % 4 i, b.pos % 4 j, least(4, n.n - a.pos // 4 * 4) rows, least(4, nr.n - b.pos // 4 * 4) cols,
+  list_sum(list_transform(range(1, 4), lambda x: (substr(a.word, x, 1) <> substr(b.word, x, 1))::int))::int d from a, b, n, nr where n.seq_id = a.seq_id and nr.seq_id = b.seq_id),
+c as (select *, j = cols - 1 - i * cols // rows or j = cols - 2 - i * cols // rows diagonal, j = cols // 2 middle from m),
+best as (select q, s, fq, fs, min(d) filter (diagonal) nd, min(d) filter (middle) nv, arg_min(j - i, d * 100 + i * 10 - j) filter (diagonal) dd, arg_min(j - i, d * 100 + i * 10 - j) filter (middle) dv from c group by all)
+select q query_id, s subject_id, fq::int qfrag, fs::int sfrag, min(least(nd, case when j - i = dd then d end))::int "Slice", min(least(nv, case when j - i = dv then d end))::int "SliceVertical", any_value(nd)::int "SliceNoFollow", any_value(nv)::int "SliceVerticalNoFollow"
+from c join best using (q, s, fq, fs) group by all""")
+def slice_distances(spark, sf_dir):
+    """Distances of fragments by their slices."""
+    out = None
+    for mode in pairwise.SLICES:
+        d = pairwise.slice_distances(nations(spark, sf_dir), regions(spark, sf_dir), 3, LETTERS, 4, mode, "edit").withColumnRenamed("distance", mode)
+        out = d if out is None else out.join(d, ["query_id", "subject_id", "qfrag", "sfrag"])
+    return out
+
+
 @query()
 def alignments(spark, sf_dir):
     """Local alignment scores of nations and regions."""

@@ -210,6 +210,52 @@ def test_mixture_sums_do_not_depend_on_where_they_are_taken(spark):
     assert here.mu == pytest.approx(there.mu) and here.sigma == pytest.approx(there.sigma) and here.log_likelihood == pytest.approx(there.log_likelihood) and here.n == there.n == 140
 
 
+def test_named_modes(spark):
+    q, s = sequences(spark, "acgtacgttagcatg", "ttgacg"), sequences(spark, "ttgacgaccag", "acg")
+    got = {m: {(r["query_id"], r["subject_id"]): r["distance"] for r in pairwise.named_distance(q, s, 3, AC, m, 4, "edit").collect()} for m in pairwise.NAMED}
+    assert len(pairwise.NAMED) == 12 and all(len(d) == 4 for d in got.values())
+    assert got["Projector"] == got["ProjectorAMP"] == got["ProjectorBitEmbedding"] == got["HausdorffAverageAverage"]
+    assert all(got["Slice"][p] <= got["SliceNoFollow"][p] and got["SliceVertical"][p] <= got["SliceVerticalNoFollow"][p] and got["BestOfBest"][p] <= got["Slice"][p] for p in got["Slice"])
+    with pytest.raises(ValueError):
+        pairwise.named_distance(q, s, 3, AC, "Other")
+
+
+def test_sliced_minima_by_hand(spark):
+    """The two anti-diagonals at column 0, then the whole diagonal through the best of their cells."""
+    (r,) = pairwise.sliced_minima(sequences(spark, "aacg"), sequences(spark, "acgt"), 2, AC, 10, "edit").collect()
+    # words aa ac cg by ac cg gt: cells (0, 0) = 1, (0, 1) = 2, (1, 0) = 0; the diagonal through (1, 0) goes on to (2, 1) = 0
+    assert (r["row_min"], r["col_min"]) == ([1, 0, 0], [0, 0, None])
+
+
+def test_alignments_equal_plain_recursion(spark):
+    from functools import cache
+
+    def best(x, y, local):
+        sim = lambda a, b: 2 if a == b else -1
+
+        @cache
+        def go(i, j, state):
+            """Best score of an alignment of x[:i], y[:j] that ends in a match (0), or a gap in y (1) or in x (2)."""
+            floor = 0 if local and state == 0 else -(10**6)
+            if i == j == 0:
+                return 0 if state == 0 else -(10**6)
+            if state == 0:
+                return max(floor, max(go(i - 1, j - 1, s) for s in range(3)) + sim(x[i - 1], y[j - 1])) if i and j else floor
+            a, b = (i - 1, j) if state == 1 else (i, j - 1)
+            if min(a, b) < 0:
+                return -(10**6)
+            return max(max(go(a, b, s) for s in range(3) if s != state) - 4, go(a, b, state) - 1)
+
+        ends = [(i, j) for i in range(len(x) + 1) for j in range(len(y) + 1)] if local else [(len(x), len(y))]
+        return max(go(i, j, s) for i, j in ends for s in range(3))
+
+    texts = ["acgtac", "cgta", "ttacg", "a"]
+    m = match_matrix("acgt", 2, -1)
+    for local in (False, True):
+        got = {(r["query_id"], r["subject_id"]): r["score"] for r in pairwise.alignments(sequences(spark, *texts), sequences(spark, *texts), m, local, -3, -1).collect()}
+        assert got == {(f"s{a}", f"s{b}"): best(x, y, local) for a, x in enumerate(texts) for b, y in enumerate(texts)}
+
+
 def test_edges(spark):
     e = spark.createDataFrame([("a", s, s + 3, "b", t, t + 3) for s, t in [(1, 5), (2, 6), (3, 7), (2, 9), (6, 10)]], "id1 string, start1 int, stop1 int, id2 string, start2 int, stop2 int")
     assert rows(domains.merge_consecutive(e)) == [("a", 1, 6, "b", 5, 10), ("a", 2, 5, "b", 9, 12), ("a", 6, 9, "b", 10, 13)]
