@@ -50,7 +50,7 @@ def test_blosum62():
 
 def test_matrices_by_id(tmp_path):
     (tmp_path / "BLOSUM45").write_text("# a matrix file\n  a c\na 5 -1\nc -1 12\n")
-    assert M.blosum(62) == M.blosum62() or (M.blosum(62).sim == M.blosum62().sim).all()
+    assert (M.blosum(62).sim == M.blosum62().sim).all()
     assert M.blosum(45, str(tmp_path)).top == 12 and M.blosum(45, str(tmp_path)).symbols == "ac"
     with pytest.raises(ValueError):
         M.blosum(45)
