@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import slices, trim
 
 MOST_RANKS = 1_000_000
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 3_000_000
 SLICE_BYTES = 250_000
 SLICE_IDS = 500_000
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 LONG = 200
 CHUNK, WIDE = 2_000, 64_000
 #: Bytes of the chunks of long words, and tokens on each side of a border that are contracted anew.
