@@ -1,20 +1,20 @@
 """Substring dedup by paragraphs: MinHash banding, exact verification, removal by components.
 
-What is looked for are passages of `LEAST` words or more (A-Z lower-cased, split at ASCII white space) that stand in two places.  Paragraphs
+What is looked for are passages of `LEAST` words or more (A-Z lower-cased, split at ASCII white space) that stand in two documents.  Paragraphs
 come in two cuts, and every word of a text lies in some:
 
 * Lines of `LEAST` words or more.  A line's set is its distinct five-word shingles, banded by MinHash: `bands_for` gives the fewest bands of
   `ROWS` rows by which a pair at 0.75 meets with the wanted recall (20 for 0.999).  Lines that collide are verified by their exact Jaccard
-  similarity of 0.75 or more, and similar lines are joined into components.  Of each component the first line, by doc_id and place, stays.
+  similarity of 0.75 or more, and similar lines are joined into components.  Of each component the lines of the least doc_id stay.
 * Sliding paragraphs: each run of `LEAST` words, wherever it begins and across line breaks, in what lines that went leave.  Neighbours share
   nearly all words, so each has one MinHash, the `GRAM`-word string of least hash in it, and neighbours mostly the same one.  Only MinHashes
-  that are in two places bring their paragraphs together, which are verified by equality; of equal ones the first, by doc_id and place, stays.
+  that are in two texts bring their paragraphs together, which are verified by equality; of equal ones those of the least doc_id stay.
   So an unedited passage is found whatever is around it.  A run of a single word over and over is no passage.
 
-All words that are in a paragraph to go are cut.  Whether a paragraph goes is judged on the texts as they came, not on what is left.
+All words that are in a paragraph to go are cut.  What a document repeats from itself stays.  Whether a paragraph goes is judged on the texts as they came, not on what is left.
 
 Equal lines are one item, so a line that a third of all documents share costs one item per slice; groups of near copies are joined at linear
-cost (see `pairs`).  Of a slice's equal sliding paragraphs only the first leaves it.
+cost (see `pairs`).  Of a slice's equal sliding paragraphs only those of one document leave it.
 
 Nulls: a null text has no paragraphs; rows with a null doc_id are returned uncut.  Rows that repeat a doc_id are told apart by their texts;
 equal ones are cut alike.  Runs under `LEAST` words always stay.  Empty tables give no rows.  `cut` keeps all columns of docs, `report` reads
@@ -199,16 +199,16 @@ def components_of(docs: DataFrame, seen: DataFrame, least: int, own: Scratch) ->
 
 
 def later_lines(docs: DataFrame, least: int, own: Scratch) -> DataFrame:
-    """doc_id, text, a, b of the lines that have a similar or equal one before; a table of own."""
+    """doc_id, text, a, b of the lines that have a similar or equal one in a document of a smaller doc_id; a table of own."""
     seen = own.write(occurrences(docs, least), "lines")
     labels = components_of(docs, seen, least, inner := Scratch(docs.sparkSession, "paragraph"))
-    by_item = seen.groupBy("item").agg(F.min(F.struct("doc_id", "a")).alias("at"), F.count("*").alias("n"))
-    by_item = by_item.join(labels, by_item["item"] == labels["node"], "left").select("item", "at", "n", F.coalesce("component", "item").alias("class"))
+    by_item = seen.groupBy("item").agg(F.min("doc_id").alias("at"), F.max("doc_id").alias("last"))
+    by_item = by_item.join(labels, by_item["item"] == labels["node"], "left").select("item", "at", "last", F.coalesce("component", "item").alias("class"))
     by_item = own.write(by_item, "items")
     inner.drop(labels)
-    firsts = by_item.groupBy("class").agg(F.min("at").alias("first"), F.sum("n").alias("members")).where("members > 1")
+    firsts = by_item.groupBy("class").agg(F.min("at").alias("first"), F.max("last").alias("last")).where("first < last").select("class", "first")
     known = own.write(by_item.join(own.write(firsts, "firsts"), "class").select("item", "first"), "known")
-    later = own.write(seen.join(known, "item").where(F.struct("doc_id", "a") != F.col("first")).select("doc_id", "text", "a", "b"), "later")
+    later = own.write(seen.join(known, "item").where("doc_id > first").select("doc_id", "text", "a", "b"), "later")
     own.keep(later)
     return later
 
@@ -238,12 +238,12 @@ def sliding(w: np.ndarray, lengths: list[int] | np.ndarray, least: int, gram: in
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def later_windows(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by key and place; and, in it, which have an earlier place of their key that doesn't overlap with theirs."""
-    order = np.lexsort((pos, doc, key))
-    key, doc, pos = key[order], doc[order], pos[order]
+def later_windows(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key and document; and, in it, which have their key in a smaller document."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
     first = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(key)), 0)) if len(key) else order
-    return order, (doc != doc[first]) | (pos >= pos[first] + least)
+    return order, doc != doc[first]
 
 
 WINDOW = [np.uint64, np.int64, np.int64, np.int32]
@@ -302,13 +302,13 @@ def later_passages(docs: DataFrame, lines: DataFrame, least: int, own: Scratch)
             row, key = b.column(0).to_numpy()[row[one]], low[one]
             order = np.lexsort((key, row))
             row, key = row[order], key[order]
-            again = np.flatnonzero((row[1:] == row[:-1]) & (key[1:] == key[:-1]))  # twice in a text: counts as in another
-            row, key = np.append(row, ~row[again]), np.append(key, key[again])
+            new = np.concatenate(([True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])))[: len(row)]
+            row, key = row[new], key[new]
             yield from pack(key, row, np.zeros(len(key), np.int32), buckets)
 
     def shared(table: pa.Table) -> pa.Table:
         key, row, _, _ = _groups(table)
-        return pa.table({"row": pa.array(row[row >= 0]), "key": pa.array(key[row >= 0].view(np.int64))})
+        return pa.table({"row": pa.array(row), "key": pa.array(key.view(np.int64))})
 
     keys = rest.select("row", "starts", "packed").mapInArrow(anchored, PACKED).groupBy("bucket").applyInArrow(shared, "row long, key long")
     keys = own.write(keys.groupBy("row").agg(F.collect_set("key").alias("keys")), "keys")
@@ -325,8 +325,8 @@ def later_passages(docs: DataFrame, lines: DataFrame, least: int, own: Scratch)
                 good[part] = np.isin(low[part], want)
             k, pos, mine = k[good], pos[good].astype(np.int32), mine[good]
             row, doc = b.column(0).to_numpy()[k], b.column(3).to_numpy()[k]
-            # of a slice's equal paragraphs only the first goes on
-            order, later = later_windows(mine, doc, pos, least)
+            # of a slice's equal paragraphs only the first document's go on
+            order, later = later_windows(mine, doc)
             row, doc, pos, mine = row[order], doc[order], pos[order], mine[order]
             n = int(later.sum())
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(row[later]), pa.array(pos[later])], names=["bucket", "pairs", "row", "pos"])
@@ -340,7 +340,7 @@ def later_passages(docs: DataFrame, lines: DataFrame, least: int, own: Scratch)
 
     def decided(table: pa.Table) -> pa.Table:
         mine, row, doc, pos = (np.concatenate(c) for c in zip(*(unpack_columns(x, WINDOW) for x in table["pairs"].to_pylist()), strict=True))
-        order, later = later_windows(mine, doc, pos, least)
+        order, later = later_windows(mine, doc)
         at = order[later]
         return pa.table({"row": pa.array(row[at]), "pos": pa.array(pos[at])})
 
@@ -362,7 +362,7 @@ def later_passages(docs: DataFrame, lines: DataFrame, least: int, own: Scratch)
 
 
 def later_copies(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id and cuts (array of text, a, b): word spans of the texts' paragraphs that have a similar or equal one before; a table."""
+    """doc_id and cuts (array of text, a, b): word spans of the texts' paragraphs that have a similar or equal one in a smaller document; a table."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     own = Scratch(docs.sparkSession, "paragraphs")
     lines = later_lines(docs, least, own)
