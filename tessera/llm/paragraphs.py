@@ -43,6 +43,8 @@ from tessera.llm.suffix_dedup import _gram_hashes, merged
 LEAST, PERCENT = 50, 75
 ROWS, RECALL = 4, 0.999
 BUCKET_BYTES = 6 << 20
+#: Bytes of text whose words are looked at at once: a word takes some sixty bytes more, and an executor may hold several workers.
+SLICE_BYTES = 2_000_000
 GRAM = 8
 #: Words of a text that are looked at at once.
 STRETCH = 1 << 20
@@ -146,7 +148,7 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, text, a, b, item): the words [a, b) of every line; text: its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             texts = batch.column(1).to_pylist()
             found = lines_of(encoded(texts), least)
             own = {k: text_hash(texts[k]) for k in np.unique(found.text).tolist()}
@@ -163,7 +165,7 @@ def components_of(docs: DataFrame, seen: DataFrame, least: int, own: Scratch) ->
     buckets = input_partitions(docs, BUCKET_BYTES)
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 6_000_000):
+        for b in slices(batches, 2 * SLICE_BYTES):
             found = lines_of(encoded(b.column(0).to_pylist()), least)
             items, one = np.unique(found.item, return_index=True)
             if not len(one):
@@ -183,7 +185,7 @@ def components_of(docs: DataFrame, seen: DataFrame, least: int, own: Scratch) ->
             import zstandard
 
             unzip, press = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
-            for b in slices(batches, 4_000_000):
+            for b in slices(batches, SLICE_BYTES // 2):  # compressed
                 found = lines_of([unzip(x) for x in b.column(0).to_pylist()], least)
                 items, one = np.unique(found.item, return_index=True)
                 one = one[np.isin(items, b.column(1).flatten().to_numpy())]
@@ -296,7 +298,7 @@ def later_passages(docs: DataFrame, lines: DataFrame, least: int, own: Scratch)
         return row, at + shift, low, anchor, hashes
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1_000_000):
+        for b in slices(batches, SLICE_BYTES // 2):
             row, _, low, anchor, _ = of_slice(b.column(1).to_pylist(), b.column(2).to_pylist())
             _, one = np.unique(anchor, return_index=True)
             row, key = b.column(0).to_numpy()[row[one]], low[one]
@@ -315,7 +317,7 @@ def later_passages(docs: DataFrame, lines: DataFrame, least: int, own: Scratch)
     found = "bucket int, pairs binary, row long, pos int"
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1_000_000):
+        for b in slices(batches, SLICE_BYTES // 2):
             k, pos, low, _, mine = of_slice(b.column(1).to_pylist(), b.column(2).to_pylist())
             wanted = [np.array(x, np.int64).view(np.uint64) for x in b.column(4).to_pylist()]
             good = np.zeros(len(k), bool)
