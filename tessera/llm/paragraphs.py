@@ -248,6 +248,14 @@ def later_windows(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order, doc != doc[first]
 
 
+def by_text(row: np.ndarray, pos: np.ndarray) -> list[pa.Array]:
+    """Each text's places in one list: a text makes one row, however many paragraphs of it go."""
+    order = np.lexsort((pos, row))
+    row, pos = row[order], pos[order]
+    heads = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))[: len(row)])
+    return [pa.array(row[heads]), pa.ListArray.from_arrays(pa.array(np.append(heads, len(row)), pa.int32()), pa.array(pos, pa.int32()))]
+
+
 WINDOW = [np.uint64, np.int64, np.int64, np.int32]
 
 
@@ -314,7 +322,7 @@ def later_passages(docs: DataFrame, lines: DataFrame, least: int, own: Scratch)
 
     keys = rest.select("row", "starts", "packed").mapInArrow(anchored, PACKED).groupBy("bucket").applyInArrow(shared, "row long, key long")
     keys = own.write(keys.groupBy("row").agg(F.collect_set("key").alias("keys")), "keys")
-    found = "bucket int, pairs binary, row long, pos int"
+    found = "bucket int, pairs binary, row long, pos array<int>"
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, SLICE_BYTES // 2):
@@ -330,24 +338,24 @@ def later_passages(docs: DataFrame, lines: DataFrame, least: int, own: Scratch)
             # of a slice's equal paragraphs only the first document's go on
             order, later = later_windows(mine, doc)
             row, doc, pos, mine = row[order], doc[order], pos[order], mine[order]
-            n = int(later.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(row[later]), pa.array(pos[later])], names=["bucket", "pairs", "row", "pos"])
+            gone = by_text(row[later], pos[later])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(gone[0]), pa.int32()), pa.nulls(len(gone[0]), pa.binary()), *gone], names=["bucket", "pairs", "row", "pos"])
             row, doc, pos, mine = row[~later], doc[~later], pos[~later], mine[~later]
             bucket = (mine % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                 if len(part):
                     blob = pack_columns([mine[part], row[part], doc[part], pos[part]])
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket[part[0]]], pa.int32()), pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())], names=["bucket", "pairs", "row", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket[part[0]]], pa.int32()), pa.array([blob], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32()))], names=["bucket", "pairs", "row", "pos"])
 
     def decided(table: pa.Table) -> pa.Table:
         mine, row, doc, pos = (np.concatenate(c) for c in zip(*(unpack_columns(x, WINDOW) for x in table["pairs"].to_pylist()), strict=True))
         order, later = later_windows(mine, doc)
         at = order[later]
-        return pa.table({"row": pa.array(row[at]), "pos": pa.array(pos[at])})
+        return pa.table(by_text(row[at], pos[at]), names=["row", "pos"])
 
     pairs = own.write(rest.select("row", "starts", "packed", "doc_id").join(keys, "row").select("row", "starts", "packed", "doc_id", "keys").mapInArrow(met, found), "windows")
-    cut = pairs.where("bucket is null").select("row", "pos").unionAll(pairs.where("bucket is not null").select("bucket", "pairs").groupBy("bucket").applyInArrow(decided, "row long, pos int"))
+    cut = pairs.where("bucket is null").select("row", "pos").unionAll(pairs.where("bucket is not null").select("bucket", "pairs").groupBy("bucket").applyInArrow(decided, "row long, pos array<int>"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -359,7 +367,7 @@ def later_passages(docs: DataFrame, lines: DataFrame, least: int, own: Scratch)
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "text", "a", "b"])
 
-    by_row = cut.groupBy("row").agg(F.collect_list("pos").alias("pos"))
+    by_row = cut.groupBy("row").agg(F.flatten(F.collect_list("pos")).alias("pos"))
     return rest.select("row", "doc_id", "text").join(by_row, "row").select("doc_id", "text", "pos").mapInArrow(spans, "doc_id long, text long, a int, b int")
 
 
