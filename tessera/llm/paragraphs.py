@@ -352,10 +352,19 @@ def later_passages(docs: DataFrame, lines: DataFrame, least: int, own: Scratch)
         mine, row, doc, pos = (np.concatenate(c) for c in zip(*(unpack_columns(x, WINDOW) for x in table["pairs"].to_pylist()), strict=True))
         order, later = later_windows(mine, doc)
         at = order[later]
-        return pa.table(by_text(row[at], pos[at]), names=["row", "pos"])
+        row, pos = row[at], pos[at]
+        target = (mix(row.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(target, kind="stable")
+        parts = [p for p in np.split(order, np.flatnonzero(np.diff(target[order])) + 1) if len(p)]
+        return pa.table({"target": pa.array([int(target[p[0]]) for p in parts], pa.int32()), "gone": pa.array([pack_columns([row[p], pos[p]]) for p in parts], pa.binary())})
+
+    def gathered(table: pa.Table) -> pa.Table:
+        """What all buckets have decided of some texts."""
+        row, pos = (np.concatenate(c) for c in zip(*(unpack_columns(x, [np.int64, np.int32]) for x in table["gone"].to_pylist()), strict=True))
+        return pa.table(by_text(row, pos), names=["row", "pos"])
 
     pairs = own.write(rest.select("row", "starts", "packed", "doc_id").join(keys, "row").select("row", "starts", "packed", "doc_id", "keys").mapInArrow(met, found), "windows")
-    cut = pairs.where("bucket is null").select("row", "pos").unionAll(pairs.where("bucket is not null").select("bucket", "pairs").groupBy("bucket").applyInArrow(decided, "row long, pos array<int>"))
+    cut = pairs.where("bucket is null").select("row", "pos").unionAll(pairs.where("bucket is not null").select("bucket", "pairs").groupBy("bucket").applyInArrow(decided, "target int, gone binary").groupBy("target").applyInArrow(gathered, "row long, pos array<int>"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
