@@ -6,10 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions.matrices import Matrix
 from tessera.operators import bags, pairwise
 from tessera.operators.kernels import within
+from tessera.operators.storage import input_bytes
 from tessera.operators.tiling import kmers, word_counts
 
 
@@ -33,61 +35,126 @@ def shared_features(queries: DataFrame, subjects: DataFrame) -> DataFrame:
     return met.groupBy("query_id", "subject_id").agg(F.count("*").alias("shared"), F.max("query_n").alias("query_n"), F.max("subject_n").alias("subject_n"))
 
 
-#: Features up to which signatures are compared as bits, and query bits that are broadcast at once.
-DENSE, QUERY_BYTES = 4096, 16 << 20
+#: Features up to which signatures are compared as bits; bytes of the query bits that are broadcast at once, and of what a task keeps of the
+#: nearest subjects of these; rows of either side that are compared at once.
+DENSE, QUERY_BYTES, NEAREST_BYTES, TILE = 4096, 16 << 20, 64 << 20, 1024
+#: Bytes of subjects a partition.
+PART_BYTES = 64 << 20
 
 
-def _bits(features: pa.Array, index: dict, width: int) -> np.ndarray:
+def _bits(features: list, index: dict, width: int) -> np.ndarray:
     """Rows of features as zeros and ones; features that no query has are left out."""
-    out = np.zeros((len(features), width), np.float32)
-    for r, row in enumerate(features.to_pylist()):
-        out[r, [index[f] for f in row or () if f in index]] = 1
+    out = np.zeros((len(features), width), bool)
+    for r, row in enumerate(features):
+        out[r, [index[f] for f in row or () if f in index]] = True
     return out
 
 
+class _Nearest:
+    """The k nearest subjects of each query of a block, of subjects that come in ascending order of their ids.
+
+    A subject whose distance equals the last one kept has the greater id, so only smaller distances get in, however many ties there are.  With
+    a of n + m - a features shared by the last one kept, a subject that shares b, of m' features, is nearer where b (n + m) - a (n + m') > 0:
+    one product of matrices of integers, which floats hold exactly."""
+
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, k: int):
+        self.bits, self.sizes, self.k, n = bits, sizes, k, len(bits)
+        self.distance = np.full((n, k), np.inf)
+        self.place, self.shared, self.other = (np.zeros((n, k), np.int32) for _ in range(3))
+        self.most = 1  # features of a signature so far
+
+    def add(self, bits: np.ndarray, sizes: np.ndarray, first: int, same: np.ndarray) -> None:
+        """Subjects from place `first` on; same: pairs (query, subject) that don't count, in order."""
+        self.most = max(self.most, int(sizes.max(initial=0)), int(self.sizes.max(initial=0)))
+        kind = np.float32 if 2 * self.most * min(self.most, self.bits.shape[1]) < 1 << 24 else np.float64
+        right = np.concatenate([bits, np.ones((len(bits), 1)), sizes[:, None]], axis=1).astype(kind)
+        for at in range(0, len(self.bits), TILE):
+            own, n = self.bits[at : at + TILE], self.sizes[at : at + TILE]
+            full = np.isfinite(self.distance[at : at + TILE, -1])
+            a = np.where(full, self.shared[at : at + TILE, -1], 0)
+            scale = np.where(full, n + self.other[at : at + TILE, -1], 1)
+            left = np.concatenate([own * scale[:, None], (-a * n)[:, None], -a[:, None]], axis=1).astype(kind)
+            nearer = left @ right.T > 0.5
+            x, y = same[:, np.searchsorted(same[0], at) : np.searchsorted(same[0], at + TILE)]
+            nearer[x - at, y] = False
+            r, c = np.divmod(np.flatnonzero(nearer), len(bits))
+            if len(r):
+                both = np.concatenate([(own[r[i : i + TILE]] & bits[c[i : i + TILE]]).sum(1) for i in range(0, len(r), TILE)])
+                self._merge(at + r, both, sizes[c], first + c)
+
+    def _merge(self, r: np.ndarray, shared: np.ndarray, other: np.ndarray, place: np.ndarray) -> None:
+        rows = np.unique(r)
+        kept_r, kept_c = np.nonzero(np.isfinite(self.distance[rows]))
+        kept = rows[kept_r], kept_c
+        d = np.concatenate([self.distance[kept], 1 - shared / (self.sizes[r] + other - shared)])
+        columns = [np.concatenate([old[kept], new]) for old, new in ((self.place, place), (self.shared, shared), (self.other, other))]
+        r = np.concatenate([kept[0], r])
+        order = np.lexsort((columns[0], d, r))
+        r = r[order]
+        starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+        rank = np.arange(len(r)) - np.repeat(starts, np.diff(np.append(starts, len(r))))
+        best = rank < self.k
+        to, order = (r[best], rank[best]), order[best]
+        self.distance[to] = d[order]
+        for old, new in zip((self.place, self.shared, self.other), columns, strict=True):
+            old[to] = new[order]
+
+
 def _near_signatures(queries: DataFrame, subjects: DataFrame, features: list, k: int, exclude_self: bool) -> DataFrame:
-    """query_id, subject_id, distance of each query's k nearest of every batch of subjects, ties included, by products of bit matrices.
-    Queries are taken in blocks of `QUERY_BYTES`, each against all subjects."""
+    """query_id, subject_id, distance of each query's k nearest of every partition of subjects (ties to the smaller id), by products of bit
+    matrices.  Queries are taken in blocks of `QUERY_BYTES`, each against all subjects, in tiles of `TILE` by `TILE`."""
     index, width = {f: i for i, f in enumerate(features)}, len(features)
+    if exclude_self:  # as a comparison with null would
+        queries, subjects = queries.where("seq_id is not null"), subjects.where("seq_id is not null")
     kinds = {n: dict(t.dtypes)["seq_id"] for n, t in (("query_id", queries), ("subject_id", subjects))}
-    block = max(1, QUERY_BYTES // (4 * width))
-    spark, out, held = subjects.sparkSession, None, []
+    id_type = to_arrow_type(queries.schema["seq_id"].dataType)
+    block = max(1, min(QUERY_BYTES // (4 * width), NEAREST_BYTES // (20 * k)))
+    spark, out = subjects.sparkSession, None
+    parts = max(spark.sparkContext.defaultParallelism, input_bytes(subjects) // PART_BYTES + 1)
+    ordered = subjects.select("seq_id", "features").repartition(parts, "seq_id").sortWithinPartitions("seq_id")
 
-    def against(part: list) -> DataFrame:
-        ids = pa.array([r["seq_id"] for r in part])
-        bits = _bits(pa.array([r["features"] for r in part]), index, width)
-        sizes = np.array([len(r["features"]) for r in part], np.float64)
-        shared = spark.sparkContext.broadcast((ids, bits.astype(bool), sizes))
+    def against(ids: list, held: list[np.ndarray], counts: list[int]) -> DataFrame:
+        shared = spark.sparkContext.broadcast((pa.array(ids, id_type), np.concatenate([np.empty((0, width), bool), *held]), np.array(counts, np.int64)))
 
         def run(batches):
-            names, own, n = shared.value
-            own = own.astype(np.float32)
+            names, bits, sizes = shared.value
+            nearest, seen, met = _Nearest(bits, sizes, k), 0, []
+            places: dict = {}
+            for i, v in enumerate(names.to_pylist() if exclude_self else ()):
+                places.setdefault(v, []).append(i)
             for whole in batches:
-                for at in range(0, whole.num_rows, 1024):
-                    b = whole.slice(at, 1024)
-                    other = _bits(b.column(1), index, width)
-                    m = np.array([len(x or ()) for x in b.column(1).to_pylist()], np.float64)
-                    both = (own @ other.T).astype(np.float64)
-                    d = 1 - both / np.maximum(n[:, None] + m[None, :] - both, 1)
-                    d[both == 0] = np.inf
-                    if exclude_self:
-                        place = {v: [] for v in names.to_pylist()}
-                        for i, v in enumerate(names.to_pylist()):
-                            place[v].append(i)
-                        for j, v in enumerate(b.column(0).to_pylist()):
-                            d[place.get(v, []), j] = np.inf
-                    limit = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
-                    r, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(r)), b.column(0).take(pa.array(c)), pa.array(d[r, c])], names=["query_id", "subject_id", "distance"])
-
-        return subjects.select("seq_id", "features").mapInArrow(run, f"query_id {kinds['query_id']}, subject_id {kinds['subject_id']}, distance double")
-
+                at = 0
+                while at < whole.num_rows:  # of the first subjects all that share a feature are near: few at once
+                    b = whole.slice(at, min(TILE, max(64, seen)))
+                    rows = b.column(1).to_pylist()
+                    same = np.array(sorted((i, j) for j, v in enumerate(b.column(0).to_pylist()) for i in places.get(v, ())), np.int64).reshape(-1, 2).T
+                    nearest.add(_bits(rows, index, width), np.array([len(x or ()) for x in rows], np.int64), seen, same)
+                    met.append(b.column(0))
+                    at, seen = at + b.num_rows, seen + b.num_rows
+            if not seen:
+                return
+            others = pa.concat_arrays(met)
+            for at in range(0, len(names), TILE):
+                d = nearest.distance[at : at + TILE]
+                r, c = np.nonzero(np.isfinite(d))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at + r)), others.take(pa.array(nearest.place[at + r, c])), pa.array(d[r, c])], names=["query_id", "subject_id", "distance"])
+
+        return ordered.mapInArrow(run, f"query_id {kinds['query_id']}, subject_id {kinds['subject_id']}, distance double")
+
+    ids, held, rows, counts = [], [], [], []
     for row in queries.select("seq_id", F.coalesce("features", F.array()).alias("features")).toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            out, held = (against(held) if out is None else out.unionAll(against(held))), []
-    if held or out is None:
-        out = against(held) if out is None else out.unionAll(against(held))
+        ids.append(row["seq_id"])
+        rows.append(row["features"])
+        counts.append(len(rows[-1]))
+        if len(rows) == TILE or len(ids) == block:
+            held.append(_bits(rows, index, width))
+            rows = []
+        if len(ids) == block:
+            out = against(ids, held, counts) if out is None else out.unionAll(against(ids, held, counts))
+            ids, held, counts = [], [], []
+    if ids or out is None:
+        held.append(_bits(rows, index, width))
+        out = against(ids, held, counts) if out is None else out.unionAll(against(ids, held, counts))
     return out
 
 
@@ -96,7 +163,7 @@ def rank_signatures(queries: DataFrame, subjects: DataFrame, k: int = 1000, excl
 
     Where the queries have at most `dense` features in all (counted first), each posting list holds a good part of all rows: signatures then
     are compared as bits.  Otherwise through posting lists."""
-    found = [r["f"] for r in queries.select(F.explode("features").alias("f")).distinct().limit(dense + 1).collect()]
+    found = [r["f"] for r in queries.select(F.explode("features").alias("f")).where("f is not null").distinct().limit(dense + 1).collect()]
     if found and len(found) <= dense:
         return top_k(_near_signatures(queries, subjects, sorted(found), k, exclude_self), k, exclude_self=exclude_self)
     met = shared_features(queries, subjects)

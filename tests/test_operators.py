@@ -170,6 +170,38 @@ def test_topic_without_relevant_documents(spark):
     assert {(x["topic"], x["rank"], x["rec"]) for x in evaluation.judged(r, q).collect()} == {("a", 1, 0.0), ("a", 2, 0.5), ("b", 1, 1.0)}
 
 
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_nearest_signatures_equal_brute_force(spark, monkeypatch, exclude_self):
+    rng = np.random.default_rng(11)
+    made = [(int(i), sorted(set(rng.choice(9, rng.integers(0, 9)).tolist()))) for i in rng.permutation(150)] + [(150, None), (200, [0, 1]), (201, [0, 1])]
+    made += [(i, [2, 3]) for i in range(300, 340)]  # copies: ties of every query
+    df = spark.createDataFrame(made, "seq_id long, features array<int>")
+    d = lambda x, y: 1 - len(x & y) / len(x | y)
+    sets = {i: set(f or ()) for i, f in made}
+    want = {q: sorted((d(x, y), s) for s, y in sets.items() if x & y and not (exclude_self and s == q))[:4] for q, x in sets.items()}
+    monkeypatch.setattr(ranking, "TILE", 16)
+    monkeypatch.setattr(ranking, "QUERY_BYTES", 4 * 9 * 70)  # several blocks
+    got = {q: [] for q in sets}
+    for r in sorted(ranking.rank_signatures(df, df, 4, exclude_self).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["distance"], r["subject_id"]))
+    assert got == want
+
+
+def test_nearest_signatures_in_bounded_memory():
+    """A block of queries against a batch of subjects: what is held follows the tiles, not the whole matrix."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    own, other = rng.random((20_000, 64)) < 0.5, rng.random((1_024, 64)) < 0.5
+    tracemalloc.start()
+    nearest = ranking._Nearest(own, own.sum(1), 10)
+    for at in range(0, 1_024, 64):
+        nearest.add(other[at : at + 64], other[at : at + 64].sum(1), at, np.empty((2, 0), np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20 and np.isfinite(nearest.distance).all()
+
+
 def test_bootstrap_holds_the_mean(spark):
     df = spark.createDataFrame([(str(i), float(i)) for i in range(50)], "topic string, m double")
     x = evaluation.bootstrap(df, ["m"]).first()
