@@ -170,6 +170,26 @@ def test_topic_without_relevant_documents(spark):
     assert {(x["topic"], x["rank"], x["rec"]) for x in evaluation.judged(r, q).collect()} == {("a", 1, 0.0), ("a", 2, 0.5), ("b", 1, 1.0)}
 
 
+def test_relevance_by_class_equals_its_pairs(spark):
+    classes = [("a", 1), ("a", 1), ("b", 1), ("c", 1), ("c", 2), ("d", 2), ("e", 3), ("f", None), (None, 1), ("g", 4), ("h", 4)]
+    pairs = {(x, y, 1) for x, p in classes for y, q in classes if x and y and x != y and p is not None and p == q}
+    r = spark.createDataFrame([(x, y, float(i * 7 % 5)) for i, (x, y) in enumerate((x, y) for x in "abcdefxg" for y in "abcdefx" if (x, y) != ("g", "g"))], "topic string, doc string, score double")
+    r = r.where("topic <> 'g'")  # without results
+    q = spark.createDataFrame(sorted(pairs), "topic string, doc string, rel int")
+    by_class = evaluation.SameClass(spark.createDataFrame(classes, "doc string, class int"))
+    assert rows(evaluation.judged(r, by_class)) == rows(evaluation.judged(r, q))
+    for ignore in (True, False):
+        assert rows(evaluation.summary(r, by_class, ignore)) == rows(evaluation.summary(r, q, ignore))
+
+
+def test_judging_by_class_makes_no_pairs(spark, tmp_path):
+    """12,000 docs of one class: 144 million pairs of it, of which one is ranked."""
+    docs = spark.range(12_000).select(F.col("id").alias("doc"), F.lit(0).alias("class"))
+    spark.createDataFrame([(1, 2, 1.0), (1, 1, 0.5)], "topic long, doc long, score double").write.parquet(f"{tmp_path}/r")
+    j = evaluation.judged(spark.read.parquet(f"{tmp_path}/r"), evaluation.SameClass(docs))
+    assert rows(j.select("topic", "doc", "rel", "relevant")) == [(1, 1, 0, 11_999), (1, 2, 1, 11_999)]
+
+
 @pytest.mark.parametrize("exclude_self", [False, True])
 def test_nearest_signatures_equal_brute_force(spark, monkeypatch, exclude_self):
     rng = np.random.default_rng(11)
