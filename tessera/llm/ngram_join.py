@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, input_partitions, mix, shingles, slices, zipped
-from tessera.llm.pairs import PACKED, TEXTS, linked, pack, parity_sketch
+from tessera.llm.pairs import PACKED, TEXTS, linked, pack, pair_parts, parity_sketch
 
 PERCENT = 75
 HOT = 1 << 17
@@ -140,7 +140,7 @@ def similarity_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         return zipped(docs, "text").join(wanted.hint("shuffle_hash"), "doc_id").select("packed", "wanted").mapInArrow(run, TEXTS)
 
-    labels = linked(packed, texts_of, PERCENT, Scratch(spark, "ngram"))
+    labels = linked(packed, texts_of, PERCENT, Scratch(spark, "ngram"), parts=pair_parts(buckets))
     least = rows.where("n > 0 and doc_id is not null").groupBy("item").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     classes = least.join(labels, least["item"] == labels["node"], "left").select("item", "doc_id", "copies", F.coalesce("component", "item").alias("class"))
     smallest = classes.groupBy("class").agg(F.min("doc_id").alias("component"), F.sum("copies").alias("members")).where("members > 1")

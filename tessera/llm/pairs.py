@@ -28,6 +28,11 @@ FAMILY = 16_384
 PACKED = "bucket int, pairs binary"
 
 
+def pair_parts(buckets: int) -> int:
+    """Groups in which the pairs of so many buckets are made distinct: each takes what about 16 buckets give."""
+    return max(12, buckets // 16)
+
+
 def pack(keys: np.ndarray, items: np.ndarray, sizes: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows (PACKED) of one slice: pairs (key, item) with the items' sizes, by bucket."""
     bucket = (mix(keys) % np.uint64(buckets)).astype(np.int32)
@@ -61,17 +66,18 @@ def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return keys, items, sizes, starts
 
 
-def candidates(packed: DataFrame, percent: int) -> DataFrame:
-    """One table of two kinds of rows: pairs (a, b, null), and for each bucket the groups of three items or more (null, null, groups: packed
-    keys and items).
+def candidates(packed: DataFrame, percent: int, parts: int = 12) -> DataFrame:
+    """One table of two kinds of rows of each bucket: its pairs, packed and dealt to `parts` (part, pairs, null), and its groups of three items
+    or more (null, null, groups: packed keys and items).
 
     A group's items, in order of size, fall into stretches where neighbours' sizes fit; each stretch gives a star around its least item.  So
-    stars of a family's many groups have few centres, and pairs are few."""
+    stars of a family's many groups have few centres, and pairs are few.  Two items that share many keys are a pair in many buckets, the more
+    the more buckets there are; `distinct_pairs` makes them one."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, items, sizes, starts = _groups(table)
         counts = np.diff(np.append(starts, len(keys)))
-        left = right = np.empty(0, np.int64)
+        part, blobs = [], []
         if len(keys):
             cut = np.ones(len(keys), bool)
             cut[1:] = (keys[1:] != keys[:-1]) | (100 * sizes[:-1].astype(np.int64) < percent * sizes[1:].astype(np.int64))
@@ -79,11 +85,25 @@ def candidates(packed: DataFrame, percent: int) -> DataFrame:
             centre = np.minimum.reduceat(items, heads)[np.cumsum(cut) - 1]
             apart = items != centre
             left, right = np.unique(np.stack([centre[apart], items[apart]]), axis=1)
+            at = (mix(left.view(np.uint64) ^ mix(right.view(np.uint64))) % np.uint64(parts)).astype(np.int64)
+            part = np.unique(at).tolist()
+            blobs = [pack_columns([left[at == p], right[at == p]]) for p in part]
         several = np.repeat(counts > 2, counts)
         blob = pack_columns([keys[several], items[several]])
-        return pa.table({"a": pa.array([*left.tolist(), None], pa.int64()), "b": pa.array([*right.tolist(), None], pa.int64()), "groups": pa.array([None] * len(left) + [blob], pa.binary())})
+        return pa.table({"part": pa.array([*part, None], pa.int32()), "pairs": pa.array([*blobs, None], pa.binary()), "groups": pa.array([None] * len(part) + [blob], pa.binary())})
+
+    return packed.groupBy("bucket").applyInArrow(run, "part int, pairs binary, groups binary")
+
+
+def distinct_pairs(found: DataFrame) -> DataFrame:
+    """The pairs (a, b) of `candidates`, each once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        made = [np.stack(unpack_columns(x, [np.int64, np.int64])) for x in table["pairs"].to_pylist()]
+        a, b = np.unique(np.concatenate(made, axis=1), axis=1)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    return packed.groupBy("bucket").applyInArrow(run, "a long, b long, groups binary")
+    return found.where("pairs is not null").select("part", "pairs").groupBy("part").applyInArrow(run, "a long, b long")
 
 
 def unpacked_groups(found: DataFrame) -> DataFrame:
@@ -220,7 +240,7 @@ def relabelled(labels: DataFrame, new: DataFrame, own: Scratch) -> DataFrame:
     return out
 
 
-def linked(packed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, own: Scratch, rounds: int = 1, colliding: bool = False) -> DataFrame:
+def linked(packed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, own: Scratch, rounds: int = 1, colliding: bool = False, parts: int = 12) -> DataFrame:
     """(node, component) of every item that is similar to another, a table of own.  texts_of(items) gives TEXTS of the items (item) asked
     for; two rows of an item are alike.
 
@@ -228,9 +248,10 @@ def linked(packed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percen
     bands of size, each with the next, so that all pairs whose sizes fit meet in one; bands that span several components of verified links are
     tried against a few of their members, which joins near copies at linear cost.  What is still apart is compared by sketches, block by block:
     within a band of up to `FAMILY` items each pair, in a larger one only pairs that share a key.  With colliding only pairs that share a key are
-    compared, whatever the size of their family: for keys that don't promise to bring all similar pairs together."""
-    found = own.write(candidates(packed, percent), "candidates")
-    pairs = own.write(found.where("groups is null").select("a", "b").distinct(), "pairs")
+    compared, whatever the size of their family: for keys that don't promise to bring all similar pairs together.  parts: into how many
+    groups the buckets' pairs are dealt to be made distinct (`pair_parts`)."""
+    found = own.write(candidates(packed, percent, parts), "candidates")
+    pairs = own.write(distinct_pairs(found), "pairs")
     families = None if colliding else components(pairs, own)
     items = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct() if colliding else families.select(F.col("node").alias("item"))
     texts = own.write(texts_of(items), "texts")

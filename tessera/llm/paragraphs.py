@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import CHAIN, Scratch, input_partitions, mix, pack_columns, range_hashes, shingles, slices, unpack_columns, words_of_bytes, zipped
-from tessera.llm.pairs import PACKED, TEXTS, _groups, linked, pack, parity_sketch
+from tessera.llm.pairs import PACKED, TEXTS, _groups, linked, pack, pair_parts, parity_sketch
 from tessera.llm.suffix_dedup import _gram_hashes, merged
 
 LEAST, PERCENT = 50, 75
@@ -197,7 +197,7 @@ def components_of(docs: DataFrame, seen: DataFrame, least: int, own: Scratch) ->
 
         return zipped(docs, "text").join(wanted.hint("shuffle_hash"), "doc_id").select("packed", "wanted").mapInArrow(run, TEXTS)
 
-    return linked(packed, texts_of, PERCENT, own, colliding=True)
+    return linked(packed, texts_of, PERCENT, own, colliding=True, parts=pair_parts(buckets))
 
 
 def later_lines(docs: DataFrame, least: int, own: Scratch) -> DataFrame:

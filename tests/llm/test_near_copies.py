@@ -258,3 +258,15 @@ def test_colliding_pairs_are_linked_at_every_family_size(spark, monkeypatch, fam
     table = spark.createDataFrame(rows, pairs.TEXTS)
     found = pairs.linked(packed, lambda items: table.join(items, "item", "left_semi"), 75, Scratch(spark, "colliding"), colliding=True)
     assert {r["node"]: r["component"] for r in found.collect()} == {1: 1, 2: 1}
+
+
+def test_pairs_of_many_buckets_leave_once(spark):
+    """Near copies that share 40 keys: a pair is in up to 40 buckets, but is one row; packed, the buckets' rows don't follow the pairs."""
+    keys, items = np.meshgrid(np.arange(40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(1, 301), indexing="ij")
+    packed = pairs.pack(keys.ravel(), items.ravel(), np.full(keys.size, 50), 64)
+    table = spark.createDataFrame([(r["bucket"], bytearray(r["pairs"])) for b in packed for r in b.to_pylist()], pairs.PACKED)
+    buckets = table.select("bucket").distinct().count()
+    found = pairs.candidates(table, 75, parts=3)
+    assert buckets > 20 and found.count() <= 4 * buckets
+    assert sorted(map(tuple, pairs.distinct_pairs(found).collect())) == [(1, i) for i in range(2, 301)]
+    assert pairs.unpacked_groups(found).count() == keys.size
