@@ -88,7 +88,8 @@ with recursive step as (
 select w, list(id order by pos) ids from step where m is null group by w
 """
 
-GATHER = "select d, unhex(string_agg(piece, '' order by pos)) bytes from tokens join vocab using (id) group by d"
+#: A piece holds its bytes as the characters of the same numbers.
+GATHER = "select d, string_agg(piece, '' order by pos) chars from tokens join vocab using (id) group by d"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -122,7 +123,7 @@ class Codec:
         code = made[:, 2] * 2 + (least[made[:, 2]] < made[:, 2])
         merges = pa.table({"a": made[:, 0].astype(np.int32), "b": made[:, 1].astype(np.int32), "r": made[:, 2]})
         long_merges = merges.set_column(2, "r", pa.array(code.astype(np.int32)))
-        vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": [t.hex() for t in ranks]})
+        vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in ranks]})
         for name, table in (("merges", merges), ("long_merges", long_merges), ("vocab", vocab)):
             self.db.register("given", table)
             self.db.execute(f"create table {name} as select * from given")
@@ -144,16 +145,17 @@ class Codec:
             yield w, flat[a:b].tobytes()
 
     def _contracted(self, words: list[bytes], query: str) -> list[np.ndarray]:
-        """Ids of each word; words in slices of `SLICE_BYTES`."""
+        """Ids of each word; words in slices of `SLICE_BYTES`, by length: a slice takes as many steps as its longest word."""
         out: list[np.ndarray] = [np.empty(0, "<u4")] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
         at = 0
         while at < len(words):
             end, size = at, 0
-            while end < len(words) and (end == at or size + len(words[end]) <= SLICE_BYTES):
-                size += len(words[end])
+            while end < len(words) and (end == at or size + len(words[order[end]]) <= SLICE_BYTES):
+                size += len(words[order[end]])
                 end += 1
-            for w, ids in self._contract(words[at:end], query):
-                out[at + w] = np.frombuffer(ids, "<u4")
+            for w, ids in self._contract([words[i] for i in order[at:end]], query):
+                out[order[at + w]] = np.frombuffer(ids, "<u4")
             at = end
         return out
 
@@ -262,8 +264,8 @@ class Codec:
             self.db.register("tokens", pa.table({"d": of[part], "pos": np.arange(len(flat[part]), dtype=np.int32), "id": flat[part]}))
             out = self.db.sql(GATHER).to_arrow_table()
             self.db.unregister("tokens")
-            for d, b in zip(out["d"].to_pylist(), out["bytes"].to_pylist(), strict=True):
-                whole[d].append(b)
+            for d, chars in zip(out["d"].to_pylist(), out["chars"].to_pylist(), strict=True):
+                whole[d].append(chars.encode("latin-1"))
         return list(map(b"".join, whole))
 
 

@@ -86,3 +86,15 @@ def test_bound_of_the_broadcast(monkeypatch):
     monkeypatch.setattr(bpe, "MOST_RANKS", 10)
     with pytest.raises(ValueError):
         bpe.read_ranks(tokenizer()[0])
+
+
+def test_slices_hold_words_of_like_length(monkeypatch):
+    """A slice takes as many steps as its longest word, so short words don't share one with long ones."""
+    codec = bpe.Codec({bytes([i]): i for i in range(256)} | {b"ab": 256, b"abab": 257}, r"\S+")
+    words = [b"ab" * (1 + i % 2 * 39) for i in range(40)]
+    taken, whole = [], codec._contract
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 60)
+    monkeypatch.setattr(codec, "_contract", lambda part, query: taken.append(set(map(len, part))) or whole(part, query))
+    made = codec._contracted(words, bpe.CONTRACT)
+    assert [x.tolist() for x in made] == [[256] if len(w) == 2 else [257] * 20 for w in words]
+    assert all(len(x) == 1 for x in taken)
