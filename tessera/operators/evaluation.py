@@ -102,11 +102,12 @@ def bootstrap(rows: DataFrame, columns: list[str], id_: str = "topic", samples:
     """column, mean, lower, upper: of the means of `samples` resamples with replacement; bounds are the sorted means' elements at
     floor(bound * samples).
 
-    A row is drawn a Poisson-free way: each resample's draws are hashed row numbers, so rows are counted, not copied per resample."""
-    n = rows.count()
+    A row is drawn a Poisson-free way: each resample's draws are hashed row numbers, so rows are counted, not copied per resample.  They are
+    counted as numbered, in the shared folder: what makes them, such as a ranking, is worked out once."""
+    numbered = running(rows.select(F.col(id_).alias("_id"), *columns, F.lit(1).alias("_one")), "_id", "_one", "no").select(F.col("no").cast("int").alias("no"), *columns)
+    n = numbered.count()
     if not n:
         return rows.sparkSession.createDataFrame([], "column string, mean double, lower double, upper double")
-    numbered = running(rows.select(F.col(id_).alias("_id"), *columns, F.lit(1).alias("_one")), "_id", "_one", "no").select(F.col("no").cast("int").alias("no"), *columns)
     draws = rows.sparkSession.range(samples * n).select((F.col("id") % samples).alias("b"), (number_of("id", seed) % n + 1).cast("int").alias("no"))
     draws = draws.groupBy("b", "no").agg(F.count("*").alias("times"))
     long = numbered.select("no", F.explode(F.create_map(*[v for c in columns for v in (F.lit(c), F.col(c).cast("double"))])).alias("column", "value"))

@@ -229,6 +229,20 @@ def test_bootstrap_holds_the_mean(spark):
     assert evaluation.bootstrap(df.limit(0), ["m"]).count() == 0
 
 
+def test_bootstrap_works_its_rows_out_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    # as of a ranking, a shuffle lies between what makes the rows and the bootstrap
+    df = spark.range(60).mapInArrow(run, "id long").groupBy("id").agg(F.max("id").cast("double").alias("m"))
+    assert evaluation.bootstrap(df, ["m"], "id").first()["mean"] == 29.5
+    assert made.value == 60
+
+
 def test_distributions(spark):
     die = spark.createDataFrame([(i, 1 / 6) for i in range(1, 7)], "x long, p double")
     two = {r["x"]: r["p"] for r in distributions.kmer_distances(die, 2).collect()}
