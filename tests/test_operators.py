@@ -180,6 +180,8 @@ def test_relevance_by_class_equals_its_pairs(spark):
     assert rows(evaluation.judged(r, by_class)) == rows(evaluation.judged(r, q))
     for ignore in (True, False):
         assert rows(evaluation.summary(r, by_class, ignore)) == rows(evaluation.summary(r, q, ignore))
+    for measure in (evaluation.interpolated, evaluation.stepped, lambda r, q: evaluation.precision_at(r, q, [1, 3, 9])):
+        assert rows(measure(r, by_class)) == rows(measure(r, q))
 
 
 def test_judging_by_class_makes_no_pairs(spark, tmp_path):
