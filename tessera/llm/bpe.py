@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding by DuckDB, one in-process database per Python worker.
 
-A batch's distinct words become token-position rows.  A recursive query joins them to the merge table and contracts each word's leftmost
-pair of least rank until no pair is left; an ordered aggregation gathers the ids.  Decoding joins ids to their bytes and aggregates in
-order of position.  In words of over `LONG` bytes, where no pair that a merge makes new can rank below it (checked in the rank file), all
-its places are contracted in one step, so long repetitive words take few rounds; the result is the same.
+A batch's distinct words become rows of their tokens and of the ranks of neighbouring tokens.  A recursive query contracts each word's leftmost
+pair of least rank, and joins the two pairs that are new by that to the merge table, until no pair is left.  Decoding joins ids to their
+bytes and aggregates in order of position.  Words of over `LONG` bytes are token-position rows: where no pair that a merge makes new can rank
+below it (checked in the rank file), all its places are contracted in one step, so long repetitive words take few rounds, and an ordered
+aggregation gathers the ids; the result is the same.
 
 A word of over `CHUNK` bytes is contracted in chunks, in time linear in its bytes, and stitched.  A sequence of tokens is a word's encoding if
 and only if each two neighbours are the encoding of their joint bytes: the first merge across a border that the sequence lacks would also be
@@ -42,27 +43,25 @@ CHUNK, WIDE = 2_000, 64_000
 #: Bytes of the chunks of long words, and tokens on each side of a border that are contracted anew.
 PIECE, AROUND = 96, 6
 
-#: Rows of `start` (w, pos, id) to rows (w, ids), for words of under 65,536 bytes.  r: the rank that the pair at pos merges into; m: the
-#: word's least r and its leftmost pos in one number, null at the fixpoint.
-CONTRACT = """
+#: No pair of this rank.
+NONE = 2**31 - 1
+
+#: Rows of `words` (w, ids, ranks) to rows (w, ids).  ids: a word's tokens between two of -1; ranks: what each token and the next merge into, or
+#: NONE; m: the least of ranks, of which list_position gives the leftmost.  A step makes two new pairs in a word, which are all that is looked up.
+CONTRACT = f"""
 with recursive step as (
-  select w, pos, id, r, min(r * 65536 + pos) over (partition by w) m
-  from (select p.w, p.pos, p.id, g.r from (select *, lead(id) over (partition by w order by pos) nxt from start) p left join merges g on g.a = p.id and g.b = p.nxt)
+  select w, ids, ranks, list_min(ranks) m from words
   union all
-  select w, pos, id, r, min(r * 65536 + pos) over (partition by w) m
+  select w, ids, ranks, list_min(ranks)
   from (
-    select c.w, c.pos, c.id, g.r
-    from (
-      select w, pos, case when pos = mp then mr else id end id, case when pos = mp then i2 when p1 = mp then mr else i1 end nxt
-      from (
-        select w, pos, id, m & 65535 mp, (m >> 16)::int mr, lag(pos) over q p0, lead(pos) over q p1, lead(id) over q i1, lead(id, 2) over q i2
-        from step where m is not null window q as (partition by w order by pos))
-      where p0 is distinct from mp) c
-    left join merges g on g.a = c.id and g.b = c.nxt))
-select w, list(id order by pos) ids from step where m is null group by w
+    select w, list_concat(ids[:p - 1], [m], ids[p + 2:]) ids, list_concat(ranks[:p - 2], [coalesce(f.r, {NONE}), coalesce(g.r, {NONE})], ranks[p + 2:]) ranks
+    from (select w, ids, ranks, m, p, ids[p - 1] before, ids[p + 2] after from (select *, list_position(ranks, m) p from step where m < {NONE})) s
+    left join merges f on f.a = s.before and f.b = s.m
+    left join merges g on g.a = s.m and g.b = s.after))
+select w, ids[2:len(ids) - 1] ids from step where m = {NONE}
 """
 
-#: The same for long words: every place of a safe merge in a step.  r: twice the rank that the pair at pos merges into, one more if that merge isn't safe
+#: Rows of `start` (w, pos, id) to rows (w, ids), for long words: every place of a safe merge in a step.  r: twice the rank that the pair at pos merges into, one more if that merge isn't safe
 #: to repeat within a step; m: the least r of the word, null at the fixpoint.
 CONTRACT_LONG = """
 with recursive step as (
@@ -112,6 +111,7 @@ class Codec:
         self.tokens = {r: t for t, r in ranks.items()}
         self.fits: dict[tuple[int, int], bool] = {}
         self.bytes_of = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.rank_of = np.array([ranks.get(bytes((a, b)), NONE) for a in range(256) for b in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
@@ -121,7 +121,7 @@ class Codec:
         np.minimum.at(least, made[:, 0], made[:, 2])
         np.minimum.at(least, made[:, 1], made[:, 2])
         code = made[:, 2] * 2 + (least[made[:, 2]] < made[:, 2])
-        merges = pa.table({"a": made[:, 0].astype(np.int32), "b": made[:, 1].astype(np.int32), "r": made[:, 2]})
+        merges = pa.table({"a": made[:, 0].astype(np.int32), "b": made[:, 1].astype(np.int32), "r": made[:, 2].astype(np.int32)})
         long_merges = merges.set_column(2, "r", pa.array(code.astype(np.int32)))
         vocab = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in ranks]})
         for name, table in (("merges", merges), ("long_merges", long_merges), ("vocab", vocab)):
@@ -129,34 +129,57 @@ class Codec:
             self.db.execute(f"create table {name} as select * from given")
             self.db.unregister("given")
 
+    def _listed(self, raw: np.ndarray, lengths: np.ndarray) -> pa.Table:
+        """Rows of `CONTRACT`: each word's bytes as tokens, and the ranks of their pairs."""
+        n = len(lengths)
+        of, ends = np.repeat(np.arange(n), lengths), np.cumsum(lengths)
+        pairs = np.full(len(raw), NONE, np.int32)
+        pairs[:-1] = self.rank_of[raw[:-1].astype(np.int32) * 256 + raw[1:]]
+        pairs[ends[lengths > 0] - 1] = NONE
+        columns = []
+        for beside, rest, values in ((2, -1, self.bytes_of[raw]), (1, NONE, pairs)):
+            flat = np.full(len(raw) + beside * n, rest, np.int32)
+            flat[np.arange(len(raw)) + beside * of + 1] = values
+            offsets = np.concatenate(([0], ends + beside * np.arange(1, n + 1))).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+        return pa.table({"w": np.arange(n, dtype=np.int32), "ids": columns[0], "ranks": columns[1]})
+
     def _contract(self, words: list[bytes], query: str) -> Iterator[tuple[int, bytes]]:
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        total = int(lengths.sum())
-        pos = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        start = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "pos": pos.astype(np.int32), "id": self.bytes_of[np.frombuffer(b"".join(words), np.uint8)]})
-        self.db.register("start", start)
+        lengths, raw = np.fromiter(map(len, words), np.int64, len(words)), np.frombuffer(b"".join(words), np.uint8)
+        if query == CONTRACT:
+            name, table = "words", self._listed(raw, lengths)
+        else:
+            pos = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            name, table = "start", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "pos": pos.astype(np.int32), "id": self.bytes_of[raw]})
+        self.db.register(name, table)
         out = self.db.sql(query).to_arrow_table().combine_chunks()
-        self.db.unregister("start")
+        self.db.unregister(name)
         if not out.num_rows:
             return
         ids = out["ids"].chunk(0)
-        flat, at = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
+        flat, at = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes(), (4 * ids.offsets.to_numpy()).tolist()
         for w, a, b in zip(out["w"].to_pylist(), at[:-1], at[1:], strict=True):
-            yield w, flat[a:b].tobytes()
+            yield w, flat[a:b]
 
-    def _contracted(self, words: list[bytes], query: str) -> list[np.ndarray]:
-        """Ids of each word; words in slices of `SLICE_BYTES`, by length: a slice takes as many steps as its longest word."""
-        out: list[np.ndarray] = [np.empty(0, "<u4")] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    def _in_slices(self, words: list[bytes], query: str) -> Iterator[tuple[int, bytes]]:
+        """(number of a word, its ids); words in slices of `SLICE_BYTES`, by length: a slice takes as many steps as its longest word."""
+        lengths = list(map(len, words))
+        order = sorted(range(len(words)), key=lengths.__getitem__)
         at = 0
         while at < len(words):
             end, size = at, 0
-            while end < len(words) and (end == at or size + len(words[order[end]]) <= SLICE_BYTES):
-                size += len(words[order[end]])
+            while end < len(words) and (end == at or size + lengths[order[end]] <= SLICE_BYTES):
+                size += lengths[order[end]]
                 end += 1
             for w, ids in self._contract([words[i] for i in order[at:end]], query):
-                out[order[at + w]] = np.frombuffer(ids, "<u4")
+                yield order[at + w], ids
             at = end
+
+    def _contracted(self, words: list[bytes], query: str) -> list[np.ndarray]:
+        """Ids of each word."""
+        out: list[np.ndarray] = [np.empty(0, "<u4")] * len(words)
+        for i, ids in self._in_slices(words, query):
+            out[i] = np.frombuffer(ids, "<u4")
         return out
 
     def _bytes(self, ids: np.ndarray) -> bytes:
@@ -242,8 +265,8 @@ class Codec:
                 todo.append((word, raw))
         huge = [x for x in todo if len(x[1]) > CHUNK]
         for few, query in (([x for x in todo if len(x[1]) <= LONG], CONTRACT), ([x for x in todo if LONG < len(x[1]) <= CHUNK], CONTRACT_LONG)):
-            for (word, _), ids in zip(few, self._contracted([raw for _, raw in few], query), strict=True):
-                self.known[word] = ids.tobytes()
+            for i, ids in self._in_slices([raw for _, raw in few], query):
+                self.known[few[i][0]] = ids
         for word, raw in huge:
             self.known[word] = self._stitched(raw)
 

@@ -98,3 +98,25 @@ def test_slices_hold_words_of_like_length(monkeypatch):
     made = codec._contracted(words, bpe.CONTRACT)
     assert [x.tolist() for x in made] == [[256] if len(w) == 2 else [257] * 20 for w in words]
     assert all(len(x) == 1 for x in taken)
+
+
+def test_short_words_are_rows():
+    """A step works on a row of each word and looks up the two pairs that are new, not all tokens of all words; leftmost places come first."""
+    rng = random.Random(3)
+    ranks = {bytes([i]): i for i in range(256)}
+    while len(ranks) < 320:
+        a, b = rng.choice([*ranks][256:] or [b"a"]), rng.choice([b"a", b"b", b"c", *[*ranks][256:]])
+        ranks.setdefault(rng.choice([a + b, b + a, rng.choice([b"ab", b"bc", b"ca", b"aa"])]), len(ranks))
+    words = [b"", b"a", b"z"] + [bytes(rng.choices(b"abc", k=rng.randint(1, 60))) for _ in range(300)]
+    codec = bpe.Codec(ranks, r"\S+")
+
+    def plain(word):
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while made := [(ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in ranks]:
+            i = min(made)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[p] for p in parts]
+
+    assert [x.tolist() for x in codec._contracted(words, bpe.CONTRACT)] == list(map(plain, words))
+    lengths = np.array(list(map(len, words)))
+    assert codec._listed(np.frombuffer(b"".join(words), np.uint8), lengths).num_rows == len(words)
